@@ -428,11 +428,11 @@ def arriving_messages(spark, sf):
 
 
 def str4(spark, sf):
-    return run_stream(spark, streams.stream_job_completion(arriving_messages(spark, sf)), "append")
+    return run_stream(spark, streams.stream_job_completion(arriving_messages(spark, sf), None), "append")
 
 
 def str5(spark, sf):
-    rows = run_stream(spark, streams.stream_job_messages(arriving_messages(spark, sf)), "append")
+    rows = run_stream(spark, streams.stream_job_messages(arriving_messages(spark, sf), None), "append")
     return rows.select("job_id", "event_id", "msg")
 
 
@@ -440,6 +440,11 @@ def str6(spark, sf):
     return jobs.timed_out_jobs(pin(status(spark, sf)), timeout_seconds=86_400).select("job_id", "status")
 
 
+def str6_stream(spark, sf):
+    """Completion with expiry: open jobs are given out once they are overdue."""
+    return run_stream(spark, streams.stream_job_completion(arriving_messages(spark, sf)), "append")
+
+
 def str7(spark, sf):
     folder, out = corpus.archive_folder(spark, sf), scratch_path(spark, "stream")
     writer = streams.stream_artifacts(
@@ -536,7 +541,7 @@ def all_queries() -> dict[str, Query]:
         "job5": on(named_jobs, jobs.job_listing),
         "job5_counts": on(status, jobs.job_counts),
         "job6": job6,
-        "str1": str1, "str2": str2, "str3": str3, "str4": str4, "str5": str5, "str6": str6, "str7": str7,
+        "str1": str1, "str2": str2, "str3": str3, "str4": str4, "str5": str5, "str6": str6, "str6_stream": str6_stream, "str7": str7,
         "enr1": enr1, "enr1_upper": enr1_upper, "udf1": udf1,
         "api1": api1, "api1_archives": api1_archives, "api1_flat": api1_flat,
     }

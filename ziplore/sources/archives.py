@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ziplore.functions.text import byte_count
 from ziplore.schemas import ARCHIVE_SCAN, OPENED
 
 ZIP_GLOB = "*.[zZ][iI][pP]"
@@ -205,19 +204,82 @@ def archive_faults(archives: DataFrame, max_member_mb: float | None = MAX_MEMBER
     return opened.select("project_id", "reject_reason")
 
 
+_FILE_PATHS = "project_id string, rel_path string, uri string"
+_FILE_BYTES = "project_id string, rel_path string, size_bytes long, content binary"
+
+
 def scan_project_dirs(spark: SparkSession, root: str) -> DataFrame:
     """Files of projects that are already unpacked below ``root``.
 
-    The first segment below the root is the project. There is no member index
-    here; :func:`ziplore.operators.triage.number_by_path` adds ``seq`` once the
-    rows are narrow.
+    The first segment below the root is the project. Every file counts, also
+    hidden ones such as ``.env`` and ``__init__.py``, which Spark's own file
+    sources leave out; so folders are listed and files read by tasks through
+    Arrow's file systems. Listings are shuffled file by file before anything is
+    read, so a large project is read by many tasks.
+
+    There is no member index here; :func:`ziplore.operators.triage.number_by_path`
+    adds ``seq`` once the rows are narrow.
     """
-    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.substr(F.col("path"), F.locate(base, F.col("path")) + F.lit(len(base)))
-    return scan.select(
-        F.substring_index(inner, "/", 1).alias("project_id"),
-        F.regexp_replace(inner, r"\A[^/]*/", "").alias("rel_path"),
-        byte_count(F.col("content")).alias("size_bytes"),
-        "content",
-    ).filter(F.instr(inner, "/") > 0)
+    base = root if "://" in root else f"file://{root}"
+
+    def projects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(uri)
+                found = system.get_file_info(fs.FileSelector(path))
+                names = [f.base_name for f in found if f.type == fs.FileType.Directory]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["project_id"])
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for project in batch.column(0).to_pylist():
+                home = f"{top.rstrip('/')}/{project}"
+                folders = [home]
+                while folders:
+                    found = system.get_file_info(fs.FileSelector(folders.pop()))
+                    folders += [f.path for f in found if f.type == fs.FileType.Directory]
+                    paths = [f.path for f in found if f.type == fs.FileType.File]
+                    inner = [p[len(home) + 1 :] for p in paths]
+                    columns = [[project] * len(paths), inner, paths]
+                    arrays = [pa.array(c, pa.string()) for c in columns]
+                    yield pa.RecordBatch.from_arrays(arrays, ["project_id", "rel_path", "uri"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(base)
+
+        def one(path: str) -> bytes | None:
+            try:
+                with system.open_input_stream(path) as source:
+                    return source.read()
+            except OSError:  # an unreadable file counts as binary
+                return None
+
+        for batch in batches:
+            rows, held = [], 0
+            for project, inner, path in zip(*[c.to_pylist() for c in batch.columns]):
+                content = one(path)
+                rows.append((project, inner, len(content or b""), content))
+                held += len(content or b"")
+                if held >= BATCH_BYTES:
+                    yield _file_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _file_batch(rows)
+
+    start = spark.createDataFrame([(base,)], "uri string")
+    folders = start.mapInArrow(projects, "project_id string").repartition("project_id")
+    files = folders.mapInArrow(listing, _FILE_PATHS).repartition("project_id", "rel_path")
+    return files.mapInArrow(read, _FILE_BYTES)
+
+
+def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.int64(), pa.binary()]
+    arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), types)]
+    return pa.RecordBatch.from_arrays(arrays, ["project_id", "rel_path", "size_bytes", "content"])

@@ -34,14 +34,52 @@ def stream_project_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("project_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- job completion -------------------------------------------------------
+# --- job state ------------------------------------------------------------
 
-# Which side of the barrier an event belongs to, and the counted event.
+# Expiry of job state is driven by event time (the default) or by the clock of
+# the running query. A query on the clock never ends by itself.
+CLOCKS = {
+    "event": GroupStateTimeout.EventTimeTimeout,
+    "processing": GroupStateTimeout.ProcessingTimeTimeout,
+}
+
+
+def _timeout_mode(timeout_seconds: int | None, clock: str) -> str:
+    return GroupStateTimeout.NoTimeout if timeout_seconds is None else CLOCKS[clock]
+
+
+def _timed(events: DataFrame, timeout_seconds: int | None, clock: str, delay: str) -> DataFrame:
+    """Declare the watermark that event-time expiry follows.
+
+    ``ts`` itself is passed on as a plain column: it must not let Spark drop
+    late messages.
+    """
+    if timeout_seconds is None or clock != "event":
+        return events
+    marked = events.withColumnRenamed("ts", "_ts").withWatermark("_ts", delay)
+    return marked.withColumn("ts", F.timestamp_micros(F.unix_micros("_ts"))).drop("_ts")
+
+
+def _expire(state: GroupState, timeout_seconds: int | None, clock: str, last_ms: int) -> None:
+    if timeout_seconds is None:
+        return
+    if clock == "processing":
+        state.setTimeoutDuration(timeout_seconds * 1000)
+    else:
+        due = last_ms + timeout_seconds * 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+
+def _millis(stamps: pd.Series) -> int:
+    return int(pd.Timestamp(stamps.max()).timestamp() * 1000)
+
+
+# The two sides of the barrier and the counted event.
 TREE_EVENT, ANALYSIS_EVENT, FILE_EVENT = "event:TreeBuilt", "event:AnalysisComplete", "event:FileAnalysed"
 
-_SIGNALS = "job_id long, has_tree boolean, has_analysis boolean, files long"
+_SIGNALS = "job_id long, has_tree boolean, has_analysis boolean, files long, last_ts timestamp"
 _COMPLETION = "job_id long, file_count long, timed_out boolean"
-_COMPLETION_STATE = "has_tree boolean, has_analysis boolean, files long"
+_COMPLETION_STATE = "has_tree boolean, has_analysis boolean, files long, last_ms long"
 
 
 def _combine_signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,14 +92,20 @@ def _combine_signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "has_tree": msg == TREE_EVENT,
                 "has_analysis": msg == ANALYSIS_EVENT,
                 "files": (msg == FILE_EVENT).astype("int64"),
+                "last_ts": batch["ts"],
             }
         )
         yield signals.groupby("job_id", as_index=False).agg(
-            {"has_tree": "any", "has_analysis": "any", "files": "sum"}
+            {"has_tree": "any", "has_analysis": "any", "files": "sum", "last_ts": "max"}
         )
 
 
-def stream_job_completion(events: DataFrame, timeout_seconds: int | None = TIMEOUT_SECONDS) -> DataFrame:
+def stream_job_completion(
+    events: DataFrame,
+    timeout_seconds: int | None = TIMEOUT_SECONDS,
+    clock: str = "event",
+    delay: str = "10 minutes",
+) -> DataFrame:
     """One row per job once its tree and its analysis are both there.
 
     State is dropped with that row. A job that does not complete within
@@ -69,46 +113,42 @@ def stream_job_completion(events: DataFrame, timeout_seconds: int | None = TIMEO
     so state stays bounded; None waits for ever.
     """
     barrier = F.col("msg").isin(TREE_EVENT, ANALYSIS_EVENT, FILE_EVENT)
-    signals = events.filter(barrier).select("job_id", "msg").mapInPandas(_combine_signals, _SIGNALS)
+    timed = _timed(events, timeout_seconds, clock, delay).filter(barrier)
+    signals = timed.select("job_id", "ts", "msg").mapInPandas(_combine_signals, _SIGNALS)
 
     def advance(key, batches, state: GroupState):
+        tree, analysis, files, last_ms = state.get if state.exists else (False, False, 0, 0)
         if state.hasTimedOut:
-            _, _, files = state.get
             state.remove()
             yield pd.DataFrame({"job_id": [key[0]], "file_count": [files], "timed_out": [True]})
             return
-        tree, analysis, files = state.get if state.exists else (False, False, 0)
         for batch in batches:
             tree = tree or bool(batch["has_tree"].any())
             analysis = analysis or bool(batch["has_analysis"].any())
             files += int(batch["files"].sum())
+            last_ms = max(last_ms, _millis(batch["last_ts"]))
         if tree and analysis:
             if state.exists:
                 state.remove()
             yield pd.DataFrame({"job_id": [key[0]], "file_count": [files], "timed_out": [False]})
             return
-        state.update((tree, analysis, files))
-        if timeout_seconds is not None:
-            state.setTimeoutDuration(timeout_seconds * 1000)
+        state.update((tree, analysis, files, last_ms))
+        _expire(state, timeout_seconds, clock, last_ms)
 
     return signals.groupBy("job_id").applyInPandasWithState(
-        advance, _COMPLETION, _COMPLETION_STATE, "append", _timeout_mode(timeout_seconds)
+        advance, _COMPLETION, _COMPLETION_STATE, "append", _timeout_mode(timeout_seconds, clock)
     )
 
 
-def _timeout_mode(timeout_seconds: int | None) -> str:
-    if timeout_seconds is None:
-        return GroupStateTimeout.NoTimeout
-    return GroupStateTimeout.ProcessingTimeTimeout
-
-
-# --- job messages ---------------------------------------------------------
-
 _MESSAGE = "job_id long, event_id long, ts timestamp, msg string"
 
 
 def stream_job_messages(
-    events: DataFrame, timeout_seconds: int | None = TIMEOUT_SECONDS, channels: int = CHANNELS
+    events: DataFrame,
+    timeout_seconds: int | None = TIMEOUT_SECONDS,
+    clock: str = "event",
+    delay: str = "10 minutes",
+    channels: int = CHANNELS,
 ) -> DataFrame:
     """Forward the messages of a job until its first ``close``.
 
@@ -120,7 +160,7 @@ def stream_job_messages(
     is_close = F.col("msg") == CLOSE
     own = F.pmod(F.xxhash64("event_id"), F.lit(channels)).cast("int")
     everywhere = F.sequence(F.lit(0), F.lit(channels - 1))
-    spread = events.withColumn(
+    spread = _timed(events, timeout_seconds, clock, delay).withColumn(
         "channel", F.explode(F.when(is_close, everywhere).otherwise(F.array(own)))
     )
 
@@ -128,12 +168,12 @@ def stream_job_messages(
         if state.hasTimedOut:
             state.remove()
             return
+        was_closed, last_ms = state.get if state.exists else (False, 0)
         rows = pd.concat(list(batches), ignore_index=True)
-        was_closed = state.exists and state.get[0]
         closes = rows[rows["msg"] == CLOSE]
-        state.update((was_closed or not closes.empty,))
-        if timeout_seconds is not None:
-            state.setTimeoutDuration(timeout_seconds * 1000)
+        last_ms = max(last_ms, _millis(rows["ts"]))
+        state.update((was_closed or not closes.empty, last_ms))
+        _expire(state, timeout_seconds, clock, last_ms)
         if was_closed:
             return
         kept = rows[rows["msg"] != CLOSE]
@@ -147,7 +187,7 @@ def stream_job_messages(
             yield kept[["job_id", "event_id", "ts", "msg"]]
 
     return spread.groupBy("job_id", "channel").applyInPandasWithState(
-        forward, _MESSAGE, "closed boolean", "append", _timeout_mode(timeout_seconds)
+        forward, _MESSAGE, "closed boolean, last_ms long", "append", _timeout_mode(timeout_seconds, clock)
     )
 
 
