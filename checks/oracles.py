@@ -468,10 +468,11 @@ def oracle_queries() -> dict[str, str]:
     q["str5"] = q["job1"]
     q["str6"] = states + """SELECT job_id, status FROM job_states WHERE epoch_us(coalesce(completed_at,
         (SELECT greatest(max(created_at), max(completed_at)) FROM job_states))) - epoch_us(created_at) > 86400000000"""
-    q["str6_stream"] = _with(JOBS) + """, signals AS (SELECT *, max(ts) OVER () - INTERVAL 10 MINUTE AS watermark FROM job_msgs)
+    q["str6_stream"] = _with(JOBS) + """, signals AS (SELECT *, max(ts) OVER () - INTERVAL 10 MINUTE AS watermark FROM job_msgs
+        WHERE msg IN ('event:TreeBuilt', 'event:AnalysisComplete', 'event:FileAnalysed'))
       SELECT job_id, count(*) FILTER (msg = 'event:FileAnalysed') AS file_count,
         NOT (bool_or(msg = 'event:TreeBuilt') AND bool_or(msg = 'event:AnalysisComplete')) AS timed_out
-      FROM signals WHERE msg IN ('event:TreeBuilt', 'event:AnalysisComplete', 'event:FileAnalysed') GROUP BY job_id
+      FROM signals GROUP BY job_id
       HAVING (bool_or(msg = 'event:TreeBuilt') AND bool_or(msg = 'event:AnalysisComplete'))
         OR max(ts) + INTERVAL 300 SECOND < any_value(watermark)"""
     q["str7"] = _archive_artifacts() + "SELECT * FROM artifacts"

@@ -442,7 +442,8 @@ def str6(spark, sf):
 
 def str6_stream(spark, sf):
     """Completion with expiry: open jobs are given out once they are overdue."""
-    return run_stream(spark, streams.stream_job_completion(arriving_messages(spark, sf)), "append")
+    completion = streams.stream_job_completion(arriving_messages(spark, sf), clock="event")
+    return run_stream(spark, completion, "append")
 
 
 def str7(spark, sf):

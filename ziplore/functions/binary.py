@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Bytes below 9 and from 14 to 31 count as not printable.
-CONTROL_CHARS = "".join(chr(b) for b in range(32) if b < 9 or b > 13)
+CONTROL = r"[\x00-\x08\x0E-\x1F]"
 SAMPLE_BYTES = 1024
 BINARY_SHARE = 0.30
 
@@ -18,7 +18,7 @@ def looks_binary(content: Column, sample: int = SAMPLE_BYTES) -> Column:
     """
     head = F.decode(F.substring(content, 1, sample), "ISO-8859-1")
     size = F.length(head)
-    control = size - F.length(F.translate(head, CONTROL_CHARS, ""))
+    control = size - F.length(F.regexp_replace(head, CONTROL, ""))
     return (
         F.when(content.isNull(), F.lit(True))
         .when(size == 0, F.lit(False))

@@ -12,7 +12,7 @@ EXTENSION = r"(?s)\A(.+)([.][^.]+)\z"
 
 def normalise_path(path: Column) -> Column:
     """Backslashes become forward slashes."""
-    return F.translate(path, "\\", "/")
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def stored_path(member_name: Column) -> Column:
@@ -59,7 +59,7 @@ def parent_of(path: Column) -> Column:
 
 def depth_of(path: Column) -> Column:
     """Number of segments of a path that is already normalised."""
-    return F.length(path) - F.length(F.translate(path, "/", "")) + F.lit(1)
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) + F.lit(1)
 
 
 def extension_of(name: Column) -> Column:

@@ -3,8 +3,9 @@
 A node is one distinct path prefix. Its place among its siblings is that of the
 first file below it in (depth, name, seq) order. The chain of these places from
 the root down to a node is a sort key for the whole tree, and whether a node is
-the last child of its parent decides the guide drawn under it. Chains are built
-for directories only; files take the chain of their directory.
+the last child of its parent decides the guide drawn under it. Chains and last
+children are facts of directories; a node meets both in one join with its
+parent.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ziplore.functions.paths import base_name, depth_of, parent_of
 from ziplore.operators.ranking import rank_by_sort
+from ziplore.session import pin
 
 STYLES = ("guides", "flat", "grouped")
 LINES_PER_PART = 10_000
@@ -106,38 +108,49 @@ def file_order(files: DataFrame) -> DataFrame:
     return rank_by_sort(placed, ["project_id"], ["_place"], out="ord").drop("_place")
 
 
-def _chains(flagged: DataFrame) -> DataFrame:
-    """Per directory: places and last flags of its ancestors and itself."""
-    directories = flagged.filter("has_children").select("project_id", "node", "first", "is_last")
-    steps = directories.select(
+def _directories(nodes: DataFrame) -> DataFrame:
+    """Per directory: chain of its ancestors and itself, and its last child.
+
+    The root of a project counts as the directory with an empty name and an
+    empty chain.
+    """
+    last = nodes.groupBy("project_id", F.col("parent").alias("dir")).agg(
+        F.max_by("node", "first").alias("last_child")
+    )
+    own = nodes.filter("has_children").select("project_id", F.col("node").alias("dir"), "parent", "first")
+    # is_last of a directory: it is the last child of its own parent.
+    ranked = own.join(
+        last.select("project_id", F.col("dir").alias("parent"), F.col("last_child").alias("_last")),
+        ["project_id", "parent"],
+    ).select("project_id", "dir", "first", (F.col("dir") == F.col("_last")).alias("is_last"))
+    steps = own.select(
         "project_id",
-        F.col("node").alias("dir"),
+        "dir",
         F.posexplode(
             F.transform(
-                F.sequence(F.lit(1), F.size(F.split("node", "/"))),
-                lambda n: F.array_join(F.slice(F.split("node", "/"), 1, n), "/"),
+                F.sequence(F.lit(1), F.size(F.split("dir", "/"))),
+                lambda n: F.array_join(F.slice(F.split("dir", "/"), 1, n), "/"),
             )
         ).alias("level", "ancestor"),
     )
-    ancestors = directories.withColumnRenamed("node", "ancestor")
-    chain = F.array_sort(F.collect_list(F.struct("level", "first", "is_last")))
-    return (
-        steps.join(ancestors, ["project_id", "ancestor"])
-        .groupBy("project_id", F.col("dir").alias("parent"))
-        .agg(chain.alias("chain"))
+    chains = (
+        steps.join(ranked.withColumnRenamed("dir", "ancestor"), ["project_id", "ancestor"])
+        .groupBy("project_id", "dir")
+        .agg(F.array_sort(F.collect_list(F.struct("level", "first", "is_last"))).alias("chain"))
     )
+    return last.join(chains, ["project_id", "dir"], "left").withColumnRenamed("dir", "parent")
 
 
 def _guide_rows(files: DataFrame) -> DataFrame:
     """Every node with its drawn line and its sort key within the project."""
-    flagged = with_last_flag(tree_nodes(files))
-    rows = flagged.join(_chains(flagged), ["project_id", "parent"], "left")
+    nodes = pin(tree_nodes(files))
+    rows = nodes.join(_directories(nodes), ["project_id", "parent"])
     none = F.array().cast("array<struct<level:int,first:struct<depth:int,name:string,seq:bigint>,is_last:boolean>>")
     chain = F.coalesce(F.col("chain"), none)
     guides = F.array_join(F.transform(chain, lambda c: F.when(c["is_last"], GAP).otherwise(PIPE)), "")
     line = F.concat(
         guides,
-        F.when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH)),
+        F.when(F.col("node") == F.col("last_child"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH)),
         F.col("name"),
         F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")),
     )

@@ -15,7 +15,8 @@ from ziplore.operators.triage import analysable
 from ziplore.plans.corpus import analyze_archives, describe_files
 from ziplore.sources.archives import MAX_MEMBER_MB, explode_members
 
-CHANNELS = 16
+CHANNELS = 8
+CHANNEL_ROWS = 65_536
 
 
 def stream_file_results(
@@ -36,8 +37,9 @@ def stream_project_counts(results: DataFrame) -> DataFrame:
 
 # --- job state ------------------------------------------------------------
 
-# Expiry of job state is driven by event time (the default) or by the clock of
-# the running query. A query on the clock never ends by itself.
+# Expiry of job state follows the clock of the running query (the default; such
+# a query never ends by itself) or event time, where Spark drops messages that
+# are older than the watermark.
 CLOCKS = {
     "event": GroupStateTimeout.EventTimeTimeout,
     "processing": GroupStateTimeout.ProcessingTimeTimeout,
@@ -48,16 +50,11 @@ def _timeout_mode(timeout_seconds: int | None, clock: str) -> str:
     return GroupStateTimeout.NoTimeout if timeout_seconds is None else CLOCKS[clock]
 
 
-def _timed(events: DataFrame, timeout_seconds: int | None, clock: str, delay: str) -> DataFrame:
-    """Declare the watermark that event-time expiry follows.
-
-    ``ts`` itself is passed on as a plain column: it must not let Spark drop
-    late messages.
-    """
+def _timed(df: DataFrame, time_col: str, timeout_seconds: int | None, clock: str, delay: str) -> DataFrame:
+    """Declare the watermark that event-time expiry follows."""
     if timeout_seconds is None or clock != "event":
-        return events
-    marked = events.withColumnRenamed("ts", "_ts").withWatermark("_ts", delay)
-    return marked.withColumn("ts", F.timestamp_micros(F.unix_micros("_ts"))).drop("_ts")
+        return df
+    return df.withWatermark(time_col, delay)
 
 
 def _expire(state: GroupState, timeout_seconds: int | None, clock: str, last_ms: int) -> None:
@@ -103,7 +100,7 @@ def _combine_signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def stream_job_completion(
     events: DataFrame,
     timeout_seconds: int | None = TIMEOUT_SECONDS,
-    clock: str = "event",
+    clock: str = "processing",
     delay: str = "10 minutes",
 ) -> DataFrame:
     """One row per job once its tree and its analysis are both there.
@@ -113,8 +110,8 @@ def stream_job_completion(
     so state stays bounded; None waits for ever.
     """
     barrier = F.col("msg").isin(TREE_EVENT, ANALYSIS_EVENT, FILE_EVENT)
-    timed = _timed(events, timeout_seconds, clock, delay).filter(barrier)
-    signals = timed.select("job_id", "ts", "msg").mapInPandas(_combine_signals, _SIGNALS)
+    combined = events.filter(barrier).select("job_id", "ts", "msg").mapInPandas(_combine_signals, _SIGNALS)
+    signals = _timed(combined, "last_ts", timeout_seconds, clock, delay)
 
     def advance(key, batches, state: GroupState):
         tree, analysis, files, last_ms = state.get if state.exists else (False, False, 0, 0)
@@ -146,21 +143,22 @@ _MESSAGE = "job_id long, event_id long, ts timestamp, msg string"
 def stream_job_messages(
     events: DataFrame,
     timeout_seconds: int | None = TIMEOUT_SECONDS,
-    clock: str = "event",
+    clock: str = "processing",
     delay: str = "10 minutes",
     channels: int = CHANNELS,
 ) -> DataFrame:
     """Forward the messages of a job until its first ``close``.
 
-    Micro-batches must arrive in order. A job's messages are spread over
-    ``channels`` state groups and each close goes to all of them, so one busy
-    job does not sit in one task. The closed flag of a job is forgotten
+    Micro-batches must arrive in order. Message numbers are cut into blocks of
+    ``CHANNEL_ROWS`` that take turns on ``channels`` state groups per job, and
+    each close goes to all of them: a quiet job stays in one group, a busy one
+    does not sit in one task. The closed flag of a job is forgotten
     ``timeout_seconds`` after its last message.
     """
     is_close = F.col("msg") == CLOSE
-    own = F.pmod(F.xxhash64("event_id"), F.lit(channels)).cast("int")
+    own = F.pmod(F.floor(F.col("event_id") / CHANNEL_ROWS), F.lit(channels)).cast("int")
     everywhere = F.sequence(F.lit(0), F.lit(channels - 1))
-    spread = _timed(events, timeout_seconds, clock, delay).withColumn(
+    spread = _timed(events, "ts", timeout_seconds, clock, delay).withColumn(
         "channel", F.explode(F.when(is_close, everywhere).otherwise(F.array(own)))
     )
 
@@ -169,22 +167,22 @@ def stream_job_messages(
             state.remove()
             return
         was_closed, last_ms = state.get if state.exists else (False, 0)
-        rows = pd.concat(list(batches), ignore_index=True)
-        closes = rows[rows["msg"] == CLOSE]
+        held = list(batches)
+        rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        close = (rows["msg"] == CLOSE).to_numpy()
         last_ms = max(last_ms, _millis(rows["ts"]))
-        state.update((was_closed or not closes.empty, last_ms))
+        state.update((bool(was_closed or close.any()), last_ms))
         _expire(state, timeout_seconds, clock, last_ms)
-        if was_closed:
+        if was_closed or close.all():
             return
-        kept = rows[rows["msg"] != CLOSE]
-        if not closes.empty:
-            first = closes.sort_values(["ts", "event_id"]).iloc[0]
-            before = (kept["ts"] < first["ts"]) | (
-                (kept["ts"] == first["ts"]) & (kept["event_id"] < first["event_id"])
-            )
-            kept = kept[before]
-        if not kept.empty:
-            yield kept[["job_id", "event_id", "ts", "msg"]]
+        if close.any():
+            stamps, ids = rows["ts"].to_numpy(), rows["event_id"].to_numpy()
+            first_ts = stamps[close].min()
+            first_id = ids[close & (stamps == first_ts)].min()
+            open_rows = (stamps < first_ts) | ((stamps == first_ts) & (ids < first_id))
+            rows = rows[open_rows & ~close]
+        if len(rows):
+            yield rows[["job_id", "event_id", "ts", "msg"]]
 
     return spread.groupBy("job_id", "channel").applyInPandasWithState(
         forward, _MESSAGE, "closed boolean, last_ms long", "append", _timeout_mode(timeout_seconds, clock)
