@@ -402,7 +402,7 @@ def oracle_queries() -> dict[str, str]:
         tops AS (SELECT project_id, string_agg(c, ', ' ORDER BY n DESC, c) AS key_components FROM (
           SELECT project_id, string_split(rel_path, '/')[1] AS c, count(*) AS n FROM results WHERE rel_path LIKE '%/%' GROUP BY ALL) GROUP BY project_id),
         totals AS (SELECT project_id, count(*) AS file_count, CAST(sum(lines) AS BIGINT) AS line_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM results GROUP BY project_id)
-      SELECT t.*, coalesce(languages, '') AS languages, coalesce(key_components, '') AS key_components, project_summary AS description,
+      SELECT t.*, CAST(0 AS BIGINT) AS part, coalesce(languages, '') AS languages, coalesce(key_components, '') AS key_components, project_summary AS description,
         concat_ws(', ', CASE WHEN has_packaging THEN 'Python package' END, CASE WHEN has_package_json THEN 'Node.js project' END,
           CASE WHEN has_dockerfile THEN 'Containerized service' END, CASE WHEN has_go_mod THEN 'Go module' END,
           CASE WHEN has_pom THEN 'Java Maven project' END) AS frameworks

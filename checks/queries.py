@@ -25,13 +25,9 @@ MEMBER_LIMIT_MB = 1 / 64
 # --- shared inputs --------------------------------------------------------
 
 
-def unique_files(spark, sf):
-    return validate.dedupe_members(corpus.files(spark, sf))
-
-
 def described(spark, sf):
-    """All unique files, triaged and analysed, without their content."""
-    return plans.describe_files(unique_files(spark, sf))
+    """All files, triaged and analysed; unique per path once content is gone."""
+    return validate.dedupe_members(plans.describe_files(corpus.files(spark, sf)))
 
 
 def analysed(spark, sf):
@@ -109,7 +105,7 @@ def src5(spark, sf):
 
 def snk1(spark, sf):
     out = scratch_path(spark, "artifacts")
-    sinks.write_artifacts(plans.analyze_files(unique_files(spark, sf)), out)
+    sinks.write_artifacts(plans.analyze_files(corpus.files(spark, sf)), out)
     return flat_artifacts(spark.read.schema(ARTIFACTS).json(out))
 
 
@@ -183,7 +179,7 @@ def val8(spark, sf):
 
 
 def val9(spark, sf):
-    return with_md5(unique_files(spark, sf), "project_id", "seq", "rel_path")
+    return validate.dedupe_members(with_md5(corpus.files(spark, sf), "project_id", "seq", "rel_path"))
 
 
 def val10(spark, sf):
@@ -246,8 +242,9 @@ def fn10(spark, sf):
 
 
 def fn11(spark, sf):
-    rows = results.with_metrics(triage.with_name_parts(unique_files(spark, sf)))
-    return rows.select("project_id", "seq", "lines", "size_bytes", "language")
+    rows = results.with_metrics(triage.with_name_parts(corpus.files(spark, sf)))
+    unique = validate.dedupe_members(rows.drop("content"))
+    return unique.select("project_id", "seq", "lines", "size_bytes", "language")
 
 
 def fn12(spark, sf):
@@ -263,14 +260,13 @@ def fn13(spark, sf):
 
 
 def tri1(spark, sf):
-    return triage.triage(unique_files(spark, sf)).select(
-        "project_id", "seq", "rel_path", "is_binary", "skip_reason", "score"
-    )
+    rows = validate.dedupe_members(triage.triage(corpus.files(spark, sf)).drop("content"))
+    return rows.select("project_id", "seq", "rel_path", "is_binary", "skip_reason", "score")
 
 
 def triaged_narrow(spark, sf):
     """Triage columns only; pinned, because ranking reads them twice."""
-    rows = triage.triage(unique_files(spark, sf))
+    rows = validate.dedupe_members(triage.triage(corpus.files(spark, sf)).drop("content"))
     return rows.select("project_id", "seq", "rel_path", "ext", "skip_reason", "score")
 
 
@@ -481,12 +477,14 @@ def udf1(spark, sf):
     def shell(body: str):
         return ("shell", f"Shell, {len(body)} characters") if len(body) % 2 == 0 else None
 
-    rows = plans.describe_files(unique_files(spark, sf), analyzers={".sh": shell})
+    rows = validate.dedupe_members(
+        plans.describe_files(corpus.files(spark, sf), analyzers={".sh": shell})
+    )
     return triage.analysable(rows).select("project_id", "seq", "kind", "summary")
 
 
 def api1(spark, sf):
-    return flat_artifacts(plans.analyze_files(unique_files(spark, sf)))
+    return flat_artifacts(plans.analyze_files(corpus.files(spark, sf)))
 
 
 def api1_archives(spark, sf):
@@ -494,7 +492,7 @@ def api1_archives(spark, sf):
 
 
 def api1_flat(spark, sf):
-    whole = plans.analyze_files(unique_files(spark, sf), tree_style="flat")
+    whole = plans.analyze_files(corpus.files(spark, sf), tree_style="flat")
     return whole.select("project_id", "part", "tree_text", "project_summary")
 
 

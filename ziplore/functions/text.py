@@ -32,13 +32,17 @@ def strip_right(text: Column, blanks: str = BLANKS) -> Column:
 
 
 def summarise_text(text: Column, max_chars: int = SUMMARY_CHARS) -> Column:
-    """One line for a text: its heading, else its first sentence, else its start.
+    """One line for a text: its heading, else its first sentence, else its start."""
+    return summarise_stripped(strip(text), max_chars)
+
+
+def summarise_stripped(body: Column, max_chars: int = SUMMARY_CHARS) -> Column:
+    """:func:`summarise_text` for a column that is already stripped.
 
     A sentence only counts when its end lies within ``max_chars``, so the
     sentence pattern looks at ``max_chars + 1`` characters: the last possible
     terminator and the blank after it.
     """
-    body = strip(text)
     heading = F.regexp_extract(body, rf"\A#{{1,6}}{BLANK}+([^\n]+)", 1)
     opening = F.substring(body, 1, max_chars + 1)
     sentence = F.regexp_extract(opening, rf"(?s)\A(.*?[.!?]){BLANK}", 1)

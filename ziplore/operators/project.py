@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ziplore.functions.kinds import STACK_MARKERS, UNKNOWN_STACK, has_marker
 from ziplore.functions.text import ELLIPSIS, strip_right
+from ziplore.operators.ranking import rank_by_sort
 
 SUMMARY_LIMIT = 300
+COMPONENTS_PER_PART = 10_000
 
 # Column that holds the flag of each stack label.
 FLAG_COLUMNS = {
@@ -129,13 +131,17 @@ def shorten(text: Column, limit: int = SUMMARY_LIMIT) -> Column:
 
 
 def project_summary(
-    results: DataFrame, projects: DataFrame | None = None, limit: int = SUMMARY_LIMIT
+    results: DataFrame,
+    projects: DataFrame | None = None,
+    limit: int = SUMMARY_LIMIT,
+    flags: bool = False,
 ) -> DataFrame:
     """README line, dominant kind, stack and packaging hints as one paragraph.
 
     Kinds, counts and stack flags come from one pass over the file rows; the
     second grouping and the join work on a few rows per project. ``results``
     is read again for the README rows: pass pinned or written results.
+    ``flags`` keeps the stack flags.
     """
     grouped = (
         _kind_rows(results, *_flag_aggregates())
@@ -180,6 +186,7 @@ def project_summary(
         "dominant_count",
         stack_label().alias("stack"),
         shorten(paragraph, limit).alias("project_summary"),
+        *(FLAG_COLUMNS.values() if flags else ()),
     )
 
 
@@ -199,17 +206,21 @@ def _ordered_names(n: str, name: str) -> Column:
     return F.transform(pairs, lambda p: p["name"])
 
 
-def project_stats(results: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+def project_stats(
+    results: DataFrame, projects: DataFrame | None = None, components_per_part: int = COMPONENTS_PER_PART
+) -> DataFrame:
     """Counts, languages, frameworks and top-level components per project.
 
     The name lists are built from distinct values with their counts, never from
-    file rows: languages are a fixed set, components are top-level directories.
+    file rows. Languages are a fixed set. Components are top-level directories,
+    of which a project may have any number: an ordinary project is one row
+    (part 0), one with more than ``components_per_part`` goes on in further
+    rows that repeat the rest. Pass pinned or written results.
     """
     totals = results.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("file_count"),
         F.sum("lines").alias("line_count"),
         F.sum("size_bytes").alias("total_bytes"),
-        *_flag_aggregates(),
     )
     languages = (
         results.filter(F.col("language").isNotNull())
@@ -218,27 +229,25 @@ def project_stats(results: DataFrame, projects: DataFrame | None = None) -> Data
         .groupBy("project_id")
         .agg(_ordered_names("n", "language").alias("languages"))
     )
-    components = (
-        project_components(results)
-        .groupBy("project_id")
-        .agg(_ordered_names("n", "component").alias("key_components"))
+    ranked = rank_by_sort(
+        project_components(results), ["project_id"], [F.desc("n"), F.asc("component")], out="rank"
     )
+    components = ranked.groupBy(
+        "project_id", F.floor((F.col("rank") - 1) / components_per_part).alias("part")
+    ).agg(_ordered_names("n", "component").alias("key_components"))
     frameworks = F.filter(
         F.array(*[F.when(F.col(c), F.lit(name)) for name, c in FLAG_COLUMNS.items()]),
         lambda label: label.isNotNull(),
     )
     none = F.array().cast("array<string>")
     return (
-        _per_project(totals, projects)
+        project_summary(results, projects, flags=True)
+        .join(totals, "project_id", "left")
         .join(languages, "project_id", "left")
         .join(components, "project_id", "left")
-        .join(
-            project_summary(results, projects).select("project_id", "project_summary"),
-            "project_id",
-            "left",
-        )
         .select(
             "project_id",
+            F.coalesce("part", F.lit(0)).alias("part"),
             F.coalesce("file_count", F.lit(0)).alias("file_count"),
             F.coalesce("line_count", F.lit(0)).alias("line_count"),
             F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ziplore.functions.kinds import is_asset, language_of
 from ziplore.functions.parsers import custom_summary, parsed_summary
-from ziplore.functions.text import byte_count, decode_text, line_count, summarise_text
+from ziplore.functions.text import byte_count, decode_text, line_count, strip, summarise_stripped
 
 ASSET_SUMMARY = "(binary skipped)"
 PARSED_FORMATS = {"json": (".json",), "yaml": (".yml", ".yaml"), "python": (".py",)}
@@ -43,21 +43,18 @@ def analyse_files(files: DataFrame, analyzers: dict[str, Callable] | None = None
     fmt = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, extensions in PARSED_FORMATS.items():
         fmt = fmt.when(ext.isin(*extensions), name)
-    rows = files.withColumn("_fmt", fmt)
+    rows = files.withColumns({"_fmt": fmt, "_body": strip(text)})
     rows = rows.withColumn("_parsed", parsed_summary(F.col("_fmt"), text))
-    kind = F.when(is_asset(ext), F.lit("asset")).when(F.col("_parsed").isNotNull(), F.col("_fmt"))
-    summary = F.when(is_asset(ext), F.lit(ASSET_SUMMARY)).when(
-        F.col("_parsed").isNotNull(), F.col("_parsed")
+    parsed, asset = F.col("_parsed").isNotNull(), is_asset(ext)
+    kind = F.when(asset, F.lit("asset")).when(parsed, F.col("_fmt")).otherwise(F.lit("text"))
+    summary = (
+        F.when(asset, F.lit(ASSET_SUMMARY))
+        .when(parsed, F.col("_parsed"))
+        .otherwise(summarise_stripped(F.col("_body")))
     )
-    helpers = ["_fmt", "_parsed"]
     if analyzers:
         rows = rows.withColumn("_custom", custom_summary(ext, text, analyzers))
-        helpers.append("_custom")
         taken = F.col("_custom.summary").isNotNull()
-        kind = F.when(taken, F.col("_custom.kind")).otherwise(kind.otherwise(F.lit("text")))
-        summary = F.when(taken, F.col("_custom.summary")).otherwise(
-            summary.otherwise(summarise_text(text))
-        )
-    else:
-        kind, summary = kind.otherwise(F.lit("text")), summary.otherwise(summarise_text(text))
-    return rows.withColumns({"kind": kind, "summary": summary}).drop(*helpers)
+        kind = F.when(taken, F.col("_custom.kind")).otherwise(kind)
+        summary = F.when(taken, F.col("_custom.summary")).otherwise(summary)
+    return rows.withColumns({"kind": kind, "summary": summary}).drop("_fmt", "_body", "_parsed", "_custom")

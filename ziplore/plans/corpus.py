@@ -13,6 +13,7 @@ from ziplore.operators.project import project_summary
 from ziplore.operators.results import analyse_files, with_metrics, with_text
 from ziplore.operators.tree import tree_lines, tree_text
 from ziplore.operators.triage import analysable, analysis_order, number_by_path, top_files, triage
+from ziplore.operators.validate import dedupe_members
 from ziplore.session import configure, pin
 from ziplore.sources.archives import (
     MAX_ARCHIVE_MB,
@@ -71,16 +72,21 @@ def analyze_files(
     analyzers: dict[str, Callable] | None = None,
     complete_fn: Callable | None = None,
     model_id: str = "ollama/llama3",
+    dedupe: bool = True,
 ) -> DataFrame:
-    """Artefacts for any frame of the ``files`` model, unique per path.
+    """Artefacts for any frame of the ``files`` model.
 
     The narrow results are pinned once; ranks, tree and overview read that
-    copy, so content is scanned and parsed once.
+    copy, so content is scanned and parsed once. Of files on one path the last
+    one counts; ``dedupe`` sorts that out on narrow rows, after content is
+    gone, and may be off when paths are known to be unique.
     """
     configure(files.sparkSession)
     narrow = describe_files(files, analyzers)
     if "seq" not in files.columns:
         narrow = number_by_path(narrow)
+    elif dedupe:
+        narrow = dedupe_members(narrow)
     narrow = pin(narrow)
     listed = narrow.select("project_id").distinct() if projects is None else projects
     return _artifacts(narrow, listed, top_n, tree_style, complete_fn, model_id)

@@ -12,10 +12,11 @@ def write_artifacts(
     """One object ``{tree_text, file_summaries, project_summary}`` per project part.
 
     Files are laid out in hash buckets of ``(project_id, part)``, which spreads
-    the parts of a large project.
+    the parts of a large project. Rows are rebalanced by bucket first: Spark
+    splits large buckets and merges small ones, so files come out even.
     """
     bucket = F.pmod(F.xxhash64("project_id", "part"), F.lit(buckets)).cast("int")
-    laid_out = artifacts.withColumn("bucket", bucket)
+    laid_out = artifacts.withColumn("bucket", bucket).hint("rebalance", "bucket")
     laid_out.write.mode(mode).partitionBy("bucket").format(fmt).save(path)
 
 
