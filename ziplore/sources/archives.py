@@ -39,7 +39,11 @@ def project_of(path: Column) -> Column:
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, project and compressed size of every archive; no content is read."""
+    """Path, project and compressed size of every archive; no content is read.
+
+    Spark's file sources leave out files of zero bytes, so an empty upload
+    looks like a missing one.
+    """
     scan = spark.read.format("binaryFile").option("pathGlobFilter", ZIP_GLOB).load(folder)
     return scan.select("path", project_of(F.col("path")).alias("project_id"), "length")
 
