@@ -11,7 +11,7 @@ from pathlib import Path
 
 import duckdb
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks.oracles import oracle_queries
 from checks.queries import all_queries
@@ -63,6 +63,20 @@ def difference(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
     return None
 
 
+# DuckDB names of the Spark types the queries give out.
+TYPE_NAMES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+}
+
+
+def type_difference(df: DataFrame, twin: duckdb.DuckDBPyRelation) -> str | None:
+    """Columns whose types differ, or None."""
+    left = {name: TYPE_NAMES.get(kind, kind) for name, kind in df.dtypes}
+    right = dict(zip(twin.columns, map(str, twin.types)))
+    apart = {c: (left[c], right.get(c)) for c in left if left[c] != right.get(c)}
+    return f"types {apart}" if apart else None
+
+
 def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     queries, oracles = all_queries(), oracle_queries()
@@ -71,9 +85,11 @@ def main(argv: list[str]) -> int:
     for name in wanted:
         began = time.time()
         try:
-            got = queries[name](spark, sf_dir).toPandas()
+            df = queries[name](spark, sf_dir)
+            got = df.toPandas()
             took = time.time() - began
-            problem = difference(got, con.execute(oracles[name]).df()) if name in oracles else "no twin"
+            twin = con.sql(oracles[name])
+            problem = type_difference(df, twin) or difference(got, twin.df())
         except Exception as error:
             took, got, problem = time.time() - began, [], f"{type(error).__name__}: {str(error)[:1500]}"
         failures += problem is not None
