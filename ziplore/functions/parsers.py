@@ -77,8 +77,11 @@ def _parsed_summary(fmt: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def parsed_summary(fmt: Column, text: Column) -> Column:
-    """Summary by format (``json``, ``yaml`` or ``python``); null to fall through."""
-    return _parsed_summary(fmt, F.when(fmt.isNotNull(), text))
+    """Summary by format (``json``, ``yaml`` or ``python``); null to fall through.
+
+    Set ``text`` to null where ``fmt`` is, so that it is not sent.
+    """
+    return _parsed_summary(fmt, text)
 
 
 def json_key_summary(text: Column) -> Column:

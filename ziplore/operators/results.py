@@ -34,27 +34,29 @@ def with_metrics(files: DataFrame) -> DataFrame:
 def analyse_files(files: DataFrame, analyzers: dict[str, Callable] | None = None) -> DataFrame:
     """Add ``kind`` and ``summary`` to rows with ``ext`` and ``text``.
 
-    Rows of a parsed format go through Python, the others pass it as nulls and
-    are summarised in the JVM, so the input is read once. ``analyzers`` maps an
-    extension to a function from text to ``(kind, summary)`` or None; it goes
-    before the built-in rules.
+    The text summary is worked out first, in the JVM, for every row: what then
+    goes past the parser UDF is one line per file, and text only for the rows
+    of a parsed format, the rest being null. The input is read once.
+    ``analyzers`` maps an extension to a function from text to ``(kind,
+    summary)`` or None; it goes before the built-in rules.
     """
     ext, text = F.col("ext"), F.col("text")
     fmt = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, extensions in PARSED_FORMATS.items():
         fmt = fmt.when(ext.isin(*extensions), name)
-    rows = files.withColumns({"_fmt": fmt, "_body": strip(text)})
-    rows = rows.withColumn("_parsed", parsed_summary(F.col("_fmt"), text))
-    parsed, asset = F.col("_parsed").isNotNull(), is_asset(ext)
+    rows = files.withColumns({"_fmt": fmt, "_body": strip(text)}).withColumns(
+        {"_plain": summarise_stripped(F.col("_body")), "_source": F.when(F.col("_fmt").isNotNull(), text)}
+    )
+    rows = rows.withColumn("_parsed", parsed_summary(F.col("_fmt"), F.col("_source")))
+    parsed, asset = F.col("_source").isNotNull() & F.col("_parsed").isNotNull(), is_asset(ext)
     kind = F.when(asset, F.lit("asset")).when(parsed, F.col("_fmt")).otherwise(F.lit("text"))
     summary = (
-        F.when(asset, F.lit(ASSET_SUMMARY))
-        .when(parsed, F.col("_parsed"))
-        .otherwise(summarise_stripped(F.col("_body")))
+        F.when(asset, F.lit(ASSET_SUMMARY)).when(parsed, F.col("_parsed")).otherwise(F.col("_plain"))
     )
     if analyzers:
         rows = rows.withColumn("_custom", custom_summary(ext, text, analyzers))
         taken = F.col("_custom.summary").isNotNull()
         kind = F.when(taken, F.col("_custom.kind")).otherwise(kind)
         summary = F.when(taken, F.col("_custom.summary")).otherwise(summary)
-    return rows.withColumns({"kind": kind, "summary": summary}).drop("_fmt", "_body", "_parsed", "_custom")
+    helpers = ("_fmt", "_body", "_plain", "_source", "_parsed", "_custom")
+    return rows.withColumns({"kind": kind, "summary": summary}).drop(*helpers)

@@ -15,7 +15,7 @@ from ziplore.operators.triage import analysable
 from ziplore.plans.corpus import analyze_archives, describe_files
 from ziplore.sources.archives import MAX_MEMBER_MB, explode_members
 
-CHANNELS = 8
+CHANNELS = 4
 CHANNEL_ROWS = 65_536
 
 
