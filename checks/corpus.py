@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ziplore.operators.validate import dedupe_members
 from ziplore.session import configure, scratch_path
 from ziplore.sources.tables import files_from_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -358,8 +360,6 @@ def archive_folder(spark: SparkSession, sf_dir: str, damage: bool = False) -> st
 
 def project_folder(spark: SparkSession, sf_dir: str) -> str:
     """Write the unique files as plain files below the shared folder."""
-    from ziplore.operators.validate import dedupe_members
-
     folder = scratch_path(spark, "projects")
     target = folder if "://" in folder else f"file://{folder}"
 

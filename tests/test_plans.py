@@ -62,3 +62,29 @@ def test_rank_partitions_by_block(spark):
                                    F.lit(None).cast("string").alias("skip_reason"))
     plan = plan_of(triage.analysis_order(rows))
     assert "hashpartitioning(project_id" in plan and "_block" in plan.split("hashpartitioning(project_id")[1][:60]
+
+
+def test_a_dominant_job_is_spread_over_the_join(spark):
+    n = 60_000
+    job = F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 500)
+    msg = F.when(F.col("id") == n - 2, "close").when(F.col("id") % 3 == 0, "event:NewUpload").otherwise("event:TreeBuilt")
+    log = spark.range(0, n, 1, 8).select(
+        job.cast("long").alias("job_id"), F.col("id").alias("event_id"),
+        F.timestamp_seconds(F.col("id")).alias("ts"), msg.alias("msg"),
+    )
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+                "spark.sql.shuffle.partitions": "16"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = jobs.events_until_close(log)
+        sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        # Half of the rows are one job's; no task has more than a quarter.
+        assert sum(sizes) == n - 1 and max(sizes) < n / 4
+        status = jobs.job_status(log)
+        assert {r.job_id: r.latest_stage for r in status.collect()}[1] == "synthesizing"
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -30,19 +30,29 @@ def assemble_artifacts(tree: DataFrame, summaries: DataFrame, overview: DataFram
     exists once its analysis is complete; other projects give no row. An
     ordinary project is one row. Where the tree or the summaries need more
     parts, part *n* of both share a row; the overview is on each.
+
+    The overview is laid out over the parts first, so that all wide rows are
+    joined on ``(project_id, part)`` and a large project stays spread out.
     """
-    finished = overview.select("project_id", "project_summary")
-    parts = tree.filter(F.col("tree_text") != "").select("project_id", "part", "tree_text").join(
-        summaries, ["project_id", "part"], "full"
+    tree_parts = tree.groupBy("project_id").agg(F.max("part").alias("_tree_parts"))
+    summary_parts_ = summaries.groupBy("project_id").agg(F.max("part").alias("_summary_parts"))
+    last = F.greatest("_tree_parts", F.coalesce("_summary_parts", F.lit(0)))
+    slots = (
+        overview.select("project_id", "project_summary")
+        .join(tree_parts, "project_id")
+        .join(summary_parts_, "project_id", "left")
+        .select("project_id", "project_summary", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     )
-    started = tree.filter((F.col("part") == 0) & (F.col("tree_text") != "")).select("project_id")
     none = F.array().cast(ARTIFACTS["file_summaries"].dataType)
+    text = F.coalesce("tree_text", F.lit(""))
     return (
-        parts.join(finished.join(started, "project_id", "left_semi"), "project_id")
+        slots.join(tree.select("project_id", "part", "tree_text"), ["project_id", "part"], "left")
+        .join(summaries, ["project_id", "part"], "left")
+        .filter((F.col("part") > 0) | (text != ""))
         .select(
             "project_id",
             "part",
-            F.coalesce("tree_text", F.lit("")).alias("tree_text"),
+            text.alias("tree_text"),
             F.coalesce("file_summaries", none).alias("file_summaries"),
             "project_summary",
         )

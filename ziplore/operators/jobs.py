@@ -1,8 +1,8 @@
 """Job analytics over the message log ``job_id, event_id, ts, msg``.
 
 Messages are ordered by ``(ts, event_id)``. Nothing here sorts a whole job:
-per-job facts are groupings, and they are joined back to the messages, where
-Spark splits a job that dominates the log.
+per-job facts are groupings, and they are joined back to the messages in
+slices, so a job that dominates the log is no hot spot.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.functions.messages import CLOSE, is_done, message_body, message_type, stage_of
+from ziplore.operators.joins import join_salted
 from ziplore.operators.ranking import top_per_key
 
 PROGRESS_STEP = 10
@@ -33,7 +34,7 @@ def _first_close(log: DataFrame) -> DataFrame:
 
 def events_until_close(log: DataFrame) -> DataFrame:
     """Messages strictly before the first ``close`` of their job."""
-    joined = log.join(_first_close(log), "job_id", "left")
+    joined = join_salted(log, _first_close(log), ["job_id"], "event_id", "left")
     return joined.filter(F.col("_close").isNull() | (_at() < F.col("_close"))).drop("_close")
 
 
@@ -63,7 +64,7 @@ def job_progress(log: DataFrame) -> DataFrame:
         .otherwise(F.least(F.lit(PROGRESS_CAP), reached))
     )
     return (
-        open_log.join(facts, "job_id", "left")
+        join_salted(open_log, facts, ["job_id"], "event_id", "left")
         .withColumn("progress", progress)
         .drop("_steps", "_done")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.functions.paths import base_name, depth_of, parent_of
+from ziplore.operators.joins import join_by_block
 from ziplore.operators.ranking import rank_by_sort
 from ziplore.session import pin
 
@@ -86,10 +87,8 @@ def with_last_flag(nodes: DataFrame) -> DataFrame:
     The last child per parent is a grouping, joined back on the node itself:
     both sides are unique there, so a huge directory is no hot key.
     """
-    last = (
-        nodes.groupBy("project_id", "parent")
-        .agg(F.max_by("node", "first").alias("node"))
-        .select("project_id", "node", F.lit(True).alias("is_last"))
+    last = _last_children(nodes).select(
+        "project_id", F.col("last_child").alias("node"), F.lit(True).alias("is_last")
     )
     return nodes.join(last, ["project_id", "node"], "left").withColumn(
         "is_last", F.coalesce("is_last", F.lit(False))
@@ -108,24 +107,28 @@ def file_order(files: DataFrame) -> DataFrame:
     return rank_by_sort(placed, ["project_id"], ["_place"], out="ord").drop("_place")
 
 
+def _last_children(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("project_id", "parent").agg(F.max_by("node", "first").alias("last_child"))
+
+
 def _directories(nodes: DataFrame) -> DataFrame:
     """Per directory: chain of its ancestors and itself, and its last child.
 
     The root of a project counts as the directory with an empty name and an
     empty chain.
     """
-    last = nodes.groupBy("project_id", F.col("parent").alias("dir")).agg(
-        F.max_by("node", "first").alias("last_child")
+    last = _last_children(nodes)
+    is_last = last.select("project_id", F.col("last_child").alias("dir"), F.lit(True).alias("is_last"))
+    own = (
+        nodes.filter("has_children")
+        .select("project_id", F.col("node").alias("dir"), "first")
+        .join(is_last, ["project_id", "dir"], "left")
+        .withColumn("is_last", F.coalesce("is_last", F.lit(False)))
     )
-    own = nodes.filter("has_children").select("project_id", F.col("node").alias("dir"), "parent", "first")
-    # is_last of a directory: it is the last child of its own parent.
-    ranked = own.join(
-        last.select("project_id", F.col("dir").alias("parent"), F.col("last_child").alias("_last")),
-        ["project_id", "parent"],
-    ).select("project_id", "dir", "first", (F.col("dir") == F.col("_last")).alias("is_last"))
     steps = own.select(
         "project_id",
         "dir",
+        F.col("first.seq").alias("seq"),
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(1), F.size(F.split("dir", "/"))),
@@ -133,18 +136,21 @@ def _directories(nodes: DataFrame) -> DataFrame:
             )
         ).alias("level", "ancestor"),
     )
+    ancestors = own.withColumnRenamed("dir", "ancestor")
     chains = (
-        steps.join(ranked.withColumnRenamed("dir", "ancestor"), ["project_id", "ancestor"])
+        join_by_block(steps, ancestors, ["project_id", "ancestor"], F.col("seq"))
         .groupBy("project_id", "dir")
         .agg(F.array_sort(F.collect_list(F.struct("level", "first", "is_last"))).alias("chain"))
     )
-    return last.join(chains, ["project_id", "dir"], "left").withColumnRenamed("dir", "parent")
+    return last.join(
+        chains.withColumnRenamed("dir", "parent"), ["project_id", "parent"], "left"
+    )
 
 
 def _guide_rows(files: DataFrame) -> DataFrame:
     """Every node with its drawn line and its sort key within the project."""
     nodes = pin(tree_nodes(files))
-    rows = nodes.join(_directories(nodes), ["project_id", "parent"])
+    rows = join_by_block(nodes, _directories(nodes), ["project_id", "parent"], F.col("first.seq"))
     none = F.array().cast("array<struct<level:int,first:struct<depth:int,name:string,seq:bigint>,is_last:boolean>>")
     chain = F.coalesce(F.col("chain"), none)
     guides = F.array_join(F.transform(chain, lambda c: F.when(c["is_last"], GAP).otherwise(PIPE)), "")
@@ -191,7 +197,7 @@ def _grouped_rows(files: DataFrame) -> DataFrame:
         "seq",
     )
     starts = rows.groupBy("project_id", "parent").agg(F.min("parts").alias("start"))
-    return rows.join(starts, ["project_id", "parent"]).select(
+    return join_by_block(rows, starts, ["project_id", "parent"], F.col("seq")).select(
         "project_id",
         "node",
         "parent",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ziplore.functions.paths import escapes_root, normalise_path
+from ziplore.functions.paths import escapes_root, normalise_path, upload_name_accepted
 from ziplore.functions.text import MODEL_BLANKS, strip
+from ziplore.operators.joins import join_salted
 from ziplore.schemas import FILE_KINDS
 from ziplore.sources.archives import MAX_ARCHIVE_MB, MAX_MEMBER_MB, MB, archive_faults
 
@@ -54,7 +55,7 @@ def size_limit(df: DataFrame, size_col: str, limit_mb: float) -> DataFrame:
 
 
 def _without_projects(df: DataFrame, flagged: DataFrame) -> DataFrame:
-    return df.join(flagged.select("project_id").distinct(), "project_id", "left_anti")
+    return join_salted(df, flagged.select("project_id").distinct(), ["project_id"], "seq", "left_anti")
 
 
 def member_size_guard(members: DataFrame, max_mb: float = MAX_MEMBER_MB) -> DataFrame:
@@ -94,8 +95,6 @@ def exclude_rejected(rows: DataFrame, status: DataFrame) -> DataFrame:
 
 def accepted_uploads(df: DataFrame, name_col: str) -> DataFrame:
     """Uploads whose name ends in ``.zip``, in any case."""
-    from ziplore.functions.paths import upload_name_accepted
-
     return df.filter(upload_name_accepted(F.col(name_col)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ziplore.operators.validate import result_fault
+from ziplore.operators.validate import clean_result, result_fault
 
 _ITEMS = "array<map<string,string>>"
 _FIELDS = ("rel_path", "kind", "summary", "lines", "size_bytes", "language")
@@ -52,8 +52,6 @@ def read_file_summaries(df: DataFrame, json_col: str = "summaries_json", mode: s
     rows = df.select(*kept, F.posexplode(shaped_items).alias("item_no", "item"))
     if mode == "legacy":
         return rows.select(*kept, "item_no", *[F.col(f"item.{f}") for f in _FIELDS])
-    from ziplore.operators.validate import clean_result
-
     return rows.select(*kept, "item_no", clean_result(F.col("item")).alias("item")).select(
         *kept, "item_no", *[F.col(f"item.{f}") for f in _FIELDS]
     )
