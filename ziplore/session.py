@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,30 +28,33 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the session.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    That is the checkpoint folder, else a folder below the warehouse.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="ziplore-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not folder:
+        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for ``name`` below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/ziplore-{uuid.uuid4().hex}/{name}"
+    """A fresh path for ``name`` below the shared folder, removed when the session's JVM ends."""
+    root = f"{shared_folder(spark)}/ziplore-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{root}/{name}"
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy.
+    """Write ``df`` as Parquet to the shared folder and go on from the copy.
 
     Used where a result is read more than once and is either costly to build
     or depends on how rows fell into partitions. The copy survives the loss of
-    executors, which a cached or locally checkpointed frame does not.
+    executors, which a cached or locally checkpointed frame does not, and later
+    steps read only the columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
