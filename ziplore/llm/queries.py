@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ziplore.llm import quality
+from ziplore.llm import pii, quality, secrets
+from ziplore.llm.spans import listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def counted(found: str, kinds: tuple[str, ...]) -> list:
+    """How many spans there are of each kind."""
+    return [
+        F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in kinds
+    ]
+
+
+def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    return found.select(
+        "doc_id",
+        *counted("base", kinds),
+        F.sha2(listing(F.col("base")), 256).alias("base_sha256"),
+        listing(F.col("found")).alias("spans"),
+    )
+
+
+def op2_pii(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(spark))
+    return span_digest(found.drop("text"), pii.BASE)
+
+
+def op7_secret_scans(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return span_digest(secrets.find_secrets(docs), secrets.BASE)
+
+
 def op9_quality_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge_documents(docs).select(
@@ -25,6 +53,8 @@ def op9_quality_rules(spark, sf):
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii": op2_pii,
+    "op7_secret_scans": op7_secret_scans,
     "op9_quality_rules": op9_quality_rules,
 }
 

@@ -56,6 +56,34 @@ def spans_where(gate: Column, text: Column, pattern: str) -> Column:
     return F.when(gate, spans(text, pattern)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def spans_with_context(gate: Column, text: Column, pattern: str, width: int = 40) -> Column:
+    """``spans`` with the text ``before`` and ``after`` each, up to the next match or ``width``."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    near = F.transform(
+        gaps,
+        lambda g: F.struct(
+            F.right(g, F.lit(width)).alias("tail"), F.left(g, F.lit(width)).alias("head")
+        ),
+    )
+    empty = F.array().cast(
+        "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
+    )
+    zipped = F.zip_with(
+        F.zip_with(spans(text, pattern), near, lambda s, g: F.struct(s.alias("s"), g["tail"].alias("b"))),
+        F.slice(near, 2, F.greatest(F.size(hits), F.lit(1))),
+        lambda x, g: F.struct(
+            x["s"]["start"].alias("start"),
+            x["s"]["end"].alias("end"),
+            x["s"]["hit"].alias("hit"),
+            x["b"].alias("before"),
+            g["head"].alias("after"),
+        ),
+    )
+    # The gaps are one more than the matches: the last place of the first zip holds no span.
+    return F.when(gate, F.filter(zipped, lambda x: x["hit"].isNotNull())).otherwise(empty)
+
+
 def ranked(found: Column, rank: int, kind: str) -> Column:
     """Spans as ``struct<start, rank, end, kind>``, which sorts by start, then kind as listed."""
     return F.transform(
