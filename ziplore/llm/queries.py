@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ziplore.llm import pii, quality, secrets
+from ziplore.llm import packing, pii, quality, secrets, urls
 from ziplore.llm.spans import listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,20 @@ def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def op1_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
 def op2_pii(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs, pii.train(spark))
     return span_digest(found.drop("text"), pii.BASE)
 
 
+def op4_url_filters(spark, sf):
+    return urls.judge_urls(table(spark, sf, "pages").select("page_id", "url")).drop("url")
+
+
 def op7_secret_scans(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return span_digest(secrets.find_secrets(docs), secrets.BASE)
@@ -53,12 +61,45 @@ def op9_quality_rules(spark, sf):
 
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
     "op2_pii": op2_pii,
+    "op4_url_filters": op4_url_filters,
     "op7_secret_scans": op7_secret_scans,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+# --- SQL twins ------------------------------------------------------------
+
+OP4_SQL = r"""
+WITH a AS (
+  SELECT page_id, strpos(coalesce(url, ''), '://') AS pos, coalesce(url, '') AS u FROM pages
+), b AS (
+  SELECT page_id, CASE WHEN pos > 0 THEN substr(u, pos + 3) ELSE '' END AS r FROM a
+), c AS (
+  SELECT page_id,
+         translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM b
+), d AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM c
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN len(list_filter(string_split(host, '.'), lambda x:
+      list_has_any(string_split(x, '-'), ['casino', 'bets', 'pills', 'adult', 'spam', 'ads']))) > 0 THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM d
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_url_filters": OP4_SQL,
+}
 
 
 def llm_queries() -> dict[str, Query]:
