@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ziplore.llm import chat, packing, pii, quality, secrets, urls
+from ziplore.llm import chat, packing, pieces, pii, quality, secrets, urls
 from ziplore.llm.spans import listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op7_secret_scans(spark, sf):
     return span_digest(secrets.find_secrets(docs), secrets.BASE)
 
 
+def op8_sentencepiece(spark, sf):
+    """Ids and score of every text, and the digest of the text that the ids decode to."""
+    encoded = pieces.encode_texts(table(spark, sf, "documents").select("doc_id", "text"))
+    return pieces.decode_ids(encoded).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        "score",
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_quality_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge_documents(docs).select(
@@ -75,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
     "op4_url_filters": op4_url_filters,
     "op7_secret_scans": op7_secret_scans,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat": op10_chat,
 }
