@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ziplore.llm import chat, packing, pieces, pii, quality, secrets, urls
+from ziplore.llm import chat, language_model, near_dedup, packing, pieces, pii, quality, secrets, urls
 from ziplore.llm.spans import listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,14 @@ def op4_url_filters(spark, sf):
     return urls.judge_urls(table(spark, sf, "pages").select("page_id", "url")).drop("url")
 
 
+def op5_language_model(spark, sf):
+    return language_model.score_documents(table(spark, sf, "documents"))
+
+
+def op6_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
 def op7_secret_scans(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return span_digest(secrets.find_secrets(docs), secrets.BASE)
@@ -86,6 +94,8 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op4_url_filters": op4_url_filters,
+    "op5_language_model": op5_language_model,
+    "op6_near_dedup": op6_near_dedup,
     "op7_secret_scans": op7_secret_scans,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
