@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+# A key is hot with more than one HOT-th of all rows, and at least so many.
+HOT = 256
+LEAST_HOT = 1000
 BLOCK_ROWS = 65_536
 
 
@@ -27,6 +30,33 @@ def join_salted(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_measured(
+    rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "inner"
+) -> DataFrame:
+    """``join_salted`` with as many slices per key as its share of the rows asks for.
+
+    Only keys with more than one ``HOT``-th of all rows are cut, so there are
+    fewer than ``HOT`` of them: they are broadcast, and facts of other keys are
+    not repeated. ``rows`` are read three times; pass pinned ones.
+    """
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    slices = F.ceil(F.col("_n") * HOT / total).cast("int")
+    hot = (
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") * HOT > total)
+        .filter(F.col("_n") > LEAST_HOT)
+        .select(*keys, slices.alias("_slices"))
+    )
+    cut = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_slices", F.lit(1))).cast("int")
+    )
+    repeated = facts.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
+    )
+    return cut.drop("_slices").join(repeated.drop("_slices"), [*keys, "_salt"], how).drop("_salt")
+
+
 def join_by_block(rows: DataFrame, facts: DataFrame, keys: list[str], seq: Column) -> DataFrame:
     """Inner join where rows of a key are cut by blocks of their ``seq``.
 
