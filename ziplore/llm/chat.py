@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ziplore.llm.packing import encoder
-from ziplore.operators.joins import join_salted
+from ziplore.operators.joins import join_measured
 from ziplore.session import pin
 
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -182,15 +182,15 @@ def build_tree(convs: DataFrame, path: str | None = None) -> DataFrame:
 def _on_paths(paths: DataFrame, flat: DataFrame) -> DataFrame:
     """For every path its nodes' intervals in order of depth."""
     steps = paths.select("leaf", F.posexplode("path").alias("depth", "node"))
-    spans = join_salted(steps, flat.select("node", "n_ids", "flat_start", "flat_end"), ["node"], "leaf")
+    spans = join_measured(steps, flat.select("node", "n_ids", "flat_start", "flat_end"), ["node"], "leaf")
     return spans.groupBy("leaf").agg(
-        F.sort_array(F.collect_list(F.struct("depth", "n_ids", "flat_start", "flat_end"))).alias("way")
+        F.sort_array(F.collect_list(F.struct("depth", "node", "n_ids", "flat_start", "flat_end"))).alias("way")
     )
 
 
 def _attending(nodes: DataFrame, paths: DataFrame, flat: DataFrame) -> DataFrame:
-    """Add position and attention intervals, from the path that brought a node in."""
-    ways = _on_paths(paths, flat).join(paths.select("leaf", "_pos"), "leaf").select("_pos", "way")
+    """Add place, position and attention intervals, from the path that brought a node in."""
+    ways = _on_paths(paths, flat).join(paths.select("leaf", "first"), "leaf")
     merged = lambda steps: F.aggregate(
         # Neighbouring intervals become one: a node right after its parent.
         steps,
@@ -203,16 +203,22 @@ def _attending(nodes: DataFrame, paths: DataFrame, flat: DataFrame) -> DataFrame
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(s["flat_start"].alias("from"), s["flat_end"].alias("to"))))),
     )
-    return (
-        nodes.join(ways, "_pos")
-        .withColumn("_up", F.slice("way", 1, F.col("depth") + 1))
-        .select(
-            "tree", "node", "parent", "depth", "ids", "loss_start", "loss_end",
-            (F.aggregate("_up", F.lit(0).cast("long"), lambda acc, s: acc + s["n_ids"]) - F.col("n_ids")).alias("position"),
-            F.element_at("_up", -1)["flat_start"].alias("flat_start"),
-            F.element_at("_up", -1)["flat_end"].alias("flat_end"),
-            merged(F.col("_up")).alias("attends"),
-        )
+    # Intervals are merged before the rows of a path are multiplied by its nodes.
+    own = F.transform(
+        F.sequence(F.col("first") + 1, F.size("way")),
+        lambda d: F.struct(
+            F.element_at("way", d)["node"].alias("node"),
+            F.element_at("way", d)["flat_start"].alias("flat_start"),
+            F.element_at("way", d)["flat_end"].alias("flat_end"),
+            F.aggregate(
+                F.slice("way", 1, d - 1), F.lit(0).cast("long"), lambda acc, s: acc + s["n_ids"]
+            ).alias("position"),
+            merged(F.slice("way", 1, d)).alias("attends"),
+        ),
+    )
+    placed = ways.select(F.explode(own).alias("p")).select("p.*")
+    return nodes.join(placed, "node").select(
+        "tree", "node", "parent", "depth", "ids", "loss_start", "loss_end", "position", "flat_start", "flat_end", "attends"
     )
 
 
@@ -234,7 +240,7 @@ def read_back(tree: DataFrame, members: DataFrame, path: str | None = None) -> D
     """
     ways = members.groupBy("leaf").agg(F.min_by("path", "conv_id").alias("path"))
     steps = ways.select("leaf", F.posexplode("path").alias("depth", "node"))
-    parts = join_salted(steps, tree.select("node", "ids", "loss_start", "loss_end"), ["node"], "leaf")
+    parts = join_measured(steps, tree.select("node", "ids", "loss_start", "loss_end"), ["node"], "leaf")
     whole = parts.groupBy("leaf").agg(
         F.sort_array(F.collect_list(F.struct("depth", "ids", "loss_start", "loss_end"))).alias("way")
     )
@@ -271,4 +277,4 @@ def digests(read: DataFrame, members: DataFrame) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
-    return join_salted(members.select("conv_id", "leaf"), known, ["leaf"], "conv_id").drop("leaf")
+    return join_measured(members.select("conv_id", "leaf"), known, ["leaf"], "conv_id").drop("leaf")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.llm.components import components
-from ziplore.operators.joins import join_salted
+from ziplore.operators.joins import join_measured
 from ziplore.session import pin
 
 SEPARATOR = r"[\x20\x09-\x0D]+"
@@ -296,7 +296,7 @@ def _links(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
     """Enough links between different texts to give the components."""
     exploded = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
     shared = pin(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    rows = pin(join_salted(exploded, shared, ["bucket"], "doc_id"))
+    rows = pin(join_measured(exploded, shared, ["bucket"], "doc_id"))
     if rows.isEmpty():
         return None
     central = rows.groupBy("doc_id").agg(F.sum("n").alias("central"))
@@ -309,7 +309,7 @@ def _links(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
             .agg(F.max(F.struct("central", (-F.col("doc_id")).alias("id"))).alias("m"), F.count(F.lit(1)).alias("held"))
             .select("bucket", (-F.col("m.id")).alias("hub"), "held")
         )
-        met = join_salted(rows.select("bucket", "doc_id"), hubs, ["bucket"], "doc_id")
+        met = join_measured(rows.select("bucket", "doc_id"), hubs, ["bucket"], "doc_id")
         tried = met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
         fresh = _confirm(tried, docs, nodes, common)
         links = fresh if links is None else pin(links.unionByName(fresh))
@@ -321,7 +321,7 @@ def _links(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
             .select("bucket")
             .join(hubs, "bucket")
         )
-        open_ = pin(join_salted(rows, mixed, ["bucket"], "doc_id"))
+        open_ = pin(join_measured(rows, mixed, ["bucket"], "doc_id"))
         small = pin(
             open_.filter(F.col("held") <= SMALL_BUCKET)
             .select("bucket", "doc_id")
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drawn = pin(sketches(docs, common))
     with_words = drawn.filter(F.col("doc_id").isNotNull() & (F.size("buckets") > 0))
     copies = with_words.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    joined = join_salted(with_words.select("doc_id", "h1", "h2"), copies.drop("_n"), ["h1", "h2"], "doc_id", "left")
+    joined = join_measured(with_words.select("doc_id", "h1", "h2"), copies.drop("_n"), ["h1", "h2"], "doc_id", "left")
     owned = pin(joined.select("doc_id", F.coalesce("_first", "doc_id").alias("node")))
     firsts = owned.filter("doc_id = node").select("doc_id").distinct()
     nodes = pin(with_words.dropDuplicates(["doc_id"]).join(firsts, "doc_id", "left_semi"))
@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes = owned.select("doc_id", F.col("node").alias("cluster_id"))
     else:
         labels = components(links).select(F.col("id").alias("node"), "component")
-        classes = join_salted(owned, labels, ["node"], "doc_id", "left").select(
+        classes = join_measured(owned, labels, ["node"], "doc_id", "left").select(
             "doc_id", F.coalesce("component", "node").alias("cluster_id")
         )
     # Rows that repeat an id share the class of the smallest.

@@ -32,7 +32,7 @@ MODEL = "piece_bpe_32k.model"
 #: How far below the least piece score a byte stands.
 BYTE_PENALTY = 10.0
 #: Words whose paths a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: Longest word that is kept.
 KEPT_LENGTH = 64
 
@@ -58,7 +58,7 @@ class Pieces:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.byte_score = least - BYTE_PENALTY
-        self.kept: dict[str, tuple[list[int], float]] = {}
+        self.kept: dict[str, tuple[bytes, float]] = {}
 
     def best_path(self, word: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation: one pass, relaxing over all pieces ending at each place."""
@@ -93,22 +93,23 @@ class Pieces:
             size = len(word[end - 1].encode("utf-8", "replace"))
             best[end], came[end] = best[end - 1] + size * self.byte_score, (1, -1)
 
-    def encode(self, text: str | None) -> tuple[list[int], float]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, float]:
         if not text:
-            return [], 0.0
-        ids: list[int] = []
+            return np.zeros(0, np.int32), 0.0
+        ids: list[bytes] = []
         total, kept = 0.0, self.kept
         for word in _WORD.findall(SPACE + text.replace(" ", SPACE)):
             hit = kept.get(word)
             if hit is None:
-                hit = self.best_path(word)
+                path, score = self.best_path(word)
+                hit = np.array(path, np.int32).tobytes(), score
                 if len(word) <= KEPT_LENGTH:
                     if len(kept) >= KEPT_WORDS:
                         kept.clear()
                     kept[word] = hit
-            ids += hit[0]
+            ids.append(hit[0])
             total += hit[1]
-        return ids, total
+        return np.frombuffer(b"".join(ids), np.int32), total
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are no valid text become replacement characters."""
@@ -151,6 +152,13 @@ def load(path: str | None = None) -> Pieces:
     return _models[path]
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Smaller batches, so that lists of ids are never held for many texts at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Replace the text by ``ids`` and the ``score`` of the best segmentation."""
     kept = [f for f in docs.schema.fields if f.name not in (text, "ids", "score")]
@@ -158,12 +166,9 @@ def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text") -
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [model.encode(t) for t in batch[text]]
-            out = batch[names].copy()
-            out["ids"] = [np.array(ids, dtype=np.int32) for ids, _ in found]
-            out["score"] = [score for _, score in found]
-            yield out
+            yield batch[names].assign(ids=[ids for ids, _ in found], score=[score for _, score in found])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "score double"])
     return docs.select(*names, text).mapInPandas(encode, schema)
@@ -175,7 +180,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None, text: str = "text")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = ["" if ids is None else model.decode(ids.tolist()) for ids in batch["ids"]]
             yield batch[[f.name for f in fields]].assign(**{text: texts})
 

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ziplore.operators.joins import join_salted
+from ziplore.operators.joins import join_measured
 from ziplore.session import pin
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -177,7 +177,7 @@ def _fits(rows: DataFrame, names: list[str], scale: float) -> DataFrame:
 
 
 def _measured(rows: DataFrame, fits: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
-    joined = join_salted(rows, fits, ["_lang", "_source"], "_row", how)
+    joined = join_measured(rows, fits, ["_lang", "_source"], "_row", how)
     return joined.withColumn("_d2", _distance(names)).drop("fit")
 
 
@@ -229,7 +229,7 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
         limits = measured.groupBy(*group).agg(
             F.percentile_approx("_d2", CORE_SHARE, 1000).alias("_limit")
         )
-        core = join_salted(measured, limits, group, "_row").filter("_d2 <= _limit")
+        core = join_measured(measured, limits, group, "_row").filter("_d2 <= _limit")
         fits = pin(_fits(core, names, CONSISTENCY))
     judged = _measured(rows, fits, names, "left")
     return judged.select(

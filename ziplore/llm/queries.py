@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ziplore.llm import chat, language_model, near_dedup, packing, pieces, pii, quality, secrets, urls
+from ziplore.llm import chat, language_model, near_dedup, packing, pieces, pii, quality, secrets, urls, vector_dedup
 from ziplore.llm.spans import listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op2_pii(spark, sf):
     return span_digest(found.drop("text"), pii.BASE)
 
 
+def op3_embedding_dedup(spark, sf):
+    return vector_dedup.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
 def op4_url_filters(spark, sf):
     return urls.judge_urls(table(spark, sf, "pages").select("page_id", "url")).drop("url")
 
@@ -93,6 +97,7 @@ def op10_chat(spark, sf):
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_language_model": op5_language_model,
     "op6_near_dedup": op6_near_dedup,
