@@ -82,7 +82,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     """One row per piece of a document, with its ids if wanted."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        # Few texts at a time, so that the ids of long ones are not all held together.
+        for batch in (b.iloc[i : i + 500] for b in batches for i in range(0, len(b), 500)):
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = np.array(encode(text, path) + [0], dtype="<u4")

@@ -11,7 +11,7 @@ Defined results: a null text counts as empty; repeated rows are judged each;
 null language or source form groups of their own; groups of fewer than
 ``MIN_GROUP`` rows, and texts without a word, are judged by the fixed rules only;
 an empty table gives an empty result. Columns of the input that clash with
-those added are replaced.
+those added are replaced, those that begin with an underscore are dropped.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """Word, line and repetition counts of every text; the text itself is dropped."""
     text = F.coalesce(F.col("text"), F.lit(""))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    kept = [c for c in docs.columns if c != "text" and c not in added]
+    kept = [c for c in docs.columns if c != "text" and c not in added and not c.startswith("_")]
     words = docs.select(
         *kept,
         text.alias("_text"),

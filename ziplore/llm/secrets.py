@@ -12,7 +12,8 @@ text, and an equi-join on neighbouring bins answers "is there a part within
 reach", so a crowded scope yields a few rows per weak part, never pairs.
 
 Defined results: a null text counts as empty; repeated rows are searched each;
-an empty table gives an empty result.
+an empty table gives an empty result. Columns of the input that clash with
+those added are replaced, those that begin with an underscore are dropped.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _covered(span: Column, taken: Column) -> Column:
 
 def find_parts(docs: DataFrame) -> DataFrame:
     """Replace the text by ``base`` and ``weak`` spans and the places of blank lines, ``breaks``."""
-    kept = [c for c in docs.columns if c not in ("text", "base", "weak", "breaks")]
+    kept = [c for c in docs.columns if c not in ("text", "base", "weak", "breaks", "found") and not c.startswith("_")]
     text = F.col("_text")
     base = base_spans(text)
     first = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text")).select(

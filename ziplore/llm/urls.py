@@ -15,7 +15,8 @@ an equi-join on the key.
 
 Defined results: host and path of a null URL, or one without ``://``, are
 empty; such a URL is allowed; repeated rows are judged each; an empty table
-gives an empty result, and an empty list allows.
+gives an empty result, and an empty list allows. Columns of the input that
+clash with those added are replaced, those that begin with an underscore dropped.
 """
 
 from __future__ import annotations
@@ -178,7 +179,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -
     ``listed`` has the block list as ``key``, hosts or domains; without one, the
     corpus's own hosts with ``LISTED_WORDS`` are listed.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict") and not c.startswith("_")]
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(*kept, host.alias("host"), path.alias("path"))
     hosts = pin(parsed.select("host").distinct())
