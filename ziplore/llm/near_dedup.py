@@ -35,10 +35,9 @@ from ziplore.llm.components import components
 from ziplore.operators.joins import join_measured
 from ziplore.session import pin
 
-SEPARATOR = r"[\x20\x09-\x0D]+"
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 20, 6
+BANDS, ROWS = 14, 5
 #: Document frequencies are counted in so many hashed counters; a share below
 #: ``RARE`` of all documents counts as rare, and the most common shingle weighs
 #: ``1 - DAMPING`` of a rare one. Stronger weights would pull apart the near
@@ -49,8 +48,8 @@ DAMPING = 0.25
 #: Least share of equal samples for which two texts are compared exactly: three
 #: standard deviations below the threshold.
 LIKELY = 0.68
-#: Bucket rows compared within one task, and pairs that one text tries with
-#: another component at a time.
+#: Bucket rows compared within one task, and pairs that one text first tries
+#: with another component; later it tries eight times as many, till none is left.
 SMALL_BUCKET = 2000
 TRIES = 8
 
@@ -80,15 +79,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles (as 64-bit numbers) of one text's word hashes, and how often each occurs."""
+    return np.unique(_shingled(words), return_counts=True)
+
+
+def _shingled(words: np.ndarray) -> np.ndarray:
     n = len(words)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     size = min(SHINGLE, n)
     total = np.full(n - size + 1, size, dtype=np.uint64)
     for i in range(size):
         total = (total * _U(0x9E3779B97F4A7C15)) ^ words[i : n - size + 1 + i]
         total = (total << _U(23)) | (total >> _U(41))
-    return np.unique(_mixed(total), return_counts=True)
+    return _mixed(total)
 
 
 def weights(found: np.ndarray, often: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -110,9 +113,10 @@ class Sampler:
         best, drawn = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
         for at in range(0, len(found), 2048):
             h, w = found[at : at + 2048, None], weight[at : at + 2048]
-            c = self.log_c[(h * self.odd[0]) >> _U(48)]
-            j = (h * self.odd[1]) >> _U(48)
-            value = c - self.unit[j]
+            # Indices below 65536, so signed and unsigned are the same bits.
+            c = self.log_c.take(((h * self.odd[0]) >> _U(48)).view(np.int64))
+            j = ((h * self.odd[1]) >> _U(48)).view(np.int64)
+            value = c - self.unit.take(j)
             level = None
             other = np.flatnonzero(w != 1)
             if len(other):
@@ -134,21 +138,50 @@ class Sampler:
         return drawn
 
 
-def _word_hashes(text):
-    words = F.filter(F.split(text, SEPARATOR, -1), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+_SEPARATES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS = np.full(65536, 0x9E3779B97F4A7C15, np.uint64)
+_POWERS[0] = 1
+_POWERS = np.cumprod(_POWERS)
+#: Bytes of text whose words are hashed at a time.
+CHUNK = 1 << 20
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, and where each text's words end."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    gap = _SEPARATES[data]
+    starts = ~gap
+    after = gap[:-1].copy()
+    after[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = True
+    starts[1:] &= after
+    starts = np.flatnonzero(starts)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    place = np.arange(starts[0], len(data))
+    place -= np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+    # Each byte times a power by its place in the word; gaps count nothing.
+    value = (data[starts[0] :].astype(np.uint64) + _U(1)) * _POWERS[place & 65535]
+    value[gap[starts[0] :]] = 0
+    return _mixed(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, offsets[1:], "left")
 
 
 def _bags(column: pa.Array) -> Iterator[np.ndarray]:
-    """The word hashes of each row of a list column, without copying."""
+    """The word hashes of each text of a string column; none for null."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    ends = np.cumsum(np.nan_to_num(np.array(column.value_lengths().to_numpy(zero_copy_only=False), dtype=np.float64))).astype(np.int64)
-    begin = 0
-    for end in ends:
-        yield flat[begin:end]
-        begin = end
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        words, ends = _hashed(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
+        begin = 0
+        for end in ends:
+            yield words[begin:end]
+            begin = end
+        row = last
 
 
 # --- document frequencies -------------------------------------------------
@@ -165,7 +198,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             for words in _bags(batch.column(0)):
                 if len(words):
                     rows += 1
-                    spots = np.unique((shingles(words)[0] % _U(COUNTERS)).astype(np.int64))
+                    spots = np.unique((_shingled(words) % _U(COUNTERS)).astype(np.int32))
                     held[spots] += 1
         if rows:
             blocks = held.astype("<i8").reshape(-1, BLOCK)
@@ -187,7 +220,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
                 {"block": pa.array(list(sums), pa.int32()), "counts": pa.array([s.tobytes() for s in sums.values()], pa.binary())}
             )
 
-    parts = docs.select(_word_hashes(F.col("text")).alias("words")).mapInArrow(count, "block int, counts binary")
+    parts = docs.select("text").mapInArrow(count, "block int, counts binary")
     # COUNTERS numbers in all, however large the corpus.
     totals = parts.repartition(16, "block").mapInArrow(add, "block int, counts binary").collect()
     by = {r["block"]: np.frombuffer(r["counts"], "<i8") for r in totals}
@@ -209,7 +242,7 @@ def sketches(docs: DataFrame, common) -> DataFrame:
         sampler = Sampler()
         for batch in batches:
             keys, bytes_ = [], []
-            for words in _bags(batch.column(batch.schema.get_field_index("words"))):
+            for words in _bags(batch.column(batch.schema.get_field_index("text"))):
                 if not len(words):
                     keys.append([])
                     bytes_.append(b"")
@@ -227,8 +260,7 @@ def sketches(docs: DataFrame, common) -> DataFrame:
                 names=[*names, "buckets", "sketch"],
             )
 
-    hashed = docs.select("doc_id", "h1", "h2", _word_hashes(F.col("text")).alias("words"))
-    return hashed.mapInArrow(sketch, "doc_id bigint, h1 bigint, h2 bigint, buckets array<bigint>, sketch binary")
+    return docs.select("doc_id", "h1", "h2", "text").mapInArrow(sketch, "doc_id bigint, h1 bigint, h2 bigint, buckets array<bigint>, sketch binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
@@ -247,9 +279,7 @@ def verified(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
-    both = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", _word_hashes(F.col("_ta")).alias("wa"), _word_hashes(F.col("_tb")).alias("wb")
-    )
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
     return both.mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
@@ -262,8 +292,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, common) -> Dat
     return pin(verified(pairs, texts, common).filter(F.col("similarity") >= THRESHOLD).distinct())
 
 
-def _pairs_in_bucket(skip: int):
-    """Likely pairs across components, the ``TRIES`` most alike per text and component from the ``skip``-th on."""
+def _pairs_in_bucket(skip: int, tries: int):
+    """Likely pairs across components, the ``tries`` most alike per text and component from the ``skip``-th on."""
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         ids, comps = group["doc_id"].to_numpy(), group["component"].to_numpy()
@@ -277,7 +307,7 @@ def _pairs_in_bucket(skip: int):
             hit = hit[np.lexsort((ids[hit], -alike[hit], comps[hit]))]
             starts = np.flatnonzero(np.r_[True, comps[hit][1:] != comps[hit][:-1]])
             place = np.arange(len(hit)) - np.repeat(starts, np.diff(np.r_[starts, len(hit)]))
-            for j in hit[(place >= skip) & (place < skip + TRIES)]:
+            for j in hit[(place >= skip) & (place < skip + tries)]:
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -322,21 +352,23 @@ def _links(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
             .join(hubs, "bucket")
         )
         open_ = pin(join_measured(rows, mixed, ["bucket"], "doc_id"))
-        small = pin(
-            open_.filter(F.col("held") <= SMALL_BUCKET)
-            .select("bucket", "doc_id")
-            .join(nodes.select("doc_id", "sketch"), "doc_id")
+        few = open_.filter(F.col("held") <= SMALL_BUCKET).select("bucket", "doc_id")
+        # Buckets of different bands with the same members are looked at once.
+        members = few.groupBy("bucket").agg(
+            F.bit_xor(F.xxhash64("doc_id")).alias("_x"), F.sum("doc_id").alias("_s"), F.count(F.lit(1)).alias("_n")
         )
-        skip = 0
-        while True:
-            labelled = _labelled(small, links)
+        once = members.groupBy("_x", "_s", "_n").agg(F.min("bucket").alias("bucket")).select("bucket")
+        small = pin(few.join(once, "bucket").join(nodes.select("doc_id", "sketch"), "doc_id"))
+        skip, tries = 0, TRIES
+        while not small.isEmpty():
+            labelled = _labelled(small, links).repartition(48, "bucket")
             # Bounded groups: at most SMALL_BUCKET rows of a hundred bytes.
-            found = labelled.groupBy("bucket").applyInPandas(_pairs_in_bucket(skip), "a bigint, b bigint")
+            found = labelled.groupBy("bucket").applyInPandas(_pairs_in_bucket(skip, tries), "a bigint, b bigint")
             found = pin(found.distinct())
             if found.isEmpty():
                 break
             links = pin(links.unionByName(_confirm(found, docs, nodes, common)))
-            skip += TRIES
+            skip, tries = skip + tries, 8 * tries
         large = open_.filter(F.col("held") > SMALL_BUCKET)
         if large.isEmpty():
             return links
