@@ -238,7 +238,7 @@ def read_back(tree: DataFrame, members: DataFrame, path: str | None = None) -> D
     Every distinct path is put together and decoded once; its conversations
     share the result.
     """
-    ways = members.groupBy("leaf").agg(F.min_by("path", "conv_id").alias("path"))
+    ways = members.groupBy("leaf").agg(F.any_value("path").alias("path"))
     steps = ways.select("leaf", F.posexplode("path").alias("depth", "node"))
     parts = join_measured(steps, tree.select("node", "ids", "loss_start", "loss_end"), ["node"], "leaf")
     whole = parts.groupBy("leaf").agg(
