@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ziplore.llm import language_model, near_dedup, urls, vector_dedup
+from ziplore.llm import language_model, near_dedup, urls, vector_dedup, words
 from ziplore.llm.components import components
 
 URLS = [
@@ -59,6 +60,21 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     assert keys.filter(cascade.holds(F.col("key")) != (F.col("key") % 5 == 0)).count() == 0
 
 
+def test_word_hashes_against_split():
+    texts = ["", " ", None, "a", " a b ", "a  b", "b a", "ab", "é x\u00a0y", "x" * 70000 + " y", "a\tb\nc\x0bd", "\x1c a", "aB Ab"] * 40
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("ab \n😀é") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    known = {}
+    for text, own in zip(texts, words.bags(pa.array(texts, pa.string())), strict=True):
+        split = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        assert len(split) == len(own)
+        assert all(known.setdefault(w, h) == h for w, h in zip(split, own.tolist()))
+    assert len(set(known.values())) == len(known)
+    tails = [t for _, tails, _ in words.hashed_texts(pa.array(texts, pa.string()), lower=True) for t in tails.tolist()]
+    want = [w.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    assert tails == [(w[-2] if len(w) > 1 else 0) * 256 + w[-1] for w in want]
+
+
 # --- language model -------------------------------------------------------
 
 
@@ -71,7 +87,7 @@ def test_language_model_counts_and_gain(spark):
         rows.append((i, " ".join(rng.choice(words) + ("X" if rng.random() < 0.1 else "") for _ in range(rng.randint(0, 80)))))
     rows += [(300, None), (301, ""), (302, "ÀB ab\tAB\n unseen" + "y" * 3000), (None, "ba"), (7, rows[7][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit(1))
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans(language_model.UPPER, language_model.LOWER))) + [None]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + [None]
     counts = Counter()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     for i, t in rows:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.llm.components import components
+from ziplore.llm.words import bags, mixed
 from ziplore.operators.joins import join_measured
 from ziplore.session import pin
 
@@ -70,13 +71,6 @@ def _tables(seed: int = 20240501) -> tuple[np.ndarray, ...]:
     return log_c, r, beta, odd
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Bits of 64-bit numbers spread over all places."""
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles (as 64-bit numbers) of one text's word hashes, and how often each occurs."""
     return np.unique(_shingled(words), return_counts=True)
@@ -91,7 +85,7 @@ def _shingled(words: np.ndarray) -> np.ndarray:
     for i in range(size):
         total = (total * _U(0x9E3779B97F4A7C15)) ^ words[i : n - size + 1 + i]
         total = (total << _U(23)) | (total >> _U(41))
-    return _mixed(total)
+    return mixed(total)
 
 
 def weights(found: np.ndarray, often: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -133,57 +127,11 @@ class Sampler:
             best = np.where(better, held, best)
             name = found[at : at + 2048][least]
             if level is not None:
-                name = name ^ _mixed(level[least, every].astype(np.int64).astype(np.uint64))
+                name = name ^ mixed(level[least, every].astype(np.int64).astype(np.uint64))
             drawn = np.where(better, name, drawn)
         return drawn
 
 
-_SEPARATES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_POWERS = np.full(65536, 0x9E3779B97F4A7C15, np.uint64)
-_POWERS[0] = 1
-_POWERS = np.cumprod(_POWERS)
-#: Bytes of text whose words are hashed at a time.
-CHUNK = 1 << 20
-
-
-def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some texts, and where each text's words end."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    gap = _SEPARATES[data]
-    starts = ~gap
-    after = gap[:-1].copy()
-    after[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = True
-    starts[1:] &= after
-    starts = np.flatnonzero(starts)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    place = np.arange(starts[0], len(data))
-    place -= np.repeat(starts, np.diff(np.r_[starts, len(data)]))
-    # Each byte times a power by its place in the word; gaps count nothing.
-    value = (data[starts[0] :].astype(np.uint64) + _U(1)) * _POWERS[place & 65535]
-    value[gap[starts[0] :]] = 0
-    return _mixed(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, offsets[1:], "left")
-
-
-def _bags(column: pa.Array) -> Iterator[np.ndarray]:
-    """The word hashes of each text of a string column; none for null."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(column):
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-        words, ends = _hashed(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
-        begin = 0
-        for end in ends:
-            yield words[begin:end]
-            begin = end
-        row = last
-
-
 # --- document frequencies -------------------------------------------------
 
 BLOCK = 4096
@@ -195,7 +143,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
-            for words in _bags(batch.column(0)):
+            for words in bags(batch.column(0)):
                 if len(words):
                     rows += 1
                     spots = np.unique((_shingled(words) % _U(COUNTERS)).astype(np.int32))
@@ -242,16 +190,16 @@ def sketches(docs: DataFrame, common) -> DataFrame:
         sampler = Sampler()
         for batch in batches:
             keys, bytes_ = [], []
-            for words in _bags(batch.column(batch.schema.get_field_index("text"))):
+            for words in bags(batch.column(batch.schema.get_field_index("text"))):
                 if not len(words):
                     keys.append([])
                     bytes_.append(b"")
                     continue
                 found, often = shingles(words)
-                drawn = _mixed(sampler.draw(found, weights(found, often, common.value)))
+                drawn = mixed(sampler.draw(found, weights(found, often, common.value)))
                 band = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for i in range(ROWS):
-                    band = _mixed(band * _U(31) ^ drawn[i::ROWS])
+                    band = mixed(band * _U(31) ^ drawn[i::ROWS])
                 keys.append(band.view(np.int64))
                 bytes_.append((drawn & _U(255)).astype(np.uint8).tobytes())
             names = ["doc_id", "h1", "h2"]
@@ -269,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for left, right in zip(_bags(batch.column(2)), _bags(batch.column(3))):
+            for left, right in zip(bags(batch.column(2)), bags(batch.column(3))):
                 (f, n), (g, m) = shingles(left), shingles(right)
                 u, v = weights(f, n, common.value).astype(np.float64), weights(g, m, common.value).astype(np.float64)
                 _, i, j = np.intersect1d(f, g, assume_unique=True, return_indices=True)
