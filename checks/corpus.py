@@ -71,10 +71,10 @@ def raw_files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -
     )
     json_body = F.concat(
         F.lit('{"doc_id": '), text_of(F.col("doc_id")), F.lit(', "lang": "'), F.col("lang"),
-        F.lit('", "n": '), ns, F.lit("}"),
+        F.lit('", "n": '), ns, F.lit(', "text": "'), escaped(F.col("text")), F.lit('"}'),
     )
     py_body = F.concat(
-        F.lit("import os\nclass Doc_"), ns, F.lit(":\n    pass\ndef load_"), ns, F.lit("():\n    pass\n")
+        F.lit('import os\nTEXT = "'), escaped(F.col("text")), F.lit('"\nclass Doc_'), ns, F.lit(":\n    pass\ndef load_"), ns, F.lit("():\n    pass\n")
     )
     content = (
         F.when(last == 8, F.concat(F.repeat(F.lit("\x01"), F.lit(400)), F.col("text")))
@@ -138,6 +138,14 @@ def odd_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def escaped(text: Column) -> Column:
+    """A text as the inside of a quoted JSON or Python string."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for char, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return out
+
+
 def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src, id, text``: documents with headings and blanks, pages, conversations."""
     docs = table(spark, sf_dir, "documents")
@@ -150,7 +158,6 @@ def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, F.concat(F.lit("\u3000\u2009"), text, F.lit("\xa0\x1c\n")))
         .when(k == 4, F.replace(text, F.lit("."), F.lit(",")))
         .when(k == 5, F.replace(text, F.lit(" "), F.lit("_")))
-        .when(k == 6, F.substring(text, 1, 150 + (F.col("doc_id") % 20).cast("int")))
         .otherwise(text)
     )
     pages, talks = table(spark, sf_dir, "pages"), table(spark, sf_dir, "conversations")
@@ -191,6 +198,7 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ascii_only = F.octet_length("text") == F.length("text")
     content = (
         F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(b"\xff\r\n"), raw, F.lit(b"\r")))
+        .when(F.col("doc_id") % 5 == 1, F.repeat(F.col("text"), (F.lit(70_000) / F.greatest("n_chars", F.lit(1))).cast("int") + 1).cast("binary"))
         .when(ascii_only, F.repeat(F.col("text"), F.lit(3)).cast("binary"))
         .otherwise(raw)
     )
@@ -202,7 +210,7 @@ def yaml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     id_, k = text_of(F.col("doc_id")), F.col("doc_id") % 6
     text = (
-        F.when(k == 0, F.concat(F.lit("doc_id: "), id_, F.lit("\nlang: "), F.col("lang"), F.lit("\nn: 3\n")))
+        F.when(k == 0, F.concat(F.lit("doc_id: "), id_, F.lit("\nlang: "), F.col("lang"), F.lit('\nn: 3\ntext: "'), escaped(F.col("text")), F.lit('"\n')))
         .when(k == 1, F.concat(F.lit("- a\n- "), F.col("source"), F.lit("\n- c\n")))
         .when(k == 2, F.col("source"))
         .when(k == 3, F.lit(""))
@@ -216,7 +224,8 @@ def python_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text``: 0-4 classes, 0-3 functions, async ones, broken ones."""
     docs = table(spark, sf_dir, "documents")
     id_, c, f = text_of(F.col("doc_id")), F.col("doc_id") % 5, F.floor(F.col("doc_id") / 5) % 4
-    body = F.lit('"""module"""\n')
+    # The whole document comes first, so that names stand far into long sources.
+    body = F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"\n'))
     for i in range(1, 5):
         piece = F.concat(F.lit(f"class C{i}_"), id_, F.lit(":\n    def method(self):\n        pass\n"))
         body = F.concat(body, F.when(c >= i, piece).otherwise(F.lit("")))
@@ -256,7 +265,7 @@ def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.when(k == 0, F.lit(" \u3000 ")).otherwise(F.concat(F.lit(" src\\f_"), id_, F.lit(".py "))).alias("rel_path"),
         F.when(k == 1, "binary").when(k == 2, "text").otherwise("python").alias("kind"),
-        F.concat(F.lit(" "), F.substring("text", 1, 490 + (F.col("doc_id") % 30).cast("int")), F.lit("\n")).alias("summary"),
+        F.concat(F.lit(" "), F.col("text"), F.lit("\n")).alias("summary"),
         F.when(k == 3, F.lit(-1)).otherwise(F.col("n_chars")).cast("long").alias("lines"),
         F.when(k == 4, F.lit(-5)).otherwise(F.col("n_chars") * 2).cast("long").alias("size_bytes"),
         F.when(k == 5, F.lit(None).cast("string")).otherwise(F.col("lang")).alias("language"),
@@ -270,8 +279,8 @@ def summary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id",
         F.when(k == 0, "").otherwise(F.col("source")).alias("project_name"),
-        F.substring("text", 1, 950 + (F.col("doc_id") % 100).cast("int")).alias("description"),
-        F.substring("text", 1, 1950 + (F.col("doc_id") % 100).cast("int")).alias("architecture_notes"),
+        F.col("text").alias("description"),
+        F.col("text").alias("architecture_notes"),
         F.when(k == 1, F.lit(-1)).otherwise(F.lit(3)).cast("long").alias("file_count"),
         F.when(k == 2, F.lit(-1)).otherwise(F.col("n_chars")).cast("long").alias("line_count"),
     )

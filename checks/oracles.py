@@ -34,7 +34,7 @@ def _latin(b: str) -> str:
 
 
 def _decoded(b: str) -> str:
-    return f"coalesce(TRY(decode({b}[1:64000])), {_latin(b)})"
+    return f"coalesce(TRY(decode({b})), {_latin(b)})"
 
 
 def _binary(b: str) -> str:
@@ -78,6 +78,14 @@ KIND = f"""CASE WHEN ext IN ('.py','.pyi') THEN 'python'
   WHEN stem IN ('readme','license','changelog','contributing','authors','notice') THEN 'documentation'
   ELSE 'unknown' END"""
 
+def _escaped(t: str) -> str:
+    """A text as the inside of a quoted JSON or Python string."""
+    s = f"replace(replace({t}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+    for code, letter in ((10, "n"), (13, "r"), (9, "t")):
+        s = f"replace({s}, chr({code}), chr(92) || '{letter}')"
+    return s
+
+
 NUMBERED = """numbered AS (SELECT *, source AS project_id, CAST(floor(doc_id / 20) AS BIGINT) AS n,
   CAST(doc_id % 4 AS INTEGER) AS flavour FROM documents)"""
 
@@ -92,10 +100,10 @@ RAW = """raw AS (SELECT *, n AS seq, CASE WHEN n = 0 THEN 'README.md'
   WHEN n % 10 = 7 THEN concat('src/pkg_', n % 3, '/main.py') WHEN n % 10 = 8 THEN concat('misc/blob_', n, '.bin')
   ELSE concat('cfg/.env_', n) END AS rel_path FROM numbered)"""
 
-FILES = """files AS (SELECT project_id, seq, rel_path, n, doc_id, lang, encode(CASE
+FILES = f"""files AS (SELECT project_id, seq, rel_path, n, doc_id, lang, encode(CASE
   WHEN n % 10 = 8 THEN repeat(chr(1), 400) || text
-  WHEN rel_path LIKE '%.json' THEN concat('{"doc_id": ', doc_id, ', "lang": "', lang, '", "n": ', n, '}')
-  WHEN rel_path LIKE '%.py' THEN concat('import os', chr(10), 'class Doc_', n, ':', chr(10), '    pass', chr(10),
+  WHEN rel_path LIKE '%.json' THEN concat('{{"doc_id": ', doc_id, ', "lang": "', lang, '", "n": ', n, ', "text": "', {_escaped('text')}, '"}}')
+  WHEN rel_path LIKE '%.py' THEN concat('import os', chr(10), 'TEXT = "', {_escaped('text')}, '"', chr(10), 'class Doc_', n, ':', chr(10), '    pass', chr(10),
     'def load_', n, '():', chr(10), '    pass', chr(10)) ELSE text END) AS content FROM raw)"""
 
 UNIQUE = """uniq AS (SELECT * FROM files QUALIFY
@@ -112,7 +120,7 @@ triaged AS (SELECT *, CASE WHEN {_binary('content')} OR ext IN {ASSETS} THEN 'bi
 described AS (SELECT *, CASE WHEN skip_reason IS NULL THEN raw_score END AS score,
   CASE WHEN ext IN {ASSETS} THEN 'asset' WHEN ext = '.json' THEN 'json' WHEN ext = '.py' THEN 'python'
     ELSE 'text' END AS kind,
-  CASE WHEN ext IN {ASSETS} THEN '(binary skipped)' WHEN ext = '.json' THEN 'JSON with keys: doc_id, lang, n'
+  CASE WHEN ext IN {ASSETS} THEN '(binary skipped)' WHEN ext = '.json' THEN 'JSON with keys: doc_id, lang, n, text'
     WHEN ext = '.py' THEN concat('Python; classes=Doc_', n, '; funcs=load_', n)
     ELSE {_summary('txt')} END AS summary,
   CAST(octet_length(content) AS BIGINT) AS size_bytes,
@@ -274,7 +282,7 @@ ODD_TEXTS = """odd_texts AS (SELECT 'documents' AS src, doc_id AS id, CASE doc_i
   WHEN 2 THEN '####### ' || text
   WHEN 3 THEN concat(chr(12288), chr(8201), text, chr(160), chr(28), chr(10))
   WHEN 4 THEN replace(text, '.', ',') WHEN 5 THEN replace(text, ' ', '_')
-  WHEN 6 THEN substr(text, 1, 150 + doc_id % 20) ELSE text END AS text FROM documents
+  ELSE text END AS text FROM documents
   UNION ALL SELECT 'pages', page_id, html FROM pages
   UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations)"""
 
@@ -289,7 +297,7 @@ _F = "(CAST(floor(doc_id / 5) AS BIGINT) % 4)"
 
 RECORD = f"""records AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN concat(' ', chr(12288), ' ') ELSE concat(' src\\f_', doc_id, '.py ') END AS rel_path,
   CASE doc_id % 11 WHEN 1 THEN 'binary' WHEN 2 THEN 'text' ELSE 'python' END AS kind,
-  concat(' ', substr(text, 1, 490 + doc_id % 30), chr(10)) AS summary,
+  concat(' ', text, chr(10)) AS summary,
   CASE doc_id % 11 WHEN 3 THEN -1 ELSE n_chars END AS lines, CASE doc_id % 11 WHEN 4 THEN -5 ELSE n_chars * 2 END AS size_bytes,
   CASE doc_id % 11 WHEN 5 THEN NULL ELSE lang END AS language FROM documents),
 cleaned AS (SELECT doc_id, replace({_strip('rel_path', MODEL_BLANK)}, '\\', '/') AS rel_path, kind,
@@ -352,8 +360,8 @@ def oracle_queries() -> dict[str, str]:
         WHEN length(description) > 1000 THEN 'description exceeds 1000 characters'
         WHEN length(architecture_notes) > 2000 THEN 'architecture_notes exceeds 2000 characters'
         WHEN file_count < 0 THEN 'file_count is negative' WHEN line_count < 0 THEN 'line_count is negative' END AS reject_reason
-      FROM (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN '' ELSE source END AS project_name, substr(text, 1, 950 + doc_id % 100) AS description,
-        substr(text, 1, 1950 + doc_id % 100) AS architecture_notes, CASE doc_id % 11 WHEN 1 THEN -1 ELSE 3 END AS file_count,
+      FROM (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN '' ELSE source END AS project_name, text AS description,
+        text AS architecture_notes, CASE doc_id % 11 WHEN 1 THEN -1 ELSE 3 END AS file_count,
         CASE doc_id % 11 WHEN 2 THEN -1 ELSE n_chars END AS line_count FROM documents)"""
     q["val9"] = _with(*BASE) + "SELECT project_id, seq, rel_path, md5(content) AS content_md5 FROM uniq"
     q["val10"] = members + f"SELECT project_id, seq, member_name, {STORED} AS stored_path FROM members"
@@ -367,11 +375,12 @@ def oracle_queries() -> dict[str, str]:
     q["fn3"] = _with(ODD_PATHS) + f"SELECT src, id, {SCORE} AS score FROM (SELECT *, {_stem('name')} AS stem, {_ext('name')} AS ext FROM named_paths)"
     q["fn4"] = f"""SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {_decoded('content')} AS t FROM (
         SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '\\xFF\\x0D\\x0A'::BLOB || encode(text) || '\\x0D'::BLOB
+          WHEN doc_id % 5 = 1 THEN encode(repeat(text, CAST(floor(70000 / greatest(n_chars, 1)) AS BIGINT) + 1))
           WHEN octet_length(encode(text)) = length(text) THEN encode(repeat(text, 3)) ELSE encode(text) END AS content FROM documents))"""
     q["fn5"] = _with(ODD_TEXTS) + f"SELECT src, id, {_summary('text')} AS summary FROM odd_texts"
     q["fn6"] = "SELECT event_id, 'JSON with keys: ' || array_to_string(json_keys(props)[1:5], ', ') AS summary FROM events"
     q["fn6_objects"] = q["fn6"]
-    q["fn7"] = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'YAML with keys: doc_id, lang, n' WHEN 1 THEN concat('YAML with keys: a, ', source, ', c')
+    q["fn7"] = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'YAML with keys: doc_id, lang, n, text' WHEN 1 THEN concat('YAML with keys: a, ', source, ', c')
         WHEN 2 THEN concat('YAML with keys: ', array_to_string(string_split(source, '')[1:5], ', ')) END AS summary FROM documents"""
     q["fn8"] = f"""SELECT doc_id, CASE WHEN doc_id % 9 = 8 THEN NULL ELSE concat('Python',
         CASE WHEN doc_id % 5 > 0 THEN '; classes=' || {_names('C', 'doc_id % 5', 3)} ELSE '' END,
@@ -399,14 +408,16 @@ def oracle_queries() -> dict[str, str]:
     q["agg6"] = analysed + "SELECT project_id, kind, count(*) AS n FROM results GROUP BY ALL"
     q["agg7"] = summary + """, langs AS (SELECT project_id, string_agg(language, ', ' ORDER BY n DESC, language) AS languages FROM (
           SELECT project_id, language, count(*) AS n FROM results WHERE language IS NOT NULL GROUP BY ALL) GROUP BY project_id),
-        tops AS (SELECT project_id, string_agg(c, ', ' ORDER BY n DESC, c) AS key_components FROM (
+        tops AS (SELECT project_id, string_agg(c, ', ' ORDER BY n DESC, c) AS key_components, count(*) AS component_count FROM (
           SELECT project_id, string_split(rel_path, '/')[1] AS c, count(*) AS n FROM results WHERE rel_path LIKE '%/%' GROUP BY ALL) GROUP BY project_id),
         totals AS (SELECT project_id, count(*) AS file_count, CAST(sum(lines) AS BIGINT) AS line_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM results GROUP BY project_id)
-      SELECT t.*, CAST(0 AS BIGINT) AS part, coalesce(languages, '') AS languages, coalesce(key_components, '') AS key_components, project_summary AS description,
+      SELECT t.*, t.project_id AS project_name, coalesce(component_count, 0) AS component_count, coalesce('Top-level components: ' || key_components || '.', '') AS architecture_notes, coalesce(languages, '') AS languages, coalesce(key_components, '') AS key_components, project_summary AS description,
         concat_ws(', ', CASE WHEN has_packaging THEN 'Python package' END, CASE WHEN has_package_json THEN 'Node.js project' END,
           CASE WHEN has_dockerfile THEN 'Containerized service' END, CASE WHEN has_go_mod THEN 'Go module' END,
           CASE WHEN has_pom THEN 'Java Maven project' END) AS frameworks
       FROM totals t JOIN flags USING (project_id) JOIN overview USING (project_id) LEFT JOIN langs USING (project_id) LEFT JOIN tops USING (project_id)"""
+    q["agg7_components"] = analysed + """SELECT project_id, string_split(rel_path, '/')[1] AS component, count(*) AS n
+        FROM results WHERE rel_path LIKE '%/%' GROUP BY ALL"""
     q["agg8"] = analysed + """SELECT kind, ext, language, count(*) AS file_count, CAST(sum(lines) AS BIGINT) AS line_count,
         CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(summary) AS completed_count FROM results GROUP BY ALL"""
 

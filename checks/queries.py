@@ -297,6 +297,10 @@ def agg7(spark, sf):
     return stats.withColumns(joined)
 
 
+def agg7_components(spark, sf):
+    return project.project_components(analysed(spark, sf))
+
+
 def agg5(spark, sf):
     return project.project_summary(triage.analysable(pinned(spark, sf)))
 
@@ -523,7 +527,7 @@ def all_queries() -> dict[str, Query]:
         "agg4": on(analysed, project.readme_line),
         "agg5": agg5,
         "agg6": on(analysed, project.kind_counts),
-        "agg7": agg7,
+        "agg7": agg7, "agg7_components": agg7_components,
         "agg8": on(results_from_table, project.corpus_stats),
         "tre1": tre1,
         "tre2": on(paths_only, tree.tree_order),

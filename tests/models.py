@@ -28,7 +28,7 @@ def mostly_control(data: bytes | None) -> bool:
     return bool(head) and len(bad) / len(head) > 0.30
 
 
-def text_of(data: bytes | None, limit: int = 64_000) -> str:
+def text_of(data: bytes | None, limit: int | None = None) -> str:
     if data is None:
         return ""
     try:

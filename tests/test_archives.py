@@ -1,10 +1,11 @@
 import io
+import json
 import struct
 import zipfile
 
 import pytest
 
-from ziplore import analyze_corpus, analyze_project_dirs
+from ziplore import analyze_corpus, analyze_files, analyze_project_dirs
 from ziplore.operators import validate
 from ziplore.sources import archives
 
@@ -211,3 +212,29 @@ def test_size_limit_is_strict(spark):
     rows = validate.size_limit(df, "size", 1).collect()
     assert [r.too_large for r in rows] == [False, True, True]
     assert rows[2].size_error == "Archive exceeds 1 MB (1.2 MB)"
+
+
+def test_equal_names_in_two_folders_are_two_projects(spark, tmp_path):
+    for sub, text in (("u1", "one"), ("u2", "two")):
+        (tmp_path / sub).mkdir()
+        (tmp_path / sub / "app.zip").write_bytes(make_zip(("README.md", f"# {text}")))
+    rows = {r.project_id: r for r in analyze_corpus(spark, f"{tmp_path}/*").collect()}
+    assert set(rows) == {"u1/app", "u2/app"}
+    assert [f.summary for f in rows["u2/app"].file_summaries] == ["two"]
+
+
+def test_whole_files_are_parsed(spark):
+    """Names after byte 64,000 and a character across it."""
+    filler = "x = '" + "y" * 63_990 + "éé'\n"
+    files = {
+        "late.py": filler + "def late():\n    pass\n",
+        "big.json": json.dumps({"first": "z" * 70_000, "last": 1}),
+        "odd.txt": "a" * 63_999 + "é end",
+    }
+    rows = [("p", i, name, text.encode()) for i, (name, text) in enumerate(files.items())]
+    df = spark.createDataFrame(rows, "project_id string, seq long, rel_path string, content binary")
+    (artifact,) = analyze_files(df).collect()
+    got = {f.rel_path: f.summary for f in artifact.file_summaries}
+    assert got["late.py"] == "Python; funcs=late"
+    assert got["big.json"] == "JSON with keys: first, last"
+    assert got["odd.txt"] == "a" * 160 + "…"

@@ -2,6 +2,7 @@ import random
 
 from tests import models
 from ziplore.operators import project
+from ziplore.operators.validate import check_project_summary
 
 SCHEMA = "project_id string, seq long, score int, rel_path string, kind string, summary string, lines long, size_bytes long, language string"
 PATHS = [
@@ -47,13 +48,28 @@ def test_single_aggregates_agree_with_overview(spark):
     assert set(lines) == set(whole)
 
 
-def test_stats_in_parts(spark):
-    rows = [("p", i, 80, f"d{i % 5}/f{i}.py", "python", "s", 2, 3, "python") for i in range(20)]
-    rows += [("p", 99, 80, "d0/more.js", "text", "s", 1, 1, "javascript"), ("q", 0, 10, "top", "text", "s", 1, 1, None)]
-    stats = project.project_stats(spark.createDataFrame(rows, SCHEMA), components_per_part=2).collect()
-    p = sorted((r for r in stats if r.project_id == "p"), key=lambda r: r.part)
-    assert [r.key_components for r in p] == [["d0", "d1"], ["d2", "d3"], ["d4"]]
-    assert {(r.file_count, r.line_count, r.total_bytes) for r in p} == {(21, 41, 61)}
-    assert p[0].languages == ["python", "javascript"]
-    (q,) = [r for r in stats if r.project_id == "q"]
-    assert (q.part, q.key_components, q.languages, q.frameworks) == (0, [], [], [])
+def test_one_stats_row_per_project(spark):
+    rows = [("u/p", i, 80, f"d{i % 5}/f{i}.py", "python", "s", 2, 3, "python") for i in range(20)]
+    rows += [("u/p", 99, 80, "d0/more.js", "text", "s", 1, 1, "javascript"), ("q", 0, 10, "top", "text", "s", 1, 1, None)]
+    stats = project.project_stats(spark.createDataFrame(rows, SCHEMA), top_components=2)
+    p, q = sorted(stats.collect(), key=lambda r: r.project_id, reverse=True)
+    assert (p.project_name, p.key_components, p.component_count) == ("p", ["d0", "d1"], 5)
+    assert (p.file_count, p.line_count, p.total_bytes) == (21, 41, 61)
+    assert p.languages == ["python", "javascript"]
+    assert p.architecture_notes == "Top-level components: d0, d1."
+    assert (q.key_components, q.component_count, q.languages, q.frameworks) == ([], 0, [], [])
+    judged = check_project_summary(stats).collect()
+    assert [r.reject_reason for r in judged] == [None, None]
+
+
+def test_order_holds_for_any_member_number(spark):
+    """Numbers beyond 2^48, negative ones and sparse ones."""
+    rows = [
+        ("p", 2**62, 100, "README.md", "text", "far", 1, 1, None),
+        ("p", -(2**62), 70, "readme.rst", "text", "low score", 1, 1, None),
+        ("p", 2**61, 100, "README", "text", "first", 1, 1, None),
+        ("n", -5, 100, "README.md", "text", "minus", 1, 1, None),
+        ("n", 3, 100, "README.txt", "text", "plus", 1, 1, None),
+    ]
+    lines = project.readme_line(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.project_id: r.readme_line for r in lines} == {"p": "first.", "n": "minus."}

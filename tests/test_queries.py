@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, difference
+from checks.oracles import oracle_queries
+from checks.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = all_queries(), oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +24,7 @@ def test_query_equals_sql(spark, twins, name):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):

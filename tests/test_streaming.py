@@ -59,6 +59,30 @@ def test_completion_expires_by_event_time(feed):
     assert sorted((r.job_id, r.file_count, r.timed_out) for r in rows) == [(1, 1, True), (2, 0, False)]
 
 
+def test_one_answer_per_job_whatever_comes_late(feed):
+    options = {"timeout_seconds": 60, "clock": "event", "delay": "0 seconds"}
+    run = lambda: sorted((r.job_id, r.file_count, r.timed_out) for r in feed.run(streams.stream_job_completion, **options))
+    feed.add((1, 0, at(0), "event:TreeBuilt"), (1, 1, at(1), "event:AnalysisComplete"))
+    assert run() == [(1, 0, False)]
+    feed.add((1, 2, at(20), "event:FileAnalysed"), (3, 3, at(20), "event:TreeBuilt"))
+    run()
+    feed.add((2, 4, at(500), "event:TreeBuilt"))
+    run()
+    feed.add((3, 5, at(510), "event:AnalysisComplete"), (2, 6, at(520), "event:AnalysisComplete"))
+    assert run() == [(1, 0, False), (2, 0, False), (3, 0, True)]
+
+
+def test_nothing_follows_a_close_after_the_timeout(feed):
+    options = {"timeout_seconds": 60, "clock": "event", "delay": "0 seconds"}
+    feed.add((1, 0, at(0), "event:a"), (1, 1, at(1), "close"))
+    feed.run(streams.stream_job_messages, **options)
+    feed.add((2, 2, at(500), "event:b"))
+    feed.run(streams.stream_job_messages, **options)
+    feed.add((1, 3, at(600), "event:afterclose"), (2, 4, at(601), "event:c"))
+    rows = feed.run(streams.stream_job_messages, **options)
+    assert sorted(r.event_id for r in rows) == [0, 2, 4]
+
+
 def test_messages_stop_at_close(feed):
     options = {"timeout_seconds": None, "channels": 3}
     big = streams.CHANNEL_ROWS

@@ -68,7 +68,7 @@ def test_bytes_equal_model(spark):
 def test_boundary_safe_drops_cut_character(spark):
     cut = b"a" + "é".encode() * 32_000
     df = spark.createDataFrame([(cut,), (b"\xff" * 70_000,)], "b binary")
-    rows = [r[0] for r in df.select(text.decode_text(F.col("b"), boundary_safe=True)).collect()]
+    rows = [r[0] for r in df.select(text.decode_text(F.col("b"), 64_000, boundary_safe=True)).collect()]
     assert rows[0] == cut[:63_999].decode()
     assert rows[1] == "ÿ" * 70_000
 

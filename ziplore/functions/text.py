@@ -19,7 +19,6 @@ BLANKS = MODEL_BLANKS + SEPARATORS
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 SUMMARY_CHARS = 160
-TEXT_BYTES = 64_000
 ELLIPSIS = "…"
 
 
@@ -57,18 +56,18 @@ def summarise_stripped(body: Column, max_chars: int = SUMMARY_CHARS) -> Column:
     )
 
 
-def decode_text(content: Column, max_bytes: int = TEXT_BYTES, boundary_safe: bool = False) -> Column:
-    """Bytes to text: the first ``max_bytes`` as UTF-8, else the whole file as Latin-1.
+def decode_text(content: Column, max_bytes: int | None = None, boundary_safe: bool = False) -> Column:
+    """Bytes to text: the whole content as UTF-8 if it is valid, else as Latin-1.
 
-    The Latin-1 branch also turns CRLF and CR into LF. A character cut at
-    ``max_bytes`` makes the sample invalid; ``boundary_safe`` drops the cut
-    character instead.
+    The Latin-1 branch also turns CRLF and CR into LF. With ``max_bytes`` only
+    that many bytes are taken as UTF-8, and a character cut there makes them
+    invalid; ``boundary_safe`` drops the cut character instead.
     """
-    sample = F.substring(content, 1, max_bytes).cast("string")
+    sample = (content if max_bytes is None else F.substring(content, 1, max_bytes)).cast("string")
     latin = F.decode(content, "ISO-8859-1")
     latin = F.replace(F.replace(latin, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     text = F.when(content.isNull(), F.lit("")).when(F.is_valid_utf8(sample), sample)
-    if boundary_safe:
+    if boundary_safe and max_bytes is not None:
         for cut in (1, 2, 3):
             shorter = F.substring(content, 1, max_bytes - cut).cast("string")
             text = text.when(

@@ -8,15 +8,20 @@ no rank is needed and the large groupings stay hash aggregates.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.functions.kinds import STACK_MARKERS, UNKNOWN_STACK, has_marker
 from ziplore.functions.text import ELLIPSIS, strip_right
-from ziplore.operators.ranking import rank_by_sort
+from ziplore.operators.ranking import top_per_key
+from ziplore.sources.archives import project_label
 
 SUMMARY_LIMIT = 300
-COMPONENTS_PER_PART = 10_000
+# Named components of a project, and characters of its notes.
+TOP_COMPONENTS = 50
+NOTES_CHARS = 2000
 
 # Column that holds the flag of each stack label.
 FLAG_COLUMNS = {
@@ -31,10 +36,11 @@ FLAG_COLUMNS = {
 def _position() -> Column:
     """Analysis order as one number: score descending, then ``seq``.
 
-    A plain number keeps the grouping a hash aggregate, which a struct would
-    not. Room is left for 2^48 members per project.
+    A number of fixed size keeps the grouping a hash aggregate, which a struct
+    would not. Any ``seq`` of 64 bits fits between two scores, negative ones too.
     """
-    return F.shiftleft(F.lit(100).cast("long") - F.col("score"), 48) + F.col("seq")
+    step = F.lit(Decimal(10**20))
+    return (100 - F.col("score")).cast("decimal(10,0)") * step + F.col("seq").cast("decimal(19,0)")
 
 
 def _per_project(grouped: DataFrame, projects: DataFrame | None) -> DataFrame:
@@ -207,15 +213,16 @@ def _ordered_names(n: str, name: str) -> Column:
 
 
 def project_stats(
-    results: DataFrame, projects: DataFrame | None = None, components_per_part: int = COMPONENTS_PER_PART
+    results: DataFrame, projects: DataFrame | None = None, top_components: int = TOP_COMPONENTS
 ) -> DataFrame:
-    """Counts, languages, frameworks and top-level components per project.
-
-    The name lists are built from distinct values with their counts, never from
-    file rows. Languages are a fixed set. Components are top-level directories,
-    of which a project may have any number: an ordinary project is one row
-    (part 0), one with more than ``components_per_part`` goes on in further
-    rows that repeat the rest. Pass pinned or written results.
+    """One row per project: name, counts, languages, frameworks, key components, description and notes.
+
+    The record that :func:`ziplore.operators.validate.check_project_summary`
+    accepts. Name lists are built from distinct values with their counts, never
+    from file rows. Languages are a fixed set; of the top-level directories, of
+    which a project may have any number, the ``top_components`` largest are
+    named and ``component_count`` has their number. :func:`project_components`
+    is the whole table. Pass pinned or written results.
     """
     totals = results.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("file_count"),
@@ -229,32 +236,36 @@ def project_stats(
         .groupBy("project_id")
         .agg(_ordered_names("n", "language").alias("languages"))
     )
-    ranked = rank_by_sort(
-        project_components(results), ["project_id"], [F.desc("n"), F.asc("component")], out="rank"
+    listed = project_components(results)
+    counted = listed.groupBy("project_id").agg(F.count(F.lit(1)).alias("component_count"))
+    largest = top_per_key(
+        listed, ["project_id"], [F.desc("n"), F.asc("component")], "component", top_components, "rank"
     )
-    components = ranked.groupBy(
-        "project_id", F.floor((F.col("rank") - 1) / components_per_part).alias("part")
-    ).agg(_ordered_names("n", "component").alias("key_components"))
+    components = largest.groupBy("project_id").agg(_ordered_names("n", "component").alias("key_components"))
     frameworks = F.filter(
         F.array(*[F.when(F.col(c), F.lit(name)) for name, c in FLAG_COLUMNS.items()]),
         lambda label: label.isNotNull(),
     )
     none = F.array().cast("array<string>")
+    notes = F.concat(F.lit("Top-level components: "), F.array_join("key_components", ", "), F.lit("."))
     return (
         project_summary(results, projects, flags=True)
         .join(totals, "project_id", "left")
         .join(languages, "project_id", "left")
         .join(components, "project_id", "left")
+        .join(counted, "project_id", "left")
         .select(
             "project_id",
-            F.coalesce("part", F.lit(0)).alias("part"),
+            project_label(F.col("project_id")).alias("project_name"),
             F.coalesce("file_count", F.lit(0)).alias("file_count"),
             F.coalesce("line_count", F.lit(0)).alias("line_count"),
             F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"),
             F.coalesce("languages", none).alias("languages"),
             frameworks.alias("frameworks"),
+            F.coalesce("component_count", F.lit(0)).alias("component_count"),
             F.coalesce("key_components", none).alias("key_components"),
             F.col("project_summary").alias("description"),
+            F.coalesce(shorten(notes, NOTES_CHARS), F.lit("")).alias("architecture_notes"),
         )
     )
 

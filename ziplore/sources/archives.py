@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -33,9 +34,23 @@ _ARROW_OPENED = pa.schema([
 ])
 
 
-def project_of(path: Column) -> Column:
-    """Archive stem: the file name without ``.zip``."""
-    return F.regexp_extract(path, r"(?s)([^/]+)[.][zZ][iI][pP]\z", 1)
+def project_of(path: Column, folder: str) -> Column:
+    """The archive's path below the scanned folder, without ``.zip``.
+
+    Equal names in two sub-folders are two projects. The folder is what comes
+    before the first wildcard; an archive outside it is known by its name.
+    """
+    fixed = re.split(r"[*?\[{]", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*|^file:", "", folder), maxsplit=1)
+    root = fixed[0] if len(fixed) == 1 else fixed[0].rpartition("/")[0]
+    root = f"{root.rstrip('/')}/"
+    at = F.locate(root, path)
+    below = F.when(at > 0, F.substring(path, at + len(root), F.length(path))).otherwise(F.substring_index(path, "/", -1))
+    return F.regexp_replace(below, r"[.][zZ][iI][pP]\z", "")
+
+
+def project_label(project_id: Column) -> Column:
+    """Last segment of a project's id, for display."""
+    return F.substring_index(project_id, "/", -1)
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +60,7 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
     looks like a missing one.
     """
     scan = spark.read.format("binaryFile").option("pathGlobFilter", ZIP_GLOB).load(folder)
-    return scan.select("path", project_of(F.col("path")).alias("project_id"), "length")
+    return scan.select("path", project_of(F.col("path"), folder).alias("project_id"), "length")
 
 
 def scan_archives(spark: SparkSession, folder: str, max_mb: float = MAX_ARCHIVE_MB) -> DataFrame:
@@ -55,7 +70,7 @@ def scan_archives(spark: SparkSession, folder: str, max_mb: float = MAX_ARCHIVE_
     listing, so oversized archives are never opened.
     """
     scan = spark.read.format("binaryFile").option("pathGlobFilter", ZIP_GLOB).load(folder)
-    return _archive_rows(scan, max_mb)
+    return _archive_rows(scan, folder, max_mb)
 
 
 def stream_archives(
@@ -72,12 +87,12 @@ def stream_archives(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _archive_rows(reader.load(folder), max_mb)
+    return _archive_rows(reader.load(folder), folder, max_mb)
 
 
-def _archive_rows(scan: DataFrame, max_mb: float) -> DataFrame:
+def _archive_rows(scan: DataFrame, folder: str, max_mb: float) -> DataFrame:
     return scan.filter(F.col("length") <= int(max_mb * MB)).select(
-        "path", project_of(F.col("path")).alias("project_id"), "length", "content"
+        "path", project_of(F.col("path"), folder).alias("project_id"), "length", "content"
     )
 
 

@@ -76,7 +76,11 @@ TREE_EVENT, ANALYSIS_EVENT, FILE_EVENT = "event:TreeBuilt", "event:AnalysisCompl
 
 _SIGNALS = "job_id long, has_tree boolean, has_analysis boolean, files long, last_ts timestamp"
 _COMPLETION = "job_id long, file_count long, timed_out boolean"
-_COMPLETION_STATE = "has_tree boolean, has_analysis boolean, files long, last_ms long"
+_COMPLETION_STATE = "has_tree boolean, has_analysis boolean, files long, last_ms long, done boolean"
+
+# How long a job is remembered as done or closed, so that late messages do not
+# open it again.
+RETENTION_SECONDS = 7 * 86_400
 
 
 def _combine_signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,35 +106,41 @@ def stream_job_completion(
     timeout_seconds: int | None = TIMEOUT_SECONDS,
     clock: str = "processing",
     delay: str = "10 minutes",
+    retention_seconds: int = RETENTION_SECONDS,
 ) -> DataFrame:
     """One row per job once its tree and its analysis are both there.
 
-    State is dropped with that row. A job that does not complete within
-    ``timeout_seconds`` of its last message is given out with ``timed_out`` set,
-    so state stays bounded; None waits for ever.
+    A job that does not complete within ``timeout_seconds`` of its last message
+    is given out with ``timed_out`` set. Either way it is then only remembered
+    as done, for ``retention_seconds``, and later messages give nothing. With
+    ``timeout_seconds`` None jobs wait, and are remembered, for ever.
     """
     barrier = F.col("msg").isin(TREE_EVENT, ANALYSIS_EVENT, FILE_EVENT)
     combined = events.filter(barrier).select("job_id", "ts", "msg").mapInPandas(_combine_signals, _SIGNALS)
     signals = _timed(combined, "last_ts", timeout_seconds, clock, delay)
 
     def advance(key, batches, state: GroupState):
-        tree, analysis, files, last_ms = state.get if state.exists else (False, False, 0, 0)
+        tree, analysis, files, last_ms, done = state.get if state.exists else (False, False, 0, 0, False)
         if state.hasTimedOut:
-            state.remove()
+            if done:
+                state.remove()
+                return
+            state.update((tree, analysis, files, last_ms, True))
+            _expire(state, retention_seconds, clock, last_ms)
             yield pd.DataFrame({"job_id": [key[0]], "file_count": [files], "timed_out": [True]})
             return
+        if done:
+            return
         for batch in batches:
             tree = tree or bool(batch["has_tree"].any())
             analysis = analysis or bool(batch["has_analysis"].any())
             files += int(batch["files"].sum())
             last_ms = max(last_ms, _millis(batch["last_ts"]))
-        if tree and analysis:
-            if state.exists:
-                state.remove()
+        done = tree and analysis
+        state.update((tree, analysis, files, last_ms, done))
+        _expire(state, retention_seconds if done and timeout_seconds is not None else timeout_seconds, clock, last_ms)
+        if done:
             yield pd.DataFrame({"job_id": [key[0]], "file_count": [files], "timed_out": [False]})
-            return
-        state.update((tree, analysis, files, last_ms))
-        _expire(state, timeout_seconds, clock, last_ms)
 
     return signals.groupBy("job_id").applyInPandasWithState(
         advance, _COMPLETION, _COMPLETION_STATE, "append", _timeout_mode(timeout_seconds, clock)
@@ -146,14 +156,16 @@ def stream_job_messages(
     clock: str = "processing",
     delay: str = "10 minutes",
     channels: int = CHANNELS,
+    retention_seconds: int = RETENTION_SECONDS,
 ) -> DataFrame:
     """Forward the messages of a job until its first ``close``.
 
     Micro-batches must arrive in order. Message numbers are cut into blocks of
     ``CHANNEL_ROWS`` that take turns on ``channels`` state groups per job, and
     each close goes to all of them: a quiet job stays in one group, a busy one
-    does not sit in one task. The closed flag of a job is forgotten
-    ``timeout_seconds`` after its last message.
+    does not sit in one task. An open job is forgotten ``timeout_seconds`` after
+    its last message, a closed one only after ``retention_seconds``, so that
+    nothing follows a close.
     """
     is_close = F.col("msg") == CLOSE
     own = F.pmod(F.floor(F.col("event_id") / CHANNEL_ROWS), F.lit(channels)).cast("int")
@@ -171,8 +183,9 @@ def stream_job_messages(
         rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
         close = (rows["msg"] == CLOSE).to_numpy()
         last_ms = max(last_ms, _millis(rows["ts"]))
-        state.update((bool(was_closed or close.any()), last_ms))
-        _expire(state, timeout_seconds, clock, last_ms)
+        closed = bool(was_closed or close.any())
+        state.update((closed, last_ms))
+        _expire(state, retention_seconds if closed and timeout_seconds is not None else timeout_seconds, clock, last_ms)
         if was_closed or close.all():
             return
         if close.any():
