@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
@@ -32,7 +32,7 @@ MODEL = "piece_bpe_32k.model"
 #: How far below the least piece score a byte stands.
 BYTE_PENALTY = 10.0
 #: Words whose paths a task keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 #: Longest word that is kept.
 KEPT_LENGTH = 64
 
@@ -152,37 +152,55 @@ def load(path: str | None = None) -> Pieces:
     return _models[path]
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Smaller batches, so that lists of ids are never held for many texts at once."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
+#: Texts that are encoded or decoded together.
+SLICE = 500
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """Replace the text by ``ids`` and the ``score`` of the best segmentation."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, "ids", "score")]
+def _replaced(batch: pa.RecordBatch, names: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    held = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    return pa.RecordBatch.from_arrays([*held, *more.values()], names=[*names, *more])
+
+
+def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """Replace the text by ``ids`` and the ``score`` of the best segmentation.
+
+    ``decoded`` names a column for the text that the ids decode to, made in the
+    same pass.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in (text, "ids", "score", decoded)]
     names = [f.name for f in kept]
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in _slices(batches):
-            found = [model.encode(t) for t in batch[text]]
-            yield batch[names].assign(ids=[ids for ids, _ in found], score=[score for _, score in found])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "score double"])
-    return docs.select(*names, text).mapInPandas(encode, schema)
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            found = [model.encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            sizes = np.cumsum([0, *(len(ids) for ids, _ in found)])
+            ids = pa.array(np.concatenate([ids for ids, _ in found]))
+            more = {
+                "ids": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), ids),
+                "score": pa.array([score for _, score in found], pa.float64()),
+            }
+            if decoded:
+                more[decoded] = pa.array([model.decode(ids.tolist()) for ids, _ in found], pa.string())
+            yield _replaced(batch, names, more)
+
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "score double"]
+    if decoded:
+        fields.append(f"`{decoded}` string")
+    return docs.select(*names, text).mapInArrow(encode, ", ".join(fields))
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Add the text that ``ids`` stand for."""
-    fields = [f for f in encoded.schema.fields if f.name != text]
+    kept = [f for f in encoded.schema.fields if f.name != text]
+    names = [f.name for f in kept]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in _slices(batches):
-            texts = ["" if ids is None else model.decode(ids.tolist()) for ids in batch["ids"]]
-            yield batch[[f.name for f in fields]].assign(**{text: texts})
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            lists = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+            texts = pa.array([model.decode(ids or []) for ids in lists], pa.string())
+            yield _replaced(batch, names, {text: texts})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{text}` string"])
-    return encoded.mapInPandas(decode, schema)
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{text}` string"]
+    return encoded.select(*names).mapInArrow(decode, ", ".join(fields))

@@ -66,13 +66,13 @@ def op7_secret_scans(spark, sf):
 
 def op8_sentencepiece(spark, sf):
     """Ids and score of every text, and the digest of the text that the ids decode to."""
-    encoded = pieces.encode_texts(table(spark, sf, "documents").select("doc_id", "text"))
-    return pieces.decode_ids(encoded).select(
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pieces.encode_texts(docs, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         "ids",
         "score",
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
