@@ -21,6 +21,7 @@ clash with those added are replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,11 +59,28 @@ class Pieces:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.byte_score = least - BYTE_PENALTY
+        self.letters = {piece for piece in pieces if len(piece) == 1}
+        self.is_byte = np.zeros(len(pieces), bool)
+        self.is_byte[byte_ids] = True
         self.kept: dict[str, tuple[bytes, float]] = {}
 
     def best_path(self, word: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation: one pass, relaxing over all pieces ending at each place."""
         n = len(word)
+        if self.letters.issuperset(word):
+            # A piece ends at every place, so no place is left to bytes.
+            best, sizes, last = [0.0] + [-1e300] * n, [0] * (n + 1), [0] * (n + 1)
+            for end, (size, score, i) in self.automaton.iter(word):
+                end += 1
+                total = best[end - size] + score
+                if total > best[end]:
+                    best[end], sizes[end], last[end] = total, size, i
+            ids, end = [], n
+            while end:
+                ids.append(last[end])
+                end -= sizes[end]
+            ids.reverse()
+            return ids, best[n]
         best, came = [0.0] + [None] * n, [None] * (n + 1)
         # Matches come in order of their ends, so every start is settled.
         at = 0
@@ -102,7 +120,7 @@ class Pieces:
             hit = kept.get(word)
             if hit is None:
                 path, score = self.best_path(word)
-                hit = np.array(path, np.int32).tobytes(), score
+                hit = array("i", path).tobytes(), score
                 if len(word) <= KEPT_LENGTH:
                     if len(kept) >= KEPT_WORDS:
                         kept.clear()
@@ -113,6 +131,10 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are no valid text become replacement characters."""
+        if not len(ids):
+            return ""
+        if not self.is_byte[np.asarray(ids)].any():
+            return "".join(map(self.texts.__getitem__, ids)).removeprefix(SPACE).replace(SPACE, " ")
         out, pending = [], bytearray()
         for i in ids:
             byte = self.bytes_of.get(i)
