@@ -33,7 +33,7 @@ MODEL = "piece_bpe_32k.model"
 #: How far below the least piece score a byte stands.
 BYTE_PENALTY = 10.0
 #: Words whose paths a task keeps.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 300_000
 #: Longest word that is kept.
 KEPT_LENGTH = 64
 
