@@ -340,6 +340,9 @@ def oracle_queries() -> dict[str, str]:
       SELECT archive, length, CASE WHEN length IS NULL THEN 'File does not exist' WHEN length > 131072 THEN 'Archive exceeds 0.125 MB'
         WHEN fault = 2 THEN 'Not a ZIP archive' WHEN fault = 1 THEN 'CRC error in member: ' || first_path END AS reason,
         length IS NOT NULL AND length <= 131072 AND fault NOT IN (1, 2) AS is_valid FROM uploads"""
+    q["api1_verdicts"] = _with(*ARCHIVES) + """, uploads AS (SELECT archive, CASE fault WHEN 2 THEN 12 + length(archive) ELSE zip_bytes END AS length, fault, first_path FROM archive_sizes)
+      SELECT archive, length, CASE WHEN length > 131072 THEN 'Archive exceeds 0.125 MB'
+        WHEN fault = 2 THEN 'Not a ZIP archive' WHEN fault = 1 THEN 'CRC error in member: ' || first_path END AS reason FROM uploads"""
     q["val2"] = """SELECT doc_id, size, size > 5242880 AS too_large, CASE WHEN size > 5242880 THEN
         concat('Archive exceeds 5 MB (', printf('%.1f', size / 1048576), ' MB)') END AS size_error
       FROM (SELECT doc_id, CAST(octet_length(encode(text)) * 1000 AS BIGINT) AS size FROM documents)"""

@@ -118,6 +118,13 @@ def snk2(spark, sf):
 # --- validation -----------------------------------------------------------
 
 
+def api1_verdicts(spark, sf):
+    """One verdict for every upload of the folder."""
+    folder = corpus.archive_folder(spark, sf, damage=True)
+    found = plans.corpus_verdicts(spark, folder, max_archive_mb=0.125)
+    return found.select(F.col("project_id").alias("archive"), "length", "reason")
+
+
 def val1(spark, sf):
     folder = corpus.archive_folder(spark, sf, damage=True)
     listing = archives.list_archives(spark, folder)
@@ -546,5 +553,5 @@ def all_queries() -> dict[str, Query]:
         "job6": job6,
         "str1": str1, "str2": str2, "str3": str3, "str4": str4, "str5": str5, "str6": str6, "str6_stream": str6_stream, "str7": str7,
         "enr1": enr1, "enr1_upper": enr1_upper, "udf1": udf1,
-        "api1": api1, "api1_archives": api1_archives, "api1_flat": api1_flat,
+        "api1": api1, "api1_archives": api1_archives, "api1_verdicts": api1_verdicts, "api1_flat": api1_flat,
     }

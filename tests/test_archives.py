@@ -7,6 +7,7 @@ import pytest
 
 from ziplore import analyze_corpus, analyze_files, analyze_project_dirs
 from ziplore.operators import validate
+from ziplore.plans.corpus import corpus_verdicts
 from ziplore.sources import archives
 
 
@@ -238,3 +239,22 @@ def test_whole_files_are_parsed(spark):
     assert got["late.py"] == "Python; funcs=late"
     assert got["big.json"] == "JSON with keys: first, last"
     assert got["odd.txt"] == "a" * 160 + "…"
+
+
+def test_every_upload_has_a_verdict(spark, tmp_path):
+    good = make_zip(*SAMPLE)
+    uploads = {
+        "good.zip": good, "_hidden.zip": good, ".dot.zip": good, "empty.zip": b"", "junk.zip": b"no archive",
+        "huge.zip": make_zip(("big.bin", b"x" * 5000)), "slips.zip": make_zip(("../evil", b"x")), "note.txt": b"x",
+    }
+    for name, content in uploads.items():
+        (tmp_path / name).write_bytes(content)
+    limit = 4096 / archives.MB
+    got = {r.project_id: r.reason for r in corpus_verdicts(spark, str(tmp_path), max_archive_mb=limit).collect()}
+    assert got == {
+        "good": None, "_hidden": "Name is hidden from file sources", ".dot": "Name is hidden from file sources",
+        "empty": "Not a ZIP archive", "junk": "Not a ZIP archive", "huge": f"Archive exceeds {limit:g} MB",
+        "slips": "Illegal member path: ../evil",
+    }
+    artifacts = analyze_corpus(spark, str(tmp_path), max_archive_mb=limit)
+    assert {r.project_id for r in artifacts.collect()} == {p for p, reason in got.items() if reason is None}

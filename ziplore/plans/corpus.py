@@ -18,6 +18,9 @@ from ziplore.session import configure, pin
 from ziplore.sources.archives import (
     MAX_ARCHIVE_MB,
     MAX_MEMBER_MB,
+    MB,
+    archive_faults,
+    list_uploads,
     open_archives,
     scan_archives,
     scan_project_dirs,
@@ -129,6 +132,31 @@ def analyze_corpus(
     return analyze_archives(scan_archives(spark, path, max_archive_mb), **options)
 
 
+def corpus_verdicts(
+    spark: SparkSession,
+    path: str,
+    *,
+    max_archive_mb: float = MAX_ARCHIVE_MB,
+    max_member_mb: float = MAX_MEMBER_MB,
+) -> DataFrame:
+    """One row per upload below ``path``: ``project_id, path, length, reason``, null when it is analysed.
+
+    The other half of :func:`analyze_corpus`: verdicts without a reason and
+    artefacts are the same projects.
+    """
+    uploads = list_uploads(spark, path)
+    opened = scan_archives(spark, path, max_archive_mb).select(F.col("path").alias("project_id"), "content")
+    faults = archive_faults(opened, max_member_mb).withColumnRenamed("project_id", "path")
+    hidden = F.substring_index("path", "/", -1).rlike("^[_.]")
+    reason = (
+        F.when(F.col("length") > int(max_archive_mb * MB), F.lit(f"Archive exceeds {max_archive_mb:g} MB"))
+        .when(F.col("length") == 0, F.lit("Not a ZIP archive"))
+        .when(hidden, F.lit("Name is hidden from file sources"))
+        .otherwise(F.col("reject_reason"))
+    )
+    return uploads.join(faults, "path", "left").select("project_id", "path", "length", reason.alias("reason"))
+
+
 def analyze_project_dirs(spark: SparkSession, root: str, **options) -> DataFrame:
     """Artefacts for every unpacked project below ``root``."""
     return analyze_files(scan_project_dirs(spark, root), **options)

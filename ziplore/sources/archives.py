@@ -63,6 +63,25 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
     return scan.select("path", project_of(F.col("path"), folder).alias("project_id"), "length")
 
 
+def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Path, project and size of every upload, also those that Spark's file sources leave out.
+
+    Those are files of zero bytes and names that begin with ``_`` or ``.``. Names
+    and sizes are listed on the driver, as Spark's own sources do.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(folder)
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = [
+        (status.getPath().toString(), status.getLen())
+        for home in system.globStatus(pattern) or ()
+        for status in (system.listStatus(home.getPath()) if home.isDirectory() else [home])
+        if status.isFile() and status.getPath().getName().lower().endswith(".zip")
+    ]
+    listed = spark.createDataFrame(rows, "path string, length long")
+    return listed.select("path", project_of(F.col("path"), folder).alias("project_id"), "length")
+
+
 def scan_archives(spark: SparkSession, folder: str, max_mb: float = MAX_ARCHIVE_MB) -> DataFrame:
     """One row per archive within the size limit.
 
