@@ -50,9 +50,9 @@ DAMPING = 0.25
 #: standard deviations below the threshold.
 LIKELY = 0.68
 #: Bucket rows compared within one task, and pairs that one text first tries
-#: with another component; later it tries eight times as many, till none is left.
+#: with another component; later it tries 16 times as many, till none is left.
 SMALL_BUCKET = 2000
-TRIES = 8
+TRIES = 16
 
 _U = np.uint64
 
@@ -262,16 +262,30 @@ def _pairs_in_bucket(skip: int, tries: int):
     return find
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links; what is known enters as one edge per node."""
+    edges = links.select("a", "b")
+    if labels is not None:
+        edges = edges.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return components(edges)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Add the component that the links found so far give."""
     rows = rows.drop("component")
-    return rows.join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+    return rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
 
 
-def _links(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
-    """Enough links between different texts to give the components."""
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Buckets with members in different components."""
+    ends = rows.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return ends.filter("_low != _high").select("bucket")
+
+
+def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
+    """``id`` and ``component`` of all nodes that have links to other texts."""
     exploded = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
     shared = pin(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     rows = pin(join_measured(exploded, shared, ["bucket"], "doc_id"))
@@ -279,7 +293,7 @@ def _links(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         return None
     central = rows.groupBy("doc_id").agg(F.sum("n").alias("central"))
     rows = pin(rows.join(central, "doc_id"))
-    links = None
+    labels = None
     while True:
         # The most central member of each bucket; of equals the smallest id.
         hubs = pin(
@@ -289,46 +303,40 @@ def _links(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         )
         met = join_measured(rows.select("bucket", "doc_id"), hubs, ["bucket"], "doc_id")
         tried = met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        fresh = _confirm(tried, docs, nodes, common)
-        links = fresh if links is None else pin(links.unionByName(fresh))
-        rows = pin(_labelled(rows, links))
-        mixed = (
-            rows.groupBy("bucket")
-            .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-            .filter("_low != _high")
-            .select("bucket")
-            .join(hubs, "bucket")
-        )
-        open_ = pin(join_measured(rows, mixed, ["bucket"], "doc_id"))
+        labels = _joined(labels, _confirm(tried, docs, nodes, common))
+        rows = pin(_labelled(rows, labels))
+        open_ = pin(join_measured(rows, _mixed(rows).join(hubs, "bucket"), ["bucket"], "doc_id"))
         few = open_.filter(F.col("held") <= SMALL_BUCKET).select("bucket", "doc_id")
         # Buckets of different bands with the same members are looked at once.
         members = few.groupBy("bucket").agg(
             F.bit_xor(F.xxhash64("doc_id")).alias("_x"), F.sum("doc_id").alias("_s"), F.count(F.lit(1)).alias("_n")
         )
         once = members.groupBy("_x", "_s", "_n").agg(F.min("bucket").alias("bucket")).select("bucket")
-        small = pin(few.join(once, "bucket").join(nodes.select("doc_id", "sketch"), "doc_id"))
+        small = pin(_labelled(few.join(once, "bucket").join(nodes.select("doc_id", "sketch"), "doc_id"), labels))
         skip, tries = 0, TRIES
         while not small.isEmpty():
-            labelled = _labelled(small, links).repartition(48, "bucket")
             # Bounded groups: at most SMALL_BUCKET rows of a hundred bytes.
+            labelled = small.repartition(48, "bucket")
             found = labelled.groupBy("bucket").applyInPandas(_pairs_in_bucket(skip, tries), "a bigint, b bigint")
             found = pin(found.distinct())
             if found.isEmpty():
                 break
-            links = pin(links.unionByName(_confirm(found, docs, nodes, common)))
-            skip, tries = skip + tries, 8 * tries
+            labels = _joined(labels, _confirm(found, docs, nodes, common))
+            small = _labelled(small, labels)
+            small = pin(small.join(_mixed(small), "bucket"))
+            skip, tries = skip + tries, 16 * tries
         large = open_.filter(F.col("held") > SMALL_BUCKET)
         if large.isEmpty():
-            return links
+            return labels
         # Larger buckets go on without the members that their hub has answered for.
-        hub_side = components(links).select(F.col("id").alias("hub"), F.col("component").alias("_hub_component"))
+        hub_side = labels.select(F.col("id").alias("hub"), F.col("component").alias("_hub_component"))
         rows = pin(
-            _labelled(large, links).join(hub_side, "hub", "left")
+            _labelled(large, labels).join(hub_side, "hub", "left")
             .filter((F.col("doc_id") != F.col("hub")) & (F.col("component") != F.coalesce("_hub_component", "hub")))
             .select("bucket", "doc_id", "n", "central")
         )
         if rows.isEmpty():
-            return links
+            return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -346,12 +354,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     owned = pin(joined.select("doc_id", F.coalesce("_first", "doc_id").alias("node")))
     firsts = owned.filter("doc_id = node").select("doc_id").distinct()
     nodes = pin(with_words.dropDuplicates(["doc_id"]).join(firsts, "doc_id", "left_semi"))
-    links = _links(nodes, docs, common)
-    if links is None:
+    labels = _components(nodes, docs, common)
+    if labels is None:
         classes = owned.select("doc_id", F.col("node").alias("cluster_id"))
     else:
-        labels = components(links).select(F.col("id").alias("node"), "component")
-        classes = join_measured(owned, labels, ["node"], "doc_id", "left").select(
+        known = labels.withColumnRenamed("id", "node")
+        classes = join_measured(owned, known, ["node"], "doc_id", "left").select(
             "doc_id", F.coalesce("component", "node").alias("cluster_id")
         )
     # Rows that repeat an id share the class of the smallest.
