@@ -20,13 +20,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = pin(both.unionByName(both.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct())
     labels = pin(edges.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("component")))
     while True:
-        told = edges.join(labels.withColumnRenamed("id", "to"), "to").select("id", "component")
-        least = told.unionByName(labels).groupBy("id").agg(F.min("component").alias("component"))
-        jumped = least.join(
-            labels.select(F.col("id").alias("component"), F.col("component").alias("_further")), "component", "left"
-        ).select("id", F.least("component", F.coalesce("_further", "component")).alias("component"))
+        none = F.lit(None).cast("long")
+        told = edges.join(labels.withColumnRenamed("id", "to"), "to").select("id", "component", none.alias("_old"))
+        own = labels.select("id", "component", F.col("component").alias("_old"))
+        least = told.unionByName(own).groupBy("id").agg(F.min("component").alias("component"), F.max("_old").alias("_old"))
+        further = labels.select(F.col("id").alias("component"), F.col("component").alias("_further"))
+        jumped = least.join(further, "component", "left").select(
+            "id", F.least("component", F.coalesce("_further", "component")).alias("component"), "_old"
+        )
         after = pin(jumped)
-        changed = after.join(labels.withColumnRenamed("component", "_old"), "id").filter("component != _old")
-        labels = after
-        if changed.isEmpty():
+        labels = after.select("id", "component")
+        if after.filter("component != _old").isEmpty():
             return labels

@@ -231,13 +231,12 @@ def verified(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
     return both.mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, common) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, common) -> DataFrame:
     """Links among candidate pairs."""
     pairs = pin(pairs.filter("a < b").distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = wanted.join(nodes.select("doc_id", "h1", "h2"), "doc_id")
-    texts = docs.join(wanted, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "text")
-    return pin(verified(pairs, texts, common).filter(F.col("similarity") >= THRESHOLD).distinct())
+    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    return pin(verified(pairs, texts, common).filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
 
 
 def _pairs_in_bucket(skip: int, tries: int):
@@ -303,7 +302,7 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         )
         met = join_measured(rows.select("bucket", "doc_id"), hubs, ["bucket"], "doc_id")
         tried = met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        labels = _joined(labels, _confirm(tried, docs, nodes, common))
+        labels = _joined(labels, _confirm(tried, docs, common))
         rows = pin(_labelled(rows, labels))
         open_ = pin(join_measured(rows, _mixed(rows).join(hubs, "bucket"), ["bucket"], "doc_id"))
         few = open_.filter(F.col("held") <= SMALL_BUCKET).select("bucket", "doc_id")
@@ -321,7 +320,7 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
             found = pin(found.distinct())
             if found.isEmpty():
                 break
-            labels = _joined(labels, _confirm(found, docs, nodes, common))
+            labels = _joined(labels, _confirm(found, docs, common))
             small = _labelled(small, labels)
             small = pin(small.join(_mixed(small), "bucket"))
             skip, tries = skip + tries, 16 * tries
