@@ -11,9 +11,9 @@ weights of both whole texts.
 Groups may be huge, so no group's pairs are listed. Equal texts are one node.
 Each band bucket compares its members with its most central one, the one with
 the largest buckets over all bands. Buckets whose members then lie in
-different components are looked at again: small ones at once, comparing samples
-across components in one task, larger ones with the next central member, until
-nothing is left to compare.
+different components are looked at again: small ones in one task, comparing
+samples and then shingles across components, larger ones with the next central
+member, until nothing is left to compare.
 
 Defined results: a null text counts as empty; a text without words equals no
 other; one with fewer than five words is a single shingle; a null id is kept
@@ -49,10 +49,9 @@ DAMPING = 0.25
 #: Least share of equal samples for which two texts are compared exactly: three
 #: standard deviations below the threshold.
 LIKELY = 0.68
-#: Bucket rows compared within one task, and pairs that one text first tries
-#: with another component; later it tries 16 times as many, till none is left.
+#: Bucket rows compared within one task, and what short form may be off.
 SMALL_BUCKET = 2000
-TRIES = 16
+UNSURE = 0.005
 
 _U = np.uint64
 
@@ -239,26 +238,55 @@ def _confirm(pairs: DataFrame, docs: DataFrame, common) -> DataFrame:
     return pin(verified(pairs, texts, common).filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
 
 
-def _pairs_in_bucket(skip: int, tries: int):
-    """Likely pairs across components, the ``tries`` most alike per text and component from the ``skip``-th on."""
-
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comps = group["doc_id"].to_numpy(), group["component"].to_numpy()
-        codes = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), -1)
-        out = []
-        for i in range(len(ids)):
-            alike = (codes == codes[i]).mean(axis=1)
-            hit = np.flatnonzero((alike >= LIKELY) & (comps != comps[i]))
-            if not len(hit):
-                continue
-            hit = hit[np.lexsort((ids[hit], -alike[hit], comps[hit]))]
-            starts = np.flatnonzero(np.r_[True, comps[hit][1:] != comps[hit][:-1]])
-            place = np.arange(len(hit)) - np.repeat(starts, np.diff(np.r_[starts, len(hit)]))
-            for j in hit[(place >= skip) & (place < skip + tries)]:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _bags_of(docs: DataFrame, common) -> DataFrame:
+    """Shingles and weights of whole texts in short form: 32-bit numbers in order, half precision."""
 
-    return find
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for words in bags(batch.column(1)):
+                found, often = shingles(words)
+                short, place = np.unique((found >> _U(32)).astype("<u4"), return_inverse=True)
+                weight = np.bincount(place, weights(found, often, common.value), minlength=len(short))
+                packed.append(short.tobytes() + weight.astype("<f2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "bag"])
+
+    return docs.select("doc_id", "text").mapInArrow(pack, "doc_id bigint, bag binary")
+
+
+def _pairs_in_bucket(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs across components that are links, or too near the threshold to tell in short form.
+
+    Texts are compared by samples first, then on their shingles. What is surely
+    a link joins its components at once, so a pair is given only if it may
+    still join two.
+    """
+    ids = group["doc_id"].to_numpy()
+    _, root = np.unique(group["component"].to_numpy(), return_inverse=True)
+    codes = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), -1)
+    own = [(np.frombuffer(b, "<u4", len(b) // 6), np.frombuffer(b, "<f2", len(b) // 6, len(b) // 6 * 4).astype(np.float32)) for b in group["bag"]]
+    totals = np.array([w.sum() for _, w in own])
+    out = []
+    for i in range(len(ids) - 1):
+        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        hit = later[(codes[later] == codes[i]).mean(axis=1) >= LIKELY]
+        if not len(hit):
+            continue
+        h, w = own[i]
+        every, weight = np.concatenate([own[j][0] for j in hit]), np.concatenate([own[j][1] for j in hit])
+        at = np.minimum(np.searchsorted(h, every), len(h) - 1)
+        shared = np.where(h[at] == every, np.minimum(w[at], weight), 0)
+        both = np.add.reduceat(shared, np.r_[0, np.cumsum([len(own[j][0]) for j in hit])[:-1]])
+        alike = both / (totals[i] + totals[hit] - both)
+        for k in np.argsort(-alike, kind="stable"):
+            j = hit[k]
+            if alike[k] < THRESHOLD - UNSURE:
+                break
+            if root[i] != root[j]:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                if alike[k] >= THRESHOLD + UNSURE:
+                    root[root == root[j]] = root[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -312,18 +340,13 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         )
         once = members.groupBy("_x", "_s", "_n").agg(F.min("bucket").alias("bucket")).select("bucket")
         small = pin(_labelled(few.join(once, "bucket").join(nodes.select("doc_id", "sketch"), "doc_id"), labels))
-        skip, tries = 0, TRIES
-        while not small.isEmpty():
-            # Bounded groups: at most SMALL_BUCKET rows of a hundred bytes.
-            labelled = small.repartition(48, "bucket")
-            found = labelled.groupBy("bucket").applyInPandas(_pairs_in_bucket(skip, tries), "a bigint, b bigint")
-            found = pin(found.distinct())
-            if found.isEmpty():
-                break
+        if not small.isEmpty():
+            texts = docs.join(small.select("doc_id").distinct(), "doc_id", "left_semi")
+            packed = _bags_of(texts, common).filter("length(bag) > 0").dropDuplicates(["doc_id"])
+            # Bounded groups: at most SMALL_BUCKET rows.
+            dealt = small.join(packed, "doc_id").repartition(48, "bucket")
+            found = dealt.groupBy("bucket").applyInPandas(_pairs_in_bucket, "a bigint, b bigint")
             labels = _joined(labels, _confirm(found, docs, common))
-            small = _labelled(small, labels)
-            small = pin(small.join(_mixed(small), "bucket"))
-            skip, tries = skip + tries, 16 * tries
         large = open_.filter(F.col("held") > SMALL_BUCKET)
         if large.isEmpty():
             return labels
