@@ -206,6 +206,23 @@ def test_outliers_of_each_group(spark):
         assert np.allclose(d2, [got[i].distance for i in ids], rtol=1e-6)
 
 
+def test_small_groups_take_the_estimate_of_a_larger_level(spark):
+    """Sources of three rows, and languages of three: junk goes there too, sound texts stay."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(180):
+        words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(60)]
+        if i % 30 == 0:
+            words = [w + "$%#" for w in words]
+        lang = "en" if i < 90 else f"l{i // 3}"
+        rows.append((i, " ".join(words), lang, f"s{i // 3}"))
+    df = spark.createDataFrame([*rows, (500, "", "en", "s0")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge_documents(df).collect()}
+    assert sorted(got) == [*range(180), 500]
+    assert [i for i in got if got[i].distance is None] == [500]
+    assert sorted(i for i in got if not got[i].kept) == [*range(0, 180, 30), 500]
+
+
 @pytest.mark.parametrize("operator", ["quality", "pii", "secrets"])
 def test_empty_tables(docs, model, operator):
     none = docs.limit(0)

@@ -8,8 +8,9 @@ again. Each step is one grouping with partial sums, so a source with a third of
 all rows is pre-aggregated before the shuffle.
 
 Defined results: a null text counts as empty; repeated rows are judged each;
-null language or source form groups of their own; groups of fewer than
-``MIN_GROUP`` rows, and texts without a word, are judged by the fixed rules only;
+null language or source form groups of their own; a group of fewer than
+``MIN_GROUP`` rows takes the estimate over its whole language, or over all rows
+where that is as small; texts without a word are judged by the fixed rules only;
 an empty table gives an empty result. Columns of the input that clash with
 those added are replaced, those that begin with an underscore are dropped.
 """
@@ -181,8 +182,27 @@ def _measured(rows: DataFrame, fits: DataFrame, names: list[str], how: str = "in
     return joined.withColumn("_d2", _distance(names)).drop("fit")
 
 
+def _levels(sound: DataFrame) -> DataFrame:
+    """Per group whose estimate it takes, ``_takes``, and all estimates that its rows enter, ``_enters``."""
+    sizes = pin(sound.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n")))
+    languages = pin(sizes.groupBy("_lang").agg(F.sum("_n").alias("_of"), F.min("_n").alias("_least")))
+    rest = not languages.filter(F.col("_of") < MIN_GROUP).isEmpty()
+    # Names of languages and sources are empty or begin with "=".
+    of = lambda lang, source: F.struct(lang.alias("_lang"), source.alias("_source"))
+    own, language = of(F.col("_lang"), F.col("_source")), of(F.col("_lang"), F.lit("*"))
+    every = of(F.lit("*"), F.lit("*"))
+    large, spoken = F.col("_n") >= MIN_GROUP, F.col("_of") >= MIN_GROUP
+    entered = F.array(F.when(large, own), F.when(spoken & (F.col("_least") < MIN_GROUP), language), F.when(F.lit(rest), every))
+    return sizes.join(languages, "_lang").select(
+        "_lang",
+        "_source",
+        F.when(large, own).when(spoken, language).otherwise(every).alias("_takes"),
+        F.filter(entered, lambda e: e.isNotNull()).alias("_enters"),
+    )
+
+
 def robust_verdicts(stats: DataFrame) -> DataFrame:
-    """Add ``distance`` (squared, null where not judged) and ``kept``.
+    """Add ``distance`` (squared, null for a text without a word) and ``kept``.
 
     The first centre is the median and the first scatter the interquartile
     range of each statistic; every further step keeps the nearest
@@ -200,13 +220,11 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
     rows = pin(tagged)
     sound = rows.filter("n_words > 0").select("_row", "_lang", "_source", *names)
     group = ["_lang", "_source"]
-    start = (
-        sound.groupBy(*group)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, n in enumerate(names)],
-        )
-        .filter(F.col("_n") >= MIN_GROUP)
+    levels = pin(_levels(sound))
+    entering = join_measured(sound, levels.drop("_takes"), group, "_row").select("_row", F.explode("_enters").alias("_to"), *names)
+    sound = pin(entering.select("_row", "_to.*", *names))
+    start = sound.groupBy(*group).agg(
+        *[F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, n in enumerate(names)]
     )
     fit = F.struct(
         *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(len(names))],
@@ -231,7 +249,11 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
         )
         core = join_measured(measured, limits, group, "_row").filter("_d2 <= _limit")
         fits = pin(_fits(core, names, CONSISTENCY))
-    judged = _measured(rows, fits, names, "left")
+    taken = levels.select(*group, F.col("_takes._lang").alias("_of_lang"), F.col("_takes._source").alias("_of_source"))
+    fits = taken.join(
+        fits.withColumnsRenamed({"_lang": "_of_lang", "_source": "_of_source"}), ["_of_lang", "_of_source"]
+    ).select(*group, "fit")
+    judged = _measured(rows, pin(fits), names, "left")
     return judged.select(
         *[c for c in stats.columns if c not in ("base_failed", "kept", "distance")],
         "base_failed",
