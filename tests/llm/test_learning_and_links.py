@@ -190,6 +190,43 @@ def test_large_buckets_go_on_by_hubs(spark, monkeypatch):
     assert {r.cluster_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
 
 
+def test_copies_of_copies_in_a_large_bucket(spark, monkeypatch):
+    """In their only bucket, a near copy of a near copy of the hub joins, though it is none of the hub itself."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 3)
+    words = [f"w{i}" for i in range(200)]
+    inner = [w + "x" if i in (50, 100, 180) else w for i, w in enumerate(words)]
+    outer = [w + "y" if i in (20, 75, 150) else w for i, w in enumerate(inner)]
+    other = [w + "z" for w in words]
+    texts = [" ".join(t) for t in (words, inner, outer, other)]
+    assert weighted_jaccard(texts[0], texts[2]) < near_dedup.THRESHOLD <= weighted_jaccard(texts[1], texts[2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(
+        "doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")
+    )
+    common = spark.sparkContext.broadcast(np.ones(near_dedup.COUNTERS, np.float32))
+    nodes = near_dedup.sketches(docs, common).withColumn("buckets", F.array(F.lit(7).cast("long")))
+    got = {r.id: r.component for r in near_dedup._components(nodes, docs, common).collect()}
+    assert {i: got.get(i, i) for i in range(4)} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_left_rows_meet_all_members_of_the_hubs_component(spark, monkeypatch):
+    """One large bucket, blocks of two rows, and a single link that no hub sees."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 4)
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(60))
+    texts = [text(k) for k in range(11)]
+    texts += [texts[3] + " tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(
+        "doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")
+    )
+    common = spark.sparkContext.broadcast(np.ones(near_dedup.COUNTERS, np.float32))
+    nodes = near_dedup.sketches(docs, common)
+    large = docs.select(
+        F.lit(7).cast("long").alias("bucket"), "doc_id",
+        F.when(F.col("doc_id") < 7, 0).otherwise(F.col("doc_id")).cast("long").alias("component"),
+        (F.col("doc_id") >= 7).alias("left"),
+    )
+    assert [tuple(r) for r in near_dedup._across(large, nodes, docs, common).collect()] == [(3, 11)]
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(0)
     sampler = near_dedup.Sampler()

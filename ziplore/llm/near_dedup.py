@@ -12,8 +12,10 @@ Groups may be huge, so no group's pairs are listed. Equal texts are one node.
 Each band bucket compares its members with its most central one, the one with
 the largest buckets over all bands. Buckets whose members then lie in
 different components are looked at again: small ones in one task, comparing
-samples and then shingles across components, larger ones with the next central
-member, until nothing is left to compare.
+samples and then shingles across components. In larger ones the members outside
+the central one's component meet all members of that component block by block,
+so a copy of a copy is found there; then they go on among themselves with the
+next central member, until nothing is left to compare.
 
 Defined results: a null text counts as empty; a text without words equals no
 other; one with fewer than five words is a single shingle; a null id is kept
@@ -259,16 +261,24 @@ def _pairs_in_bucket(group: pd.DataFrame) -> pd.DataFrame:
 
     Texts are compared by samples first, then on their shingles. What is surely
     a link joins its components at once, so a pair is given only if it may
-    still join two.
+    still join two. With a column ``left``, rows that stay in a bucket meet those
+    that leave it; pairs of one side are not looked at.
     """
+    if "left" in group:
+        group = group.sort_values("left", ascending=False)
+        side = group["left"].to_numpy()
+    else:
+        side = None
     ids = group["doc_id"].to_numpy()
     _, root = np.unique(group["component"].to_numpy(), return_inverse=True)
     codes = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), -1)
     own = [(np.frombuffer(b, "<u4", len(b) // 6), np.frombuffer(b, "<f2", len(b) // 6, len(b) // 6 * 4).astype(np.float32)) for b in group["bag"]]
     totals = np.array([w.sum() for _, w in own])
     out = []
-    for i in range(len(ids) - 1):
+    for i in range(len(ids) - 1 if side is None else int(side.sum())):
         later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if side is not None:
+            later = later[~side[later]]
         hit = later[(codes[later] == codes[i]).mean(axis=1) >= LIKELY]
         if not len(hit):
             continue
@@ -311,6 +321,34 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return ends.filter("_low != _high").select("bucket")
 
 
+def _across(large: DataFrame, nodes: DataFrame, docs: DataFrame, common) -> DataFrame:
+    """Candidate pairs of the rows left in large buckets and the members of their hub's component.
+
+    Both sides of a bucket are cut into blocks, so that every left row meets
+    every member in some group of at most ``SMALL_BUCKET`` rows.
+    """
+    size = max(1, SMALL_BUCKET // 2)
+    sides = large.groupBy("bucket").agg(F.count_if("left").alias("_l"), F.count_if(~F.col("left")).alias("_m"))
+    blocks = sides.filter("_l > 0 AND _m > 0").select("bucket", *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("_l", "_m")])
+    cut = join_measured(large, blocks, ["bucket"], "doc_id")
+    count = F.when(F.col("left"), F.col("_l")).otherwise(F.col("_m"))
+    other = F.when(F.col("left"), F.col("_m")).otherwise(F.col("_l"))
+    own = F.pmod(F.xxhash64("doc_id", "bucket"), count).cast("int")
+    met = cut.select("bucket", "doc_id", "component", "left", own.alias("_own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("_other"))
+    met = met.select(
+        "bucket", "doc_id", "component", "left",
+        F.when(F.col("left"), F.col("_own")).otherwise(F.col("_other")).alias("_stays"),
+        F.when(F.col("left"), F.col("_other")).otherwise(F.col("_own")).alias("_leaves"),
+    )
+    ids = pin(cut.select("doc_id").distinct())
+    texts = docs.join(ids, "doc_id", "left_semi")
+    packed = _bags_of(texts, common).filter("length(bag) > 0").dropDuplicates(["doc_id"])
+    compared = pin(nodes.join(ids, "doc_id", "left_semi").select("doc_id", "sketch").join(packed, "doc_id"))
+    keys = ["bucket", "_stays", "_leaves"]
+    dealt = met.join(compared, "doc_id").repartition(48, *keys)
+    return dealt.groupBy(*keys).applyInPandas(_pairs_in_bucket, "a bigint, b bigint")
+
+
 def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
     """``id`` and ``component`` of all nodes that have links to other texts."""
     exploded = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
@@ -350,15 +388,17 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         large = open_.filter(F.col("held") > SMALL_BUCKET)
         if large.isEmpty():
             return labels
-        # Larger buckets go on without the members that their hub has answered for.
+        # Larger buckets go on without the hub's component, once the others have met all its members.
         hub_side = labels.select(F.col("id").alias("hub"), F.col("component").alias("_hub_component"))
-        rows = pin(
-            _labelled(large, labels).join(hub_side, "hub", "left")
-            .filter((F.col("doc_id") != F.col("hub")) & (F.col("component") != F.coalesce("_hub_component", "hub")))
-            .select("bucket", "doc_id", "n", "central")
+        aside = (F.col("doc_id") != F.col("hub")) & (F.col("component") != F.coalesce("_hub_component", "hub"))
+        large = pin(
+            _labelled(large, labels).join(hub_side, "hub", "left").withColumn("left", aside)
+            .select("bucket", "doc_id", "n", "central", "component", "left")
         )
+        rows = pin(large.filter("left").select("bucket", "doc_id", "n", "central"))
         if rows.isEmpty():
             return labels
+        labels = _joined(labels, _confirm(_across(large, nodes, docs, common), docs, common))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
