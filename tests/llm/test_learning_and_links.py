@@ -280,3 +280,11 @@ def test_vectors_against_brute_force(spark, monkeypatch, shard):
     assert all((by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True) for i in [*range(1000, 1007), 2000])
     assert by[None].n_links == 0 and by[None].kept
     assert vector_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_a_longer_vector_leaves_the_others_of_its_label_comparable(spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1.0, 0.1], "a"), (3, [1.0, 0.0, 0.0], "a"), (4, [2.0, 0.0, 0.0], "a"), (5, [1.0], "a")]
+    got = vector_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)
+    ]

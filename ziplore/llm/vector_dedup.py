@@ -15,9 +15,11 @@ dense cluster costs its members in rows, not its pairs.
 Comparing all vectors of a label with all shards is what the method asks; the
 work of a label grows with its vectors times its shards.
 
-Defined results: vectors that are null, empty, zero, of another dimension than
-their label's longest, or that hold null or non-finite numbers link with
-nothing, as do rows with null label; repeated rows are vectors of their own; a
+Only vectors of one dimension are compared, so a label's vectors of each
+dimension have shards of their own.
+
+Defined results: vectors that are null, empty, zero, or that hold null or
+non-finite numbers link with nothing, as do rows with null label; repeated rows are vectors of their own; a
 row without id has no class and is kept; an empty table gives an empty result.
 Other columns are not carried along.
 """
@@ -243,7 +245,7 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
     graph = Graph(vectors)
     beam = audited_beam(graph, vectors, THRESHOLD)
     held = (group["node"].to_numpy(), group["copies"].to_numpy(), vectors, graph.links, graph.entry, beam)
-    return pd.DataFrame({"label": group["label"].iloc[:1], "shard": group["shard"].iloc[:1], "index": [pickle.dumps(held)]})
+    return group[["label", "size", "shard"]].iloc[:1].reset_index(drop=True).assign(index=[pickle.dumps(held)])
 
 
 def _query(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -280,9 +282,7 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     hashed = sound.withColumns(
         {"h1": F.xxhash64("embedding"), "h2": F.xxhash64("embedding", F.lit(1)), "size": F.size("embedding")}
     )
-    sizes = hashed.groupBy("label").agg(F.max("size").alias("size"))
-    hashed = join_measured(hashed, sizes, ["label", "size"], "vec_id")
-    key = ["label", "h1", "h2"]
+    key = ["label", "size", "h1", "h2"]
     nodes = pin(
         hashed.groupBy(*key).agg(
             F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")
@@ -293,19 +293,19 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
             "vec_id", "node", "copies"
         )
     )
-    shards = nodes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
-    dealt = join_measured(nodes, shards, ["label"], "node").withColumn(
+    shards = nodes.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+    dealt = join_measured(nodes, shards, ["label", "size"], "node").withColumn(
         "shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
     )
-    dealt = pin(dealt.select("label", "shard", "shards", "node", "copies", "embedding"))
+    dealt = pin(dealt.select("label", "size", "shard", "shards", "node", "copies", "embedding"))
     index = pin(
-        dealt.groupBy("label", "shard").applyInPandas(_build, "label string, shard int, index binary")
+        dealt.groupBy("label", "size", "shard").applyInPandas(_build, "label string, size int, shard int, index binary")
     )
     # Queries go to every shard of their label, dealt into parts like the shards themselves.
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    asked = dealt.select("label", F.col("shard").alias("part"), "node", "embedding", every.alias("shard"))
-    served = index.join(shards, "label").select("label", "shard", "index", every.alias("part"))
-    keys = ["label", "shard", "part"]
+    asked = dealt.select("label", "size", F.col("shard").alias("part"), "node", "embedding", every.alias("shard"))
+    served = index.join(shards, ["label", "size"]).select("label", "size", "shard", "index", every.alias("part"))
+    keys = ["label", "size", "shard", "part"]
     found = pin(
         served.groupBy(*keys)
         .cogroup(asked.groupBy(*keys))
