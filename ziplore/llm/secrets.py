@@ -4,7 +4,9 @@ Three base kinds are fixed patterns and always stay. Weak parts (unprefixed
 access ids, bare key material, endpoints) are everywhere in sound texts, so
 they are reported only when complementary parts stand near them in the same
 scope, a block between blank lines: key material beside an access id or an
-endpoint, an access id beside key material, an endpoint beside both.
+endpoint, an access id beside key material, an endpoint beside both. A part
+inside an endpoint, as in an URL with a password, is at distance 0. Key material
+that is an access id as well is one token, so it is no company to itself.
 
 Parts are found in one pass without a shuffle. Only the weak parts' documents
 go on, as narrow rows: their parts are pre-aggregated per scope and bin of
@@ -35,7 +37,7 @@ BASE = ("assign", "access", "hex")
 #: Weak parts: kind, role, what a text must hold to be searched, pattern.
 WEAK = (
     ("key_id", "access", r"[A-Z0-9]{16}", r"(?<![A-Za-z0-9])(?=[A-Z]{0,40}[0-9])(?=[0-9]{0,40}[A-Z])[A-Z0-9]{16,40}(?![A-Za-z0-9])"),
-    ("key_material", "secret", r"[A-Za-z0-9+/]{32}", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]{0,86}[0-9])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"),
+    ("key_material", "secret", r"[A-Za-z0-9+/]{32}", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"),
     ("endpoint", "endpoint", r"://|(?i)(?:host|endpoint|server)\s*[:=]", r"(?i)(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mongodb)://[^\x20\x09-\x0D\"'<>]+|(?:host|endpoint|server)\x20*[:=]\x20*[\"']?[a-z0-9.-]+(?::[0-9]+)?"),
 )
 ROLE = {"assign": "secret", "access": "access", "hex": "secret"} | {k: r for k, r, _, _ in WEAK}
@@ -115,10 +117,13 @@ def link_parts(parts: DataFrame) -> DataFrame:
 
     A part within reach on the right starts in the bin of the weak part's end
     or the next; one on the left ends in the bin of its start or the one
-    before. Per scope, role and bin the least and greatest place suffice.
+    before. Per scope, role and bin the least and greatest place suffice. Parts
+    and endpoints that share a bin are within reach or overlap, so for those
+    that overlap each part is entered in every bin it covers.
     """
     rows = pin(_scoped(parts))
     key = ["_row", "_scope"]
+    bins = F.sequence(F.floor(F.col("start") / REACH), F.floor((F.col("end") - 1) / REACH))
     near = (
         rows.select(*key, "_role", F.explode(F.array(
             F.struct(F.lit("right").alias("side"), F.col("start").alias("at")),
@@ -127,15 +132,20 @@ def link_parts(parts: DataFrame) -> DataFrame:
         .groupBy(*key, F.col("_role").alias("_other"), F.col("p.side").alias("_side"), F.floor(F.col("p.at") / REACH).alias("_bin"))
         .agg(F.min("p.at").alias("_low"), F.max("p.at").alias("_high"))
     )
+    none = F.lit(None).cast("long")
+    over = rows.select(*key, F.col("_role").alias("_other"), F.lit("over").alias("_side"), F.explode(bins).alias("_bin")).distinct()
+    near = near.unionByName(over.withColumns({"_low": none, "_high": none}))
     right, left = F.floor(F.col("end") / REACH), F.floor(F.col("start") / REACH)
     asked = rows.filter("weak").select(
         *key, "start", "rank", "end", "kind", "_role",
-        F.explode(F.array(
+        F.explode(F.concat(F.transform(bins, lambda b: F.struct(F.lit("over").alias("side"), b.alias("bin"))), F.array(
             *[F.struct(F.lit("right").alias("side"), (right + i).alias("bin")) for i in (0, 1)],
             *[F.struct(F.lit("left").alias("side"), (left - i).alias("bin")) for i in (0, 1)],
-        )).alias("q"),
+        ))).alias("q"),
     ).select(*key, "start", "rank", "end", "kind", "_role", F.col("q.side").alias("_side"), F.col("q.bin").alias("_bin"))
     within = F.when(
+        F.col("_side") == "over", (F.col("_role") == "endpoint") | (F.col("_other") == "endpoint")
+    ).when(
         F.col("_side") == "right",
         ((F.col("_high") >= F.col("end")) & (F.col("_low") <= F.col("end") + REACH)),
     ).otherwise((F.col("_low") <= F.col("start")) & (F.col("_high") >= F.col("start") - REACH))
