@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ziplore.llm import chat, language_model, near_dedup, packing, pieces, pii, quality, secrets, urls, vector_dedup
+from ziplore.llm import chat, language_model, near_dedup, packing, pieces, pii, quality, runs, secrets, urls, vector_dedup
 from ziplore.llm.spans import listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,27 @@ def op10_chat(spark, sf):
     return chat.digests(chat.read_back(tree, members), members)
 
 
+def op11_periodic_runs(spark, sf):
+    docs = runs.with_planted_period(table(spark, sf, "documents").select("doc_id", "text"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = F.col("_best")
+    return (
+        runs.periodic_runs(docs)
+        .withColumn("_best", runs.longest_run())
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            best["start"].alias("start"),
+            (-best["less"]).alias("length"),
+            best["period"].alias("period"),
+            F.floor(best["less"] * -1000 / best["period"]).cast("long").alias("exponent_milli"),
+            F.sha2(listed, 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -105,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat": op10_chat,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 # --- SQL twins ------------------------------------------------------------
