@@ -48,8 +48,12 @@ def rank_by_blocks(
     )
 
 
-def rank_by_sort(df: DataFrame, keys: list[str], order: list[Column | str], out: str) -> DataFrame:
-    """Row number per key in any total order.
+def rank_by_sort(
+    df: DataFrame, keys: list[str], order: list[Column | str], out: str, total: str | None = None
+) -> DataFrame:
+    """Row number per key in any total order; ``total`` names a column for the number of the key's rows.
+
+    Keys must not be null.
 
     The rows are range-sorted on key and order, so a large key spreads over
     many partitions, and pinned, because their place in a partition becomes
@@ -65,12 +69,13 @@ def rank_by_sort(df: DataFrame, keys: list[str], order: list[Column | str], out:
         placed.groupBy(*keys, "_slice")
         .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
     )
+    if total:
+        runs = runs.withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys)))
     return (
-        placed.join(runs, [*keys, "_slice"])
+        placed.join(runs.drop("_rows"), [*keys, "_slice"])
         .withColumn(out, F.col("_offset") + F.col("_pos") - F.col("_first") + F.lit(1))
-        .select(*df.columns, out)
+        .select(*df.columns, out, *([total] if total else []))
     )
 
 
