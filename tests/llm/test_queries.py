@@ -15,7 +15,7 @@ ROWS = {
     "op1_packing": None, "op2_pii": "documents", "op3_embedding_dedup": "embeddings", "op4_url_filters": "pages",
     "op5_language_model": "documents", "op6_near_dedup": "documents", "op7_secret_scans": "documents",
     "op8_sentencepiece": "documents", "op9_quality_rules": "documents", "op10_chat": None,
-    "op11_periodic_runs": "documents",
+    "op11_periodic_runs": "documents", "op12_html_extraction": "pages", "op13_merkle_manifest": "documents",
 }
 
 
