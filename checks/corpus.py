@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ziplore.operators.validate import dedupe_members
 from ziplore.session import configure, scratch_path
+from ziplore.sources.storage import qualified, resolve
 from ziplore.sources.tables import files_from_table
 
 
@@ -349,13 +350,10 @@ def _entry(path: str) -> zipfile.ZipInfo:
 
 def archive_folder(spark: SparkSession, sf_dir: str, damage: bool = False) -> str:
     """Write the packed archives as ``.zip`` files below the shared folder."""
-    folder = scratch_path(spark, "archives")
-    target = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(spark, scratch_path(spark, "archives"))
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(target)
+        system, root = resolve(folder)
         system.create_dir(root, recursive=True)
         for batch in batches:
             for name, content in zip(batch["project_id"], batch["content"]):
@@ -369,13 +367,10 @@ def archive_folder(spark: SparkSession, sf_dir: str, damage: bool = False) -> st
 
 def project_folder(spark: SparkSession, sf_dir: str) -> str:
     """Write the unique files as plain files below the shared folder."""
-    folder = scratch_path(spark, "projects")
-    target = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(spark, scratch_path(spark, "projects"))
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(target)
+        system, root = resolve(folder)
         for batch in batches:
             for project, path, content in zip(batch["project_id"], batch["rel_path"], batch["content"]):
                 place = f"{root}/{project}/{path}"

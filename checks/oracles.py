@@ -254,6 +254,29 @@ ARCHIVE_MEMBERS = """archive_files AS (SELECT archive AS project_id, entry AS se
 ARCHIVES = [NUMBERED, RAW, FILES, PACKED, ARCHIVE_MEMBERS]
 
 
+# Verdicts of a run over damaged archives: what the directory declares is looked at before checksums.
+RUN = """run_sizes AS (SELECT s.archive, s.fault, max(octet_length(p.content)) > 24576 AS oversized
+    FROM archive_sizes s JOIN packed_rows p USING (archive) GROUP BY ALL),
+verdicts AS (SELECT archive, CASE WHEN fault = 2 THEN 'ZipInvalid' WHEN oversized THEN 'ExtractionFailed' WHEN fault = 1 THEN 'ZipInvalid' END AS failed FROM run_sizes),
+sound AS (SELECT archive FROM verdicts WHERE failed IS NULL)"""
+
+
+def _events(lost: str) -> str:
+    """Counts of events where the results named by ``lost`` never came."""
+    return f""", numbered_results AS (SELECT *, CAST(regexp_extract(project_id, '(\\d+)_\\d+$', 1) AS BIGINT) AS number FROM results),
+      found AS (SELECT * FROM numbered_results WHERE NOT ({lost})),
+      complete AS (SELECT archive FROM sound WHERE (SELECT count(*) FROM results r WHERE r.project_id = archive) = (SELECT count(*) FROM found f WHERE f.project_id = archive))
+      SELECT project_id, 3 AS stage, 'FileDiscovered' AS type, count(*) AS n FROM described GROUP BY ALL
+      UNION ALL SELECT project_id, 5, 'FileSkipped', count(*) FROM described WHERE skip_reason IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT project_id, 6, 'FileForAnalysis', count(*) FROM results GROUP BY ALL
+      UNION ALL SELECT project_id, 8, 'FileAnalysed', count(*) FROM found GROUP BY ALL
+      UNION ALL SELECT archive, 0, 'NewUpload', 1 FROM verdicts
+      UNION ALL SELECT archive, 1, CASE WHEN failed = 'ZipInvalid' THEN failed ELSE 'ZipValid' END, 1 FROM verdicts
+      UNION ALL SELECT archive, 2, failed, 1 FROM verdicts WHERE failed = 'ExtractionFailed'
+      UNION ALL SELECT archive, stage, type, 1 FROM sound, (VALUES (4, 'ExtractionDone'), (7, 'TriageComplete'), (10, 'TreeBuilt')) v(stage, type)
+      UNION ALL SELECT archive, stage, type, 1 FROM complete, (VALUES (9, 'AnalysisComplete'), (11, 'ProjectDraft'), (12, 'SummaryPolished')) v(stage, type)"""
+
+
 def _archive_artifacts() -> str:
     """The whole analysis over the packed archives."""
     return _recursive(
@@ -320,6 +343,7 @@ def oracle_queries() -> dict[str, str]:
         "SELECT project_id, seq, rel_path AS member_name, rel_path, CAST(octet_length(content) AS BIGINT) AS size_bytes,"
         " md5(content) AS content_md5 FROM archive_files"
     )
+    q["src2_content"] = q["src2"]
     q["src3"] = _with(*BASE) + (
         "SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY rel_path) - 1 AS seq, rel_path,"
         " CAST(octet_length(content) AS BIGINT) AS size_bytes, md5(content) AS content_md5 FROM uniq"
@@ -446,16 +470,12 @@ def oracle_queries() -> dict[str, str]:
     q["rpt1"] = analysed + """SELECT project_id, rank AS row_no, rel_path AS path, kind, CAST(lines AS VARCHAR) AS lines, substr(summary, 1, 100) AS summary FROM results WHERE rank <= 25
       UNION ALL SELECT project_id, 26, '...', concat('+', count(*) - 25, ' more'), '...', '' FROM results GROUP BY project_id HAVING count(*) > 25"""
     q["rpt1_lines"] = analysed + "SELECT project_id, rank, concat(rel_path, ' (', kind, ') – ', summary) AS line FROM results"
-    q["set1"] = _with(*ARCHIVES, "uniq AS (SELECT * FROM archive_files WHERE fault NOT IN (1, 2))", _described("uniq"),
-      """counts AS (SELECT project_id, 3 AS stage, 'FileDiscovered' AS type, count(*) AS n FROM described GROUP BY ALL
-        UNION ALL SELECT project_id, 5, 'FileSkipped', count(*) FROM described WHERE skip_reason IS NOT NULL GROUP BY ALL
-        UNION ALL SELECT project_id, 6, 'FileForAnalysis', count(*) FROM results GROUP BY ALL
-        UNION ALL SELECT project_id, 8, 'FileAnalysed', count(*) FROM results GROUP BY ALL),
-      sound AS (SELECT archive AS project_id FROM archive_sizes WHERE fault NOT IN (1, 2))""") + """SELECT * FROM counts
-      UNION ALL SELECT archive, 0, 'NewUpload', 1 FROM archive_sizes
-      UNION ALL SELECT archive, 1, 'ZipInvalid', 1 FROM archive_sizes WHERE fault IN (1, 2)
-      UNION ALL SELECT project_id, stage, type, 1 FROM sound, (VALUES (1, 'ZipValid'), (4, 'ExtractionDone'), (7, 'TriageComplete'),
-        (9, 'AnalysisComplete'), (10, 'TreeBuilt'), (11, 'ProjectDraft'), (12, 'SummaryPolished')) v(stage, type)"""
+    run = [*ARCHIVES, RUN, "uniq AS (SELECT f.* FROM archive_files f SEMI JOIN sound s ON f.project_id = s.archive)", _described("uniq")]
+    q["set1"] = _with(*run) + _events("number % 7 = 3 AND seq % 10 = 7")
+    q["api1_events"] = _with(*run) + _events("false")
+    q["api1_report"] = _with(*run) + """SELECT project_id, rank AS row_no, rel_path AS path, kind, CAST(lines AS VARCHAR) AS lines, substring(summary, 1, 100) AS summary
+        FROM results WHERE rank <= 50
+      UNION ALL SELECT project_id, 51, '...', concat('+', count(*) - 50, ' more'), '...', '' FROM results GROUP BY project_id HAVING count(*) > 50"""
 
     # Jobs
     states = _with(*STATES)

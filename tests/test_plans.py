@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import corpus, queries
-from ziplore.operators import jobs, project, triage
+from ziplore.operators import jobs, project, tree, triage
 from ziplore.session import pin
 
 SF = "/root/testdata/sf0.001"
@@ -57,11 +57,41 @@ def test_no_window_sorts_a_whole_job(spark):
         assert "Window" not in plan_of(df)
 
 
-def test_rank_partitions_by_block(spark):
-    rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("project_id"), F.col("id").alias("seq"), F.lit(10).alias("score"),
-                                   F.lit(None).cast("string").alias("skip_reason"))
-    plan = plan_of(triage.analysis_order(rows))
-    assert "hashpartitioning(project_id" in plan and "_block" in plan.split("hashpartitioning(project_id")[1][:60]
+def test_ranks_and_trees_are_not_sorted_over_the_corpus(spark):
+    rows = pin(spark.range(100).select((F.col("id") % 3).cast("string").alias("project_id"), F.col("id").alias("seq"), F.lit(10).alias("score"),
+                                       F.lit(None).cast("string").alias("skip_reason"), F.concat(F.lit("d/"), F.col("id").cast("string")).alias("rel_path")))
+    paths = rows.select("project_id", "seq", "rel_path")
+    for df in (triage.analysis_order(rows), triage.number_by_path(paths.drop("seq")), tree.tree_order(paths), tree.file_order(paths),
+               *(tree.tree_lines(paths, style) for style in tree.STYLES)):
+        assert "rangepartitioning" not in plan_of(df)
+
+
+def test_each_file_is_analysed_once(spark, tmp_path):
+    """Analyser calls of unpacked folders and of archives, counted by the rows they write."""
+    import uuid
+    import zipfile
+
+    from ziplore import analyze_corpus, analyze_project_dirs
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def analyser(text):
+        (calls / uuid.uuid4().hex).touch()
+        return "text", text[:5]
+
+    for i in range(20):
+        place = tmp_path / "projects" / f"p{i % 3}" / "sub" / f"f{i}.cfg"
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text(f"file {i}")
+    assert analyze_project_dirs(spark, str(tmp_path / "projects"), analyzers={".cfg": analyser}).count() == 3
+    assert len(list(calls.iterdir())) == 20
+    (tmp_path / "zips").mkdir()
+    with zipfile.ZipFile(tmp_path / "zips" / "a.zip", "w") as z:
+        for i in range(20):
+            z.writestr(f"f{i}.cfg", f"file {i}")
+    assert analyze_corpus(spark, str(tmp_path / "zips"), analyzers={".cfg": analyser}).count() == 1
+    assert len(list(calls.iterdir())) == 40
 
 
 def test_a_dominant_job_is_spread_over_the_join(spark):

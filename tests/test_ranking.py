@@ -35,11 +35,49 @@ def ranks_of(df, out):
     return {(r.project_id, r.seq): r[out] for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [1, 16, 65_536])
-def test_rank_by_blocks(spark, block):
+CUTS = [{"share": 64, "least": 20}, {"share": 5, "least": 1}, {"share": 5, "least": 10**6}]
+
+
+@pytest.mark.parametrize("cut", CUTS)
+def test_rank_by_slices(spark, cut):
     rows = skewed()
-    got = ranking.rank_by_blocks(frame(spark, rows), ["project_id"], [-F.col("score")], "seq", "rank", block)
-    assert ranks_of(got, "rank") == expected(rows, lambda r: (-r[2], r[1]))
+    df = frame(spark, rows)
+    by_score = ranking.rank_by_slices(df, ["project_id"], [-F.col("score"), "seq"], "rank", **cut)
+    assert ranks_of(by_score, "rank") == expected(rows, lambda r: (-r[2], r[1]))
+    by_name = ranking.rank_by_slices(df, ["project_id"], ["name", "seq"], "rank", value="score", **cut)
+    ordered = sorted(rows, key=lambda r: (r[0], r[3].encode(), r[1]))
+    sums, want = {}, {}
+    for key, seq, score, _ in ordered:
+        want[key, seq] = sums.get(key, 0)
+        sums[key] = want[key, seq] + score
+    got = by_name.collect()
+    assert {(r.project_id, r.seq): r["rank"] for r in got} == expected(rows, lambda r: (r[3].encode(), r[1]))
+    assert {(r.project_id, r.seq): r.score_before for r in got} == want
+
+
+@pytest.mark.parametrize("spread", [lambda n: n, lambda n: n * 2**40, lambda n: n * 2**50 - 2**62, lambda n: -(n**5)])
+def test_any_seq_is_ranked(spark, spread):
+    """Dense, sparse, beyond 2 ** 48 and negative; the hot project is cut into slices of like size."""
+    rows = [("hot" if n % 3 else f"k{n % 50}", spread(n), 10, "f") for n in range(3000)]
+    cut = {"share": 64, "least": 20}
+    got = ranking.rank_by_slices(frame(spark, rows), ["project_id"], ["seq"], "rank", **cut)
+    assert ranks_of(got, "rank") == expected(rows, lambda r: r[1])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = ranking.rank_by_slices(frame(spark, rows), ["project_id"], ["seq"], "rank", **cut)
+        sizes = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        # Two thirds of the rows are one project's; no window holds more than a few of its slices.
+        assert max(sizes) < 300
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rank_by_slices_of_no_rows(spark):
+    assert ranking.rank_by_slices(frame(spark, skewed(3)).limit(0), ["project_id"], ["seq"], "rank").count() == 0
 
 
 def test_rank_by_sort_spreads_one_key(spark):

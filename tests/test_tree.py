@@ -29,6 +29,22 @@ def test_text_equals_model(spark, style, model):
     assert got == {p: model(p, files) for p, files in corpus.items()}
 
 
+@pytest.mark.parametrize("style,model", [("guides", models.tree), ("flat", models.flat_tree), ("grouped", models.grouped_tree)])
+def test_text_equals_model_where_projects_and_folders_are_cut(spark, monkeypatch, style, model):
+    """A project with most files, a folder with most of its files, and a folder above most folders."""
+    from ziplore.operators import joins, ranking
+
+    monkeypatch.setattr(ranking.rank_by_slices, "__defaults__", (None, None, 32, 5))
+    monkeypatch.setattr(joins.hot_keys, "__defaults__", (32, 5))
+    corpus = corpus_of()
+    paths = [f"wide/{'ab'[i % 2]}{i}.py" for i in range(150)] + [f"wide/d{i}/x/y{i % 7}.md" for i in range(80)] + ["z.md"]
+    random.Random(2).shuffle(paths)
+    corpus["hot"] = [(seq * 2**50 - 2**55, path) for seq, path in enumerate(paths)]
+    lines = tree.tree_lines(frame(spark, corpus), style)
+    got = {r.project_id: r.tree_text for r in tree.tree_text(lines).collect()}
+    assert got == {p: model(p, files) for p, files in corpus.items()}
+
+
 def test_parts_join_to_the_whole(spark):
     corpus = corpus_of(3)
     lines = tree.tree_lines(frame(spark, corpus))

@@ -23,7 +23,14 @@ def summary_parts(ranked: DataFrame, files_per_part: int = FILES_PER_PART) -> Da
     )
 
 
-def assemble_artifacts(tree: DataFrame, summaries: DataFrame, overview: DataFrame) -> DataFrame:
+def last_parts(rows: DataFrame, number: Column, per_part: int) -> DataFrame:
+    """``project_id, last``: the last part of each project, from rows numbered from 0."""
+    return rows.groupBy("project_id").agg(F.floor(F.max(number) / per_part).alias("last"))
+
+
+def assemble_artifacts(
+    tree: DataFrame, summaries: DataFrame, overview: DataFrame, parts: DataFrame | None = None
+) -> DataFrame:
     """Join tree parts, summary parts and overview into artefact rows.
 
     A project is finished when it has a non-empty tree and an overview, which
@@ -33,15 +40,18 @@ def assemble_artifacts(tree: DataFrame, summaries: DataFrame, overview: DataFram
 
     The overview is laid out over the parts first, so that all wide rows are
     joined on ``(project_id, part)`` and a large project stays spread out.
+    ``parts`` has the ``last`` part of each project with a tree, counted on narrow
+    rows; without it trees and summaries are planned once more to be counted.
     """
-    tree_parts = tree.groupBy("project_id").agg(F.max("part").alias("_tree_parts"))
-    summary_parts_ = summaries.groupBy("project_id").agg(F.max("part").alias("_summary_parts"))
-    last = F.greatest("_tree_parts", F.coalesce("_summary_parts", F.lit(0)))
+    if parts is None:
+        both = tree.select("project_id", "part", F.lit(True).alias("_tree")).unionByName(
+            summaries.select("project_id", "part", F.lit(False).alias("_tree"))
+        )
+        parts = both.groupBy("project_id").agg(F.max("part").alias("last"), F.bool_or("_tree").alias("_tree")).filter("_tree")
     slots = (
         overview.select("project_id", "project_summary")
-        .join(tree_parts, "project_id")
-        .join(summary_parts_, "project_id", "left")
-        .select("project_id", "project_summary", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+        .join(parts.select("project_id", "last"), "project_id")
+        .select("project_id", "project_summary", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
     )
     none = F.array().cast(ARTIFACTS["file_summaries"].dataType)
     text = F.coalesce("tree_text", F.lit(""))

@@ -2,7 +2,8 @@
 
 Messages are ordered by ``(ts, event_id)``. Nothing here sorts a whole job:
 per-job facts are groupings, and they are joined back to the messages in
-slices, so a job that dominates the log is no hot spot.
+slices that follow each job's share of the log, counted in the same grouping, so
+a job that dominates the log is no hot spot.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.functions.messages import CLOSE, is_done, message_body, message_type, stage_of
-from ziplore.operators.joins import join_salted
+from ziplore.operators.joins import count_keys, join_measured
 from ziplore.operators.ranking import top_per_key
 
 PROGRESS_STEP = 10
@@ -28,13 +29,17 @@ def parse_messages(log: DataFrame) -> DataFrame:
     return log.withColumns({"type": message_type(F.col("msg")), "body": message_body(F.col("msg"))})
 
 
-def _first_close(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("msg") == CLOSE).groupBy("job_id").agg(F.min(_at()).alias("_close"))
+def _closes(log: DataFrame) -> DataFrame:
+    """How many messages each job has, ``_n``, and its first ``_close``, in one pass."""
+    close = F.when(F.col("msg") == CLOSE, _at())
+    return log.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"), F.min(close).alias("_close"))
 
 
 def events_until_close(log: DataFrame) -> DataFrame:
     """Messages strictly before the first ``close`` of their job."""
-    joined = join_salted(log, _first_close(log), ["job_id"], "event_id", "left")
+    closes = _closes(log)
+    closed = closes.filter(F.col("_close").isNotNull()).drop("_n")
+    joined = join_measured(log, closed, ["job_id"], "event_id", "left", counts=closes)
     return joined.filter(F.col("_close").isNull() | (_at() < F.col("_close"))).drop("_close")
 
 
@@ -64,7 +69,7 @@ def job_progress(log: DataFrame) -> DataFrame:
         .otherwise(F.least(F.lit(PROGRESS_CAP), reached))
     )
     return (
-        join_salted(open_log, facts, ["job_id"], "event_id", "left")
+        join_measured(open_log, facts, ["job_id"], "event_id", "left", counts=count_keys(log, ["job_id"]))
         .withColumn("progress", progress)
         .drop("_steps", "_done")
     )

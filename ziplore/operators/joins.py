@@ -10,44 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 # A key is hot with more than one HOT-th of all rows, and at least so many.
 HOT = 256
 LEAST_HOT = 1000
-BLOCK_ROWS = 65_536
 
 
-def join_salted(
-    rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "inner"
-) -> DataFrame:
-    """Spread the rows of a key over hash slices and repeat its facts for each.
+def hot_keys(counts: DataFrame, keys: list[str], hot: int = HOT, least: int = LEAST_HOT) -> DataFrame:
+    """Keys with more than one ``hot``-th of all rows, their rows ``_n`` and into how many ``_slices`` to cut them.
 
-    For facts that are few next to the rows.
+    ``counts`` has a row per key with its rows ``_n``. There are fewer than ``hot``
+    such keys and fewer than twice as many slices, so the result may be
+    broadcast whatever the input.
     """
-    slices = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    repeated = facts.withColumn("_salt", F.explode(slices))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    total = counts.agg(F.sum("_n")).scalar()
+    slices = F.ceil(F.col("_n") * hot / total).cast("int")
+    return counts.filter(F.col("_n") * hot > total).filter(F.col("_n") > least).select(*keys, "_n", slices.alias("_slices"))
+
+
+def count_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def join_measured(
-    rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "inner"
+    rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "inner", counts: DataFrame | None = None
 ) -> DataFrame:
-    """``join_salted`` with as many slices per key as its share of the rows asks for.
+    """Join per-key facts to rows, cutting each key into as many slices as its share of the rows asks for.
 
-    Only keys with more than one ``HOT``-th of all rows are cut, so there are
-    fewer than ``HOT`` of them: they are broadcast, and facts of other keys are
-    not repeated. ``rows`` are read three times; pass pinned ones.
+    Rows of a key are spread over its slices by a hash and its facts are repeated
+    for each. Only keys with more than one ``HOT``-th of all rows are cut, so they are
+    broadcast, and facts of other keys are not repeated. ``counts`` are the rows
+    ``_n`` of each key; without them ``rows`` are read twice more: pass pinned ones.
     """
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    slices = F.ceil(F.col("_n") * HOT / total).cast("int")
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") * HOT > total)
-        .filter(F.col("_n") > LEAST_HOT)
-        .select(*keys, slices.alias("_slices"))
-    )
+    hot = hot_keys(count_keys(rows, keys) if counts is None else counts, keys).drop("_n")
     cut = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_slices", F.lit(1))).cast("int")
     )
@@ -57,13 +51,17 @@ def join_measured(
     return cut.drop("_slices").join(repeated.drop("_slices"), [*keys, "_salt"], how).drop("_salt")
 
 
-def join_by_block(rows: DataFrame, facts: DataFrame, keys: list[str], seq: Column) -> DataFrame:
-    """Inner join where rows of a key are cut by blocks of their ``seq``.
+#: Keys that are broadcast for an anti-join, at most (some 100 bytes each).
+BROADCAST_KEYS = 100_000
+
+
+def anti_join(rows: DataFrame, keys_out: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+    """Rows whose key is not in ``keys_out``; pass pinned frames.
 
-    Facts are repeated only for the blocks a key has: once for a small project,
-    whose numbers all lie in the first block. For facts that may be about as
-    many as the rows. ``rows`` are read twice.
+    Few keys are counted and broadcast, so rows don't move; with more of them
+    keys of a large share of the rows are cut.
     """
-    blocked = rows.withColumn("_block", F.floor(seq / BLOCK_ROWS))
-    present = blocked.select(*keys, "_block").distinct()
-    return blocked.join(present.join(facts, keys), [*keys, "_block"]).drop("_block")
+    out = keys_out.select(*keys).distinct()
+    if out.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(out), keys, "left_anti")
+    return join_measured(rows, out, keys, spread_by, "left_anti")

@@ -9,43 +9,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ziplore.operators.joins import count_keys, hot_keys
 from ziplore.session import pin
 
-BLOCK_ROWS = 65_536
+# A key is cut for ranking when it has more than one CUT_SHARE-th of all rows,
+# and at least CUT_ROWS of them. Borders come from so many rows for each slice.
+CUT_SHARE = 1024
+CUT_ROWS = 65_536
+SAMPLED = 32
 SPREAD = 64
 
 
-def rank_by_blocks(
-    df: DataFrame, keys: list[str], classes: list[Column], seq: str, out: str, block: int = BLOCK_ROWS
+def rank_by_slices(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column | str],
+    out: str,
+    value: str | None = None,
+    counts: DataFrame | None = None,
+    share: int = CUT_SHARE,
+    least: int = CUT_ROWS,
 ) -> DataFrame:
-    """Row number per key in order of ``classes`` then the integer ``seq``.
+    """Row number per key in any total order; with ``value``, also ``<value>_before``: its sum over earlier rows of the key.
 
-    Rows are counted per key, class and block of ``seq``; the running total of
-    those counts is each block's offset, and only rows of one block are sorted
-    together. Join and window share one partitioning, so rows move once.
+    Keys that hold a large share of all rows are cut into slices of about equal
+    rows in that order: the borders are quantiles of rows picked by their hash,
+    so they follow the data, sparse or dense, numbers or strings. Rows are exact
+    whatever the borders: each slice is ranked on its own and shifted by what the
+    slices before it hold. Fewer than ``share`` keys are cut, into fewer than
+    twice as many slices, so the borders are broadcast. Other keys are ranked
+    whole. Nothing is sorted over the whole corpus.
+
+    Keys must not be null. ``counts`` are the rows ``_n`` of each key, when they
+    are known. The frame is read once more for each key count, border and offset
+    that is needed: pass a pinned one.
     """
-    order = [f"_c{i}" for i in range(len(classes))]
-    tagged = df.select(
-        "*",
-        *[c.alias(name) for c, name in zip(classes, order)],
-        F.floor(F.col(seq) / block).alias("_block"),
-    )
-    slice_cols = [*keys, *order, "_block"]
-    before = (
-        Window.partitionBy(*keys).orderBy(*order, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        tagged.groupBy(*slice_cols)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
-    within = Window.partitionBy(*slice_cols).orderBy(seq)
-    return (
-        tagged.join(offsets, slice_cols)
-        .withColumn(out, (F.col("_offset") + F.row_number().over(within)).cast("long"))
-        .select(*df.columns, out)
+    names = [f"_o{i}" for i in range(len(order))]
+    cols = [(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(order, names)]
+    tagged = df.select("*", F.struct(*cols).alias("_order"))
+    hot = hot_keys(count_keys(df, keys) if counts is None else counts, keys, share, least)
+    before = f"{value}_before"
+    added = [out, before] if value else [out]
+    if hot.isEmpty():
+        whole = Window.partitionBy(*keys).orderBy("_order")
+        ranked = tagged.withColumn(out, F.row_number().over(whole).cast("long"))
+        if value:
+            earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
+            ranked = ranked.withColumn(before, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+        return ranked.select(*df.columns, *added)
+    picked = tagged.join(F.broadcast(hot), keys).filter(F.pmod(F.xxhash64("_order"), F.col("_n")) < F.col("_slices") * SAMPLED)
+    borders = (
+        picked.groupBy(*keys, "_slices")
+        .agg(F.sort_array(F.collect_set("_order")).alias("_seen"))
+        .select(
+            *keys,
+            F.expr("transform(sequence(1, _slices), i -> _seen[cast(floor((i - 1) * size(_seen) / _slices) as int)])").alias("_borders"),
+        )
     )
+    number = F.size(F.filter("_borders", lambda b: b <= F.col("_order")))
+    cut = tagged.join(F.broadcast(borders), keys, "left").withColumn("_slice", F.coalesce(number, F.lit(0))).drop("_borders")
+    past = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.count(F.lit(1)).alias("_rows"), *([F.sum(value).alias("_sum")] if value else [])]
+    offsets = cut.groupBy(*keys, "_slice").agg(*totals).withColumn("_rows", F.coalesce(F.sum("_rows").over(past), F.lit(0)))
+    if value:
+        offsets = offsets.withColumn("_sum", F.coalesce(F.sum("_sum").over(past), F.lit(0)))
+    within = Window.partitionBy(*keys, "_slice").orderBy("_order")
+    ranked = cut.join(offsets, [*keys, "_slice"]).withColumn(out, (F.col("_rows") + F.row_number().over(within)).cast("long"))
+    if value:
+        earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn(before, F.col("_sum") + F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    return ranked.select(*df.columns, *added)
 
 
 def rank_by_sort(

@@ -48,7 +48,7 @@ def report_lines(results: DataFrame) -> DataFrame:
     return results.withColumn("line", line)
 
 
-# Stage number and type of each event, in the order a run emits them.
+# Types of events, with the number of their stage in a run.
 EVENT_STAGES = {
     "NewUpload": 0,
     "ZipValid": 1,
@@ -78,28 +78,76 @@ def _events(df: DataFrame, event_type: str, **payload: Column) -> DataFrame:
     )
 
 
+# Why an archive is turned away when members are extracted; other reasons are the validator's.
+EXTRACTION_REASONS = r"^(Member .* exceeds [^ ]+ MB|Illegal member path: .*)$"
+
+
+def split_verdicts(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(validity, extraction)`` of ``(project_id, reason)``: who turned an archive away.
+
+    An archive that is not valid is not extracted. One with an oversized member
+    or a member outside the root is valid, and its extraction fails.
+    """
+    by_extraction = F.coalesce(F.col("reason").rlike(f"(?s){EXTRACTION_REASONS}"), F.lit(False))
+    validity = verdicts.withColumn("reason", F.when(~by_extraction, F.col("reason")))
+    extraction = verdicts.filter(F.col("reason").isNull() | by_extraction)
+    return validity, extraction
+
+
+def reached_barriers(extracted: DataFrame, files: DataFrame, results: DataFrame, tree: DataFrame) -> DataFrame:
+    """Per extracted project, which of its barriers hold: ``triaged, analysed, has_tree``.
+
+    Counted from what is there: triage is complete when every discovered file
+    has been scored or skipped, analysis when every scored file has a result,
+    and the tree is built when it has a line.
+    """
+    seen = files.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("_files"),
+        F.count(F.coalesce("skip_reason", F.col("score").cast("string"))).alias("_triaged"),
+        F.count(F.when(F.col("skip_reason").isNull() & F.col("score").isNotNull(), 1)).alias("_scored"),
+    )
+    found = results.groupBy("project_id").agg(F.count(F.lit(1)).alias("_results"))
+    drawn = tree.groupBy("project_id").agg(F.lit(True).alias("has_tree"))
+    facts = extracted.select("project_id")
+    for side in (seen, found, drawn):
+        facts = facts.join(side, "project_id", "left")
+    n = {name: F.coalesce(name, F.lit(0)) for name in ("_files", "_triaged", "_scored", "_results")}
+    triaged = n["_files"] == n["_triaged"]
+    return facts.select(
+        "project_id",
+        triaged.alias("triaged"),
+        (triaged & (n["_scored"] == n["_results"])).alias("analysed"),
+        F.coalesce("has_tree", F.lit(False)).alias("has_tree"),
+    )
+
+
 def job_event_log(
     uploads: DataFrame,
     validity: DataFrame,
     extraction: DataFrame,
     triaged: DataFrame,
     results: DataFrame,
+    tree: DataFrame,
     drafts: DataFrame,
     polished: DataFrame,
 ) -> DataFrame:
     """All stage outputs as one table ``project_id, stage, type, payload``.
 
-    ``validity`` and ``extraction`` have ``reason`` (null when fine) per
-    project, ``triaged`` has ``skip_reason`` and ``score`` per file and
-    ``polished`` the final overview per project.
+    ``validity`` has a ``reason`` (null when fine) per upload and ``extraction`` per
+    valid one, ``triaged`` has ``skip_reason`` and ``score`` per file, ``tree`` the
+    lines of each tree and ``polished`` the final overview per project. Barrier
+    events stand only where the rows of their stage say so
+    (:func:`reached_barriers`); a project without its tree and its whole
+    analysis has no draft.
     """
-    valid = validity.filter(F.col("reason").isNull())
-    extracted = extraction.filter(F.col("reason").isNull())
-    kept = triaged.filter(F.col("skip_reason").isNull())
-    path, reason = F.col("rel_path"), F.col("reason")
+    reason, path = F.col("reason"), F.col("rel_path")
+    extracted = extraction.filter(reason.isNull())
+    kept = triaged.filter(F.col("skip_reason").isNull() & F.col("score").isNotNull())
+    barriers = reached_barriers(extracted, triaged, results, tree)
+    finished = barriers.filter("analysed AND has_tree").select("project_id")
     tables = [
         _events(uploads, "NewUpload"),
-        _events(valid, "ZipValid"),
+        _events(validity.filter(reason.isNull()), "ZipValid"),
         _events(validity.filter(reason.isNotNull()), "ZipInvalid", reason=reason),
         _events(extraction.filter(reason.isNotNull()), "ExtractionFailed", reason=reason),
         _events(triaged, "FileDiscovered", path=path),
@@ -111,14 +159,14 @@ def job_event_log(
             reason=F.col("skip_reason"),
         ),
         _events(kept, "FileForAnalysis", path=path, score=F.col("score")),
-        _events(extracted, "TriageComplete"),
+        _events(barriers.filter("triaged"), "TriageComplete"),
         _events(
             results, "FileAnalysed", rel_path=path, kind=F.col("kind"), summary=F.col("summary")
         ),
-        _events(extracted, "AnalysisComplete"),
-        _events(extracted, "TreeBuilt"),
-        _events(drafts, "ProjectDraft", draft=F.col("project_summary")),
-        _events(polished, "SummaryPolished", summary=F.col("project_summary")),
+        _events(barriers.filter("analysed"), "AnalysisComplete"),
+        _events(barriers.filter("has_tree"), "TreeBuilt"),
+        _events(drafts.join(finished, "project_id", "left_semi"), "ProjectDraft", draft=F.col("project_summary")),
+        _events(polished.join(finished, "project_id", "left_semi"), "SummaryPolished", summary=F.col("project_summary")),
     ]
     log = tables[0]
     for table in tables[1:]:

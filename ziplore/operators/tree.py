@@ -1,11 +1,12 @@
 """Directory trees without recursion.
 
 A node is one distinct path prefix. Its place among its siblings is that of the
-first file below it in (depth, name, seq) order. The chain of these places from
-the root down to a node is a sort key for the whole tree, and whether a node is
-the last child of its parent decides the guide drawn under it. Chains and last
-children are facts of directories; a node meets both in one join with its
-parent.
+first file below it in (depth, name, seq) order. Lines are numbered by sizes of
+subtrees: a node's line is its parent's plus one plus the sizes of its earlier
+siblings. So nodes are only ever ordered among their siblings; no sort goes over
+a project. Whether a node is the last child of its parent decides the guide
+drawn under it. Line and guides of a directory are sums along its path, and a
+node meets them in one join with its parent.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.functions.paths import base_name, depth_of, parent_of
-from ziplore.operators.joins import join_by_block
-from ziplore.operators.ranking import rank_by_sort
+from ziplore.operators.joins import count_keys, join_measured
+from ziplore.operators.ranking import rank_by_slices
 from ziplore.session import pin
 
 STYLES = ("guides", "flat", "grouped")
@@ -81,89 +82,74 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     )
 
 
-def with_last_flag(nodes: DataFrame) -> DataFrame:
-    """Add ``is_last``: the node comes last below its parent.
-
-    The last child per parent is a grouping, joined back on the node itself:
-    both sides are unique there, so a huge directory is no hot key.
-    """
-    last = _last_children(nodes).select(
-        "project_id", F.col("last_child").alias("node"), F.lit(True).alias("is_last")
-    )
-    return nodes.join(last, ["project_id", "node"], "left").withColumn(
-        "is_last", F.coalesce("is_last", F.lit(False))
-    )
+def _last_children(nodes: DataFrame) -> DataFrame:
+    """The last child of every directory; both sides of a join on it are unique, so a huge directory is no hot key."""
+    last = nodes.groupBy("project_id", "parent").agg(F.max_by("node", "first").alias("node"))
+    return last.select("project_id", "node", F.lit(True).alias("is_last"))
 
 
 def tree_order(files: DataFrame) -> DataFrame:
     """Nodes with ``sibling_rank`` (from 1) and ``is_last``."""
-    ranked = rank_by_sort(tree_nodes(files), ["project_id", "parent"], ["first"], out="sibling_rank")
-    return with_last_flag(ranked).drop("first", "has_children")
+    nodes = pin(tree_nodes(files))
+    ranked = rank_by_slices(nodes, ["project_id", "parent"], ["first"], out="sibling_rank")
+    flagged = ranked.join(_last_children(nodes), ["project_id", "node"], "left")
+    return flagged.withColumn("is_last", F.coalesce("is_last", F.lit(False))).drop("first", "has_children")
 
 
 def file_order(files: DataFrame) -> DataFrame:
     """Add ``ord``: files of a project by depth, then name, then discovery."""
-    placed = files.withColumn("_place", _place(depth_of(F.col("rel_path")), F.col("rel_path"), F.col("seq")))
-    return rank_by_sort(placed, ["project_id"], ["_place"], out="ord").drop("_place")
-
+    place = _place(depth_of(F.col("rel_path")), F.col("rel_path"), F.col("seq"))
+    return rank_by_slices(pin(files), ["project_id"], [place], out="ord")
+
+
+def _numbered_nodes(nodes: DataFrame) -> DataFrame:
+    """Pinned nodes with ``size`` of their subtree, ``is_last`` and ``step``: how many lines a node comes after its parent."""
+    children = count_keys(nodes, ["project_id", "parent"])
+    # A directory holds as many nodes as all directories at or below it have children.
+    below = _on_path(children).groupBy("project_id", F.col("ancestor").alias("node")).agg(F.sum("_n").alias("_below"))
+    sized = (
+        nodes.join(below, ["project_id", "node"], "left")
+        .join(_last_children(nodes), ["project_id", "node"], "left")
+        .withColumn("size", F.coalesce("_below", F.lit(0)) + 1)
+        .withColumn("is_last", F.coalesce("is_last", F.lit(False)))
+        .drop("_below")
+    )
+    ranked = rank_by_slices(sized, ["project_id", "parent"], ["first"], "_rank", value="size", counts=children)
+    return pin(ranked.withColumn("step", F.col("size_before") + 1).drop("_rank", "size_before", "first"))
 
-def _last_children(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("project_id", "parent").agg(F.max_by("node", "first").alias("last_child"))
 
+def _on_path(children: DataFrame) -> DataFrame:
+    """Each directory below the root with every directory on its path, itself included."""
+    parts = F.split("parent", "/")
+    levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return children.filter(F.col("parent") != "").select(
+        "project_id", F.col("parent").alias("dir"), "_n", F.posexplode(levels).alias("level", "ancestor")
+    )
 
-def _directories(nodes: DataFrame) -> DataFrame:
-    """Per directory: chain of its ancestors and itself, and its last child.
 
-    The root of a project counts as the directory with an empty name and an
-    empty chain.
-    """
-    last = _last_children(nodes)
-    is_last = last.select("project_id", F.col("last_child").alias("dir"), F.lit(True).alias("is_last"))
-    own = (
-        nodes.filter("has_children")
-        .select("project_id", F.col("node").alias("dir"), "first")
-        .join(is_last, ["project_id", "dir"], "left")
-        .withColumn("is_last", F.coalesce("is_last", F.lit(False)))
-    )
-    steps = own.select(
-        "project_id",
-        "dir",
-        F.col("first.seq").alias("seq"),
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(F.split("dir", "/"))),
-                lambda n: F.array_join(F.slice(F.split("dir", "/"), 1, n), "/"),
-            )
-        ).alias("level", "ancestor"),
-    )
-    ancestors = own.withColumnRenamed("dir", "ancestor")
-    chains = (
-        join_by_block(steps, ancestors, ["project_id", "ancestor"], F.col("seq"))
-        .groupBy("project_id", "dir")
-        .agg(F.array_sort(F.collect_list(F.struct("level", "first", "is_last"))).alias("chain"))
+def _guide_lines(files: DataFrame) -> DataFrame:
+    """Every node with its drawn line and the line's number."""
+    nodes = _numbered_nodes(pin(tree_nodes(files)))
+    children = count_keys(nodes, ["project_id", "parent"])
+    steps = _on_path(children)
+    own = nodes.filter("has_children").select("project_id", F.col("node").alias("ancestor"), "step", "is_last")
+    drawn = F.transform(
+        F.array_sort(F.collect_list(F.struct("level", "is_last"))), lambda c: F.when(c["is_last"], GAP).otherwise(PIPE)
     )
-    return last.join(
-        chains.withColumnRenamed("dir", "parent"), ["project_id", "parent"], "left"
+    directories = (
+        join_measured(steps.drop("_n"), own, ["project_id", "ancestor"], "dir", counts=count_keys(steps, ["project_id", "ancestor"]))
+        .groupBy("project_id", F.col("dir").alias("parent"))
+        .agg(F.sum("step").alias("_line"), F.array_join(drawn, "").alias("_guides"))
     )
-
-
-def _guide_rows(files: DataFrame) -> DataFrame:
-    """Every node with its drawn line and its sort key within the project."""
-    nodes = pin(tree_nodes(files))
-    rows = join_by_block(nodes, _directories(nodes), ["project_id", "parent"], F.col("first.seq"))
-    none = F.array().cast("array<struct<level:int,first:struct<depth:int,name:string,seq:bigint>,is_last:boolean>>")
-    chain = F.coalesce(F.col("chain"), none)
-    guides = F.array_join(F.transform(chain, lambda c: F.when(c["is_last"], GAP).otherwise(PIPE)), "")
+    rows = join_measured(nodes, directories, ["project_id", "parent"], "node", "left", counts=children)
     line = F.concat(
-        guides,
-        F.when(F.col("node") == F.col("last_child"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH)),
+        F.coalesce("_guides", F.lit("")),
+        F.when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH)),
         F.col("name"),
         F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")),
     )
-    key = F.concat(F.transform(chain, lambda c: c["first"]), F.array("first"))
-    return rows.select(
-        "project_id", "node", "parent", "depth", "is_dir", line.alias("line"), key.alias("sort_key")
-    )
+    number = F.coalesce("_line", F.lit(0)) + F.col("step")
+    return rows.select("project_id", number.alias("line_no"), "node", "parent", "depth", "is_dir", line.alias("line"))
 
 
 def _flat_rows(files: DataFrame) -> DataFrame:
@@ -186,18 +172,20 @@ def _grouped_rows(files: DataFrame) -> DataFrame:
     Directories follow each other in the order of their first file.
     """
     path = F.col("rel_path")
-    rows = files.select(
-        "project_id",
-        path.alias("node"),
-        parent_of(path).alias("parent"),
-        depth_of(path).alias("depth"),
-        F.lit(False).alias("is_dir"),
-        _indented(path).alias("line"),
-        F.split(path, "/").alias("parts"),
-        "seq",
+    rows = pin(
+        files.select(
+            "project_id",
+            path.alias("node"),
+            parent_of(path).alias("parent"),
+            depth_of(path).alias("depth"),
+            F.lit(False).alias("is_dir"),
+            _indented(path).alias("line"),
+            F.split(path, "/").alias("parts"),
+            "seq",
+        )
     )
     starts = rows.groupBy("project_id", "parent").agg(F.min("parts").alias("start"))
-    return join_by_block(rows, starts, ["project_id", "parent"], F.col("seq")).select(
+    return join_measured(rows, starts, ["project_id", "parent"], "node").select(
         "project_id",
         "node",
         "parent",
@@ -212,7 +200,15 @@ def _indented(path: Column) -> Column:
     return F.concat(F.repeat(F.lit("  "), depth_of(path) - 1), base_name(path))
 
 
-_ROWS = {"guides": _guide_rows, "flat": _flat_rows, "grouped": _grouped_rows}
+def _sorted_lines(rows: DataFrame) -> DataFrame:
+    return rank_by_slices(pin(rows), ["project_id"], ["sort_key"], out="line_no")
+
+
+_LINES = {
+    "guides": _guide_lines,
+    "flat": lambda files: _sorted_lines(_flat_rows(files)),
+    "grouped": lambda files: _sorted_lines(_grouped_rows(files)),
+}
 
 
 def tree_lines(files: DataFrame, style: str = "guides", projects: DataFrame | None = None) -> DataFrame:
@@ -223,7 +219,7 @@ def tree_lines(files: DataFrame, style: str = "guides", projects: DataFrame | No
     """
     if style not in STYLES:
         raise ValueError(f"style must be one of {STYLES}, not {style!r}")
-    body = rank_by_sort(_ROWS[style](files), ["project_id"], ["sort_key"], out="line_no")
+    body = _LINES[style](files)
     columns = ["project_id", "line_no", "node", "parent", "depth", "is_dir", "line"]
     roots = (files if projects is None else projects).select("project_id").distinct()
     root_lines = roots.select(

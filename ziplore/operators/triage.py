@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ziplore.functions.binary import looks_binary
 from ziplore.functions.kinds import is_asset, priority_score
 from ziplore.functions.paths import base_name, extension_of, stem_of
-from ziplore.operators.ranking import rank_by_blocks, rank_by_sort, top_per_key
+from ziplore.operators.ranking import rank_by_slices, top_per_key
 
 SKIP_REASON = "binary/asset"
 
@@ -51,14 +51,12 @@ def skip_counts(triaged: DataFrame) -> DataFrame:
 
 
 def analysis_order(triaged: DataFrame) -> DataFrame:
-    """Add ``rank``: per project, score descending, then discovery order.
+    """Add ``rank``: per project, score descending, then discovery order, which may be any 64-bit ``seq``.
 
-    Pass narrow rows: the frame is read once for the counts and once for the
-    ranks, and content should not take part in either.
+    Pass pinned narrow rows: the frame is read for the counts and for the ranks,
+    and content should not take part in either.
     """
-    return rank_by_blocks(
-        analysable(triaged), ["project_id"], [-F.col("score")], "seq", out="rank"
-    )
+    return rank_by_slices(analysable(triaged), ["project_id"], [-F.col("score"), "seq"], out="rank")
 
 
 def top_files(triaged: DataFrame, n: int = 500) -> DataFrame:
@@ -68,6 +66,6 @@ def top_files(triaged: DataFrame, n: int = 500) -> DataFrame:
 
 
 def number_by_path(files: DataFrame) -> DataFrame:
-    """Add ``seq`` in path order for files that came without a member index."""
-    ranked = rank_by_sort(files, ["project_id"], ["rel_path"], out="seq")
+    """Add ``seq`` in path order for files that came without a member index; pass pinned narrow rows."""
+    ranked = rank_by_slices(files, ["project_id"], ["rel_path"], out="seq")
     return ranked.withColumn("seq", F.col("seq") - 1)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ziplore.functions.paths import escapes_root, normalise_path, upload_name_accepted
 from ziplore.functions.text import MODEL_BLANKS, strip
-from ziplore.operators.joins import join_salted
+from ziplore.operators.joins import count_keys, join_measured
 from ziplore.schemas import FILE_KINDS
 from ziplore.sources.archives import MAX_ARCHIVE_MB, MAX_MEMBER_MB, MB, archive_faults
+from ziplore.sources.ranges import range_faults
 
 SUMMARY_LIMIT = 500
 DESCRIPTION_LIMIT = 1000
@@ -17,19 +18,23 @@ NOTES_LIMIT = 2000
 
 
 def validate_archives(
-    uploads: DataFrame, listing: DataFrame, contents: DataFrame, max_mb: float = MAX_ARCHIVE_MB
+    uploads: DataFrame, listing: DataFrame, contents: DataFrame | None = None, max_mb: float = MAX_ARCHIVE_MB
 ) -> DataFrame:
     """First failing reason per upload; null when valid.
 
-    ``uploads(path)`` are the requested archives, ``listing(path, length)``
-    those that exist and ``contents(path, content)`` a scan that already leaves
-    out oversized ones. Archive bytes never leave the scan's tasks: they are
-    checked where they are read and only the verdicts are joined.
+    ``uploads(path)`` are the requested archives and ``listing(path, length)``
+    those that exist. Only archives that are asked for and within the limit are
+    opened, by ranges of members. ``contents(path, content)`` is for stores that
+    tasks can't open on their own: a scan that already leaves out oversized
+    archives, all of which are checked where they are read.
     """
     limit = int(max_mb * MB)
-    verdicts = archive_faults(
-        contents.select(F.col("path").alias("project_id"), "content"), max_member_mb=None
-    ).select(F.col("project_id").alias("path"), "reject_reason")
+    if contents is None:
+        asked = listing.filter(F.col("length") <= limit).join(uploads.select("path").distinct(), "path", "left_semi")
+        faults = range_faults(asked.select(F.col("path").alias("project_id"), "path"), max_member_mb=None)
+    else:
+        faults = archive_faults(contents.select(F.col("path").alias("project_id"), "content"), max_member_mb=None)
+    verdicts = faults.select(F.col("project_id").alias("path"), "reject_reason")
     reason = (
         F.when(F.col("length").isNull(), F.lit("File does not exist"))
         .when(F.col("length") > limit, F.lit(f"Archive exceeds {max_mb:g} MB"))
@@ -54,18 +59,21 @@ def size_limit(df: DataFrame, size_col: str, limit_mb: float) -> DataFrame:
     return df.withColumn("too_large", over).withColumn("size_error", F.when(over, text))
 
 
-def _without_projects(df: DataFrame, flagged: DataFrame) -> DataFrame:
-    return join_salted(df, flagged.select("project_id").distinct(), ["project_id"], "seq", "left_anti")
+def _without_faulty(members: DataFrame, fault: Column) -> DataFrame:
+    """Rows of projects without a faulty member; sizes of projects and their faults come from one grouping."""
+    facts = members.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(fault).alias("_faulty"))
+    faulty = facts.filter("_faulty").select("project_id")
+    return join_measured(members, faulty, ["project_id"], "seq", "left_anti", counts=facts)
 
 
 def member_size_guard(members: DataFrame, max_mb: float = MAX_MEMBER_MB) -> DataFrame:
     """Drop every row of a project that has a member above the limit."""
-    return _without_projects(members, members.filter(F.col("size_bytes") > int(max_mb * MB)))
+    return _without_faulty(members, F.col("size_bytes") > int(max_mb * MB))
 
 
 def zip_slip_guard(members: DataFrame) -> DataFrame:
     """Drop every row of a project that has a member outside its root."""
-    return _without_projects(members, members.filter(escapes_root(F.col("member_name"))))
+    return _without_faulty(members, escapes_root(F.col("member_name")))
 
 
 def member_fault(max_mb: float = MAX_MEMBER_MB) -> Column:
@@ -90,7 +98,8 @@ def extraction_status(members: DataFrame, max_mb: float = MAX_MEMBER_MB) -> Data
 
 def exclude_rejected(rows: DataFrame, status: DataFrame) -> DataFrame:
     """Rows of projects that were not turned away."""
-    return _without_projects(rows, status.filter(F.col("reason").isNotNull()))
+    rejected = status.filter(F.col("reason").isNotNull()).select("project_id").distinct()
+    return join_measured(rows, rejected, ["project_id"], "seq", "left_anti", counts=count_keys(rows, ["project_id"]))
 
 
 def accepted_uploads(df: DataFrame, name_col: str) -> DataFrame:

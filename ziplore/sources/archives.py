@@ -1,11 +1,15 @@
-"""Archive and directory sources."""
+"""Archives as rows: listing, scanning and opening whole archives.
+
+:mod:`ziplore.sources.ranges` reads archives that tasks can open on their own,
+large ones by several tasks.
+"""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,25 +67,6 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
     return scan.select("path", project_of(F.col("path"), folder).alias("project_id"), "length")
 
 
-def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, project and size of every upload, also those that Spark's file sources leave out.
-
-    Those are files of zero bytes and names that begin with ``_`` or ``.``. Names
-    and sizes are listed on the driver, as Spark's own sources do.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    pattern = hadoop.Path(folder)
-    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = [
-        (status.getPath().toString(), status.getLen())
-        for home in system.globStatus(pattern) or ()
-        for status in (system.listStatus(home.getPath()) if home.isDirectory() else [home])
-        if status.isFile() and status.getPath().getName().lower().endswith(".zip")
-    ]
-    listed = spark.createDataFrame(rows, "path string, length long")
-    return listed.select("path", project_of(F.col("path"), folder).alias("project_id"), "length")
-
-
 def scan_archives(spark: SparkSession, folder: str, max_mb: float = MAX_ARCHIVE_MB) -> DataFrame:
     """One row per archive within the size limit.
 
@@ -124,26 +109,33 @@ def _leaves_root(name: str) -> bool:
     return name.startswith("/")
 
 
-def _landing_path(name: str) -> str:
+def landing_path(name: str) -> str:
     return "/".join(s for s in name.split("/") if s not in ("", ".", ".."))
 
 
+def declared_fault(info: zipfile.ZipInfo, max_member_bytes: int) -> str | None:
+    """Why a member is not acceptable by its directory entry: size before path."""
+    if info.file_size > max_member_bytes:
+        return f"Member {info.filename} exceeds {max_member_bytes / MB:g} MB"
+    if _leaves_root(info.filename):
+        return f"Illegal member path: {info.filename}"
+    return None
+
+
 def _fault(archive: zipfile.ZipFile, max_member_bytes: int | None) -> str | None:
-    """First reason to turn an archive away, or None. Reads it once, in blocks.
+    """First reason to turn an archive away, or None.
 
-    Without a member limit only the checksums are checked.
+    What the directory declares is looked at first, so nothing of an archive
+    with an oversized member is unpacked. Then all members are read once, in
+    blocks. Without a member limit only the checksums are checked.
     """
+    if max_member_bytes is not None:
+        for info in archive.infolist():
+            reason = declared_fault(info, max_member_bytes)
+            if reason is not None:
+                return reason
     corrupt = archive.testzip()
-    if corrupt is not None:
-        return f"CRC error in member: {corrupt}"
-    if max_member_bytes is None:
-        return None
-    for info in archive.infolist():
-        if info.file_size > max_member_bytes:
-            return f"Member {info.filename} exceeds {max_member_bytes / MB:g} MB"
-        if _leaves_root(info.filename):
-            return f"Illegal member path: {info.filename}"
-    return None
+    return None if corrupt is None else f"CRC error in member: {corrupt}"
 
 
 def _archive_rows_of(project: str, blob: bytes, max_member_bytes: int | None, dedupe: bool, members: bool):
@@ -162,7 +154,7 @@ def _archive_rows_of(project: str, blob: bytes, max_member_bytes: int | None, de
     if reason is not None or not members:
         return
     entries = [
-        (seq, info, _landing_path(info.filename))
+        (seq, info, landing_path(info.filename))
         for seq, info in enumerate(archive.infolist())
         if not info.is_dir()
     ]
@@ -176,10 +168,31 @@ def _archive_rows_of(project: str, blob: bytes, max_member_bytes: int | None, de
         yield (project, seq, info.filename, path, info.file_size, content, None)
 
 
-def _encodable(value):
+def encodable(value):
     return value.encode("utf-8", "replace").decode("utf-8") if isinstance(value, str) else value
 
 
+def opened_batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of the opened model in batches of bounded size."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        arrays = [
+            pa.array([encodable(v) for v in column], type=field.type)
+            for column, field in zip(zip(*held), _ARROW_OPENED)
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=_ARROW_OPENED.names)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[5] or b"")
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
 def open_archives(
     archives: DataFrame,
     max_member_mb: float | None = MAX_MEMBER_MB,
@@ -196,31 +209,14 @@ def open_archives(
     if members and max_member_mb is None:
         raise ValueError("members are only released under a size limit")
     max_member_bytes = None if max_member_mb is None else int(max_member_mb * MB)
-    names = _ARROW_OPENED.names
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-
-        def flush():
-            columns = list(zip(*rows))
-            arrays = [
-                pa.array([_encodable(v) for v in column], type=field.type)
-                for column, field in zip(columns, _ARROW_OPENED)
-            ]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
-        for batch in batches:
-            for project, blob in zip(batch.column(0), batch.column(1)):
-                for row in _archive_rows_of(
-                    project.as_py(), blob.as_py() or b"", max_member_bytes, dedupe, members
-                ):
-                    rows.append(row)
-                    held += len(row[5] or b"")
-                    if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
-                        yield flush()
-                        rows, held = [], 0
-        if rows:
-            yield flush()
+        yield from opened_batches(
+            row
+            for batch in batches
+            for project, blob in zip(batch.column(0), batch.column(1))
+            for row in _archive_rows_of(project.as_py(), blob.as_py() or b"", max_member_bytes, dedupe, members)
+        )
 
     return archives.select("project_id", "content").mapInArrow(unpack, OPENED)
 
@@ -240,84 +236,3 @@ def archive_faults(archives: DataFrame, max_member_mb: float | None = MAX_MEMBER
     """
     opened = open_archives(archives, max_member_mb, members=False)
     return opened.select("project_id", "reject_reason")
-
-
-_FILE_PATHS = "project_id string, rel_path string, uri string"
-_FILE_BYTES = "project_id string, rel_path string, size_bytes long, content binary"
-
-
-def scan_project_dirs(spark: SparkSession, root: str) -> DataFrame:
-    """Files of projects that are already unpacked below ``root``.
-
-    The first segment below the root is the project. Every file counts, also
-    hidden ones such as ``.env`` and ``__init__.py``, which Spark's own file
-    sources leave out; so folders are listed and files read by tasks through
-    Arrow's file systems. Listings are shuffled file by file before anything is
-    read, so a large project is read by many tasks.
-
-    There is no member index here; :func:`ziplore.operators.triage.number_by_path`
-    adds ``seq`` once the rows are narrow.
-    """
-    base = root if "://" in root else f"file://{root}"
-
-    def projects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                system, path = fs.FileSystem.from_uri(uri)
-                found = system.get_file_info(fs.FileSelector(path))
-                names = [f.base_name for f in found if f.type == fs.FileType.Directory]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["project_id"])
-
-    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, top = fs.FileSystem.from_uri(base)
-        for batch in batches:
-            for project in batch.column(0).to_pylist():
-                home = f"{top.rstrip('/')}/{project}"
-                folders = [home]
-                while folders:
-                    found = system.get_file_info(fs.FileSelector(folders.pop()))
-                    folders += [f.path for f in found if f.type == fs.FileType.Directory]
-                    paths = [f.path for f in found if f.type == fs.FileType.File]
-                    inner = [p[len(home) + 1 :] for p in paths]
-                    columns = [[project] * len(paths), inner, paths]
-                    arrays = [pa.array(c, pa.string()) for c in columns]
-                    yield pa.RecordBatch.from_arrays(arrays, ["project_id", "rel_path", "uri"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, _ = fs.FileSystem.from_uri(base)
-
-        def one(path: str) -> bytes | None:
-            try:
-                with system.open_input_stream(path) as source:
-                    return source.read()
-            except OSError:  # an unreadable file counts as binary
-                return None
-
-        for batch in batches:
-            rows, held = [], 0
-            for project, inner, path in zip(*[c.to_pylist() for c in batch.columns]):
-                content = one(path)
-                rows.append((project, inner, len(content or b""), content))
-                held += len(content or b"")
-                if held >= BATCH_BYTES:
-                    yield _file_batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _file_batch(rows)
-
-    start = spark.createDataFrame([(base,)], "uri string")
-    folders = start.mapInArrow(projects, "project_id string").repartition("project_id")
-    files = folders.mapInArrow(listing, _FILE_PATHS).repartition("project_id", "rel_path")
-    return files.mapInArrow(read, _FILE_BYTES)
-
-
-def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.string(), pa.int64(), pa.binary()]
-    arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), types)]
-    return pa.RecordBatch.from_arrays(arrays, ["project_id", "rel_path", "size_bytes", "content"])

@@ -205,13 +205,17 @@ def stream_job_messages(
 # --- end to end -----------------------------------------------------------
 
 
-def stream_artifacts(archives: DataFrame, out: str, checkpoint: str, **options):
+def stream_artifacts(archives: DataFrame, out: str, checkpoint: str, by_range: bool = True, **options):
     """Append the artefacts of each new archive below ``out``.
 
     All members of an archive are in one micro-batch, so the batch plan applies
-    as it is. Each batch owns one folder and overwrites it when it is retried.
-    Returns a stream writer that is ready to start.
+    as it is. With ``by_range`` the stream carries paths only and each archive is
+    read by ranges; without it, for stores that tasks can't open on their own,
+    Spark's source reads whole archives. Each batch owns one folder and overwrites
+    it when it is retried. Returns a stream writer that is ready to start.
     """
+    if by_range:
+        archives = archives.select("project_id", "path")
 
     def analyse(batch: DataFrame, batch_id: int) -> None:
         artifacts = analyze_archives(batch, **options)
