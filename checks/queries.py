@@ -87,7 +87,7 @@ def with_md5(df: DataFrame, *columns: str) -> DataFrame:
 def src2(spark, sf):
     """Members read by ranges, several to an archive."""
     found = archives.list_archives(spark, corpus.archive_folder(spark, sf))
-    members = ranges.explode_by_range(found.select("project_id", "path"), range_bytes=32_768)
+    members = ranges.explode_by_range(found.select("project_id", "path"), range_bytes=262_144)
     return with_md5(members, "project_id", "seq", "member_name", "rel_path", "size_bytes")
 
 
