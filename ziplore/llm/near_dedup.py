@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ziplore.llm.components import components
 from ziplore.llm.words import bags, mixed
-from ziplore.operators.joins import join_measured
+from ziplore.operators.joins import count_keys, join_measured
 from ziplore.session import pin
 
 SHINGLE = 5
@@ -48,12 +48,19 @@ BANDS, ROWS = 14, 5
 COUNTERS = 1 << 19
 RARE = 1 / 200
 DAMPING = 0.25
-#: Least share of equal samples for which two texts are compared exactly: three
+#: Least share of equal samples for which two texts are compared exactly: 2.5
 #: standard deviations below the threshold.
 LIKELY = 0.68
+#: The same for a member and the centre of its bucket, before their texts move.
+LIKELY_HUB = 0.64
 #: Bucket rows compared within one task, and what short form may be off.
 SMALL_BUCKET = 2000
 UNSURE = 0.005
+#: Rows of small groups that a task compares, about.
+TASK_ROWS = 1000
+#: Ids of texts that are asked for are broadcast up to so many (some 32 MB), so
+#: the other texts don't move; with more of them the texts are shuffled.
+BROADCAST_IDS = 2_000_000
 
 _U = np.uint64
 
@@ -228,16 +235,41 @@ def verified(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
+    # A text may have very many partners, on either side.
+    first = join_measured(pairs, left, ["a"], "b", counts=count_keys(pairs, ["a"]))
+    both = join_measured(first, right, ["b"], "a", counts=count_keys(pairs, ["b"])).select("a", "b", "_ta", "_tb")
     return both.mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Ids and texts of the documents asked for by pinned distinct ids."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, common) -> DataFrame:
     """Links among candidate pairs."""
     pairs = pin(pairs.filter("a < b").distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return pin(verified(pairs, texts, common).filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return pin(verified(pairs, _texts_of(docs, pin(ids)), common).filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of ``doc_id`` and ``hub`` whose samples agree often enough to be worth moving their texts."""
+    pairs = pin(pairs.filter("doc_id != hub").distinct())
+    own = nodes.select("doc_id", "sketch")
+    hubs = nodes.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("_hub_sketch"))
+    # A hub may have very many members.
+    both = join_measured(pairs.join(own, "doc_id"), hubs, ["hub"], "doc_id", counts=count_keys(pairs, ["hub"]))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.array(batch.column(k).to_pylist(), f"S{BANDS * ROWS}").view(np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
+            kept = (x == y).mean(axis=1) >= LIKELY_HUB if batch.num_rows else np.zeros(0, bool)
+            yield batch.select(["doc_id", "hub"]).filter(pa.array(kept, pa.bool_()))
+
+    tried = both.select("doc_id", "hub", "sketch", "_hub_sketch").mapInArrow(agree, "doc_id bigint, hub bigint")
+    return tried.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
 
 
 def _bags_of(docs: DataFrame, common) -> DataFrame:
@@ -315,6 +347,11 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _tasks(rows: int) -> int:
+    """Into how many tasks to deal small groups with so many rows together."""
+    return max(12, -(-rows // TASK_ROWS))
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """Buckets with members in different components."""
     ends = rows.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
@@ -341,11 +378,10 @@ def _across(large: DataFrame, nodes: DataFrame, docs: DataFrame, common) -> Data
         F.when(F.col("left"), F.col("_other")).otherwise(F.col("_own")).alias("_leaves"),
     )
     ids = pin(cut.select("doc_id").distinct())
-    texts = docs.join(ids, "doc_id", "left_semi")
-    packed = _bags_of(texts, common).filter("length(bag) > 0").dropDuplicates(["doc_id"])
+    packed = _bags_of(_texts_of(docs, ids), common).filter("length(bag) > 0").dropDuplicates(["doc_id"])
     compared = pin(nodes.join(ids, "doc_id", "left_semi").select("doc_id", "sketch").join(packed, "doc_id"))
     keys = ["bucket", "_stays", "_leaves"]
-    dealt = met.join(compared, "doc_id").repartition(48, *keys)
+    dealt = met.join(compared, "doc_id").repartition(_tasks(met.count()), *keys)
     return dealt.groupBy(*keys).applyInPandas(_pairs_in_bucket, "a bigint, b bigint")
 
 
@@ -367,8 +403,7 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
             .select("bucket", (-F.col("m.id")).alias("hub"), "held")
         )
         met = join_measured(rows.select("bucket", "doc_id"), hubs, ["bucket"], "doc_id")
-        tried = met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        labels = _joined(labels, _confirm(tried, docs, common))
+        labels = _joined(labels, _confirm(_likely(met.select("doc_id", "hub"), nodes), docs, common))
         rows = pin(_labelled(rows, labels))
         open_ = pin(join_measured(rows, _mixed(rows).join(hubs, "bucket"), ["bucket"], "doc_id"))
         few = open_.filter(F.col("held") <= SMALL_BUCKET).select("bucket", "doc_id")
@@ -379,10 +414,10 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         once = members.groupBy("_x", "_s", "_n").agg(F.min("bucket").alias("bucket")).select("bucket")
         small = pin(_labelled(few.join(once, "bucket").join(nodes.select("doc_id", "sketch"), "doc_id"), labels))
         if not small.isEmpty():
-            texts = docs.join(small.select("doc_id").distinct(), "doc_id", "left_semi")
+            texts = _texts_of(docs, pin(small.select("doc_id").distinct()))
             packed = _bags_of(texts, common).filter("length(bag) > 0").dropDuplicates(["doc_id"])
             # Bounded groups: at most SMALL_BUCKET rows.
-            dealt = small.join(packed, "doc_id").repartition(48, "bucket")
+            dealt = small.join(packed, "doc_id").repartition(_tasks(small.count()), "bucket")
             found = dealt.groupBy("bucket").applyInPandas(_pairs_in_bucket, "a bigint, b bigint")
             labels = _joined(labels, _confirm(found, docs, common))
         large = open_.filter(F.col("held") > SMALL_BUCKET)
