@@ -93,6 +93,26 @@ def test_knapsack_prices_against_all_choices():
         assert best[room] == pytest.approx(max(every))
 
 
+LONG_RUNS = {
+    "spaces": " " * 1_000_000, "spaces and a word": "a" + " " * 1_000_000 + "b", "line breaks": "x\n" + "\n" * 1_000_000 + " y",
+    "mixed": " \t\n\u3000" * 300_000 + ".", "before the end mark": "a" + " " * 20_000 + packing.END + "\t" * 20_000 + "'s",
+    "two runs": " " * 15_000 + "a" + "\n" * 15_000 + "  b" + " " * 9_999 + "c", "letters": "a" * 1_000_000, "punctuation": "!" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_RUNS)
+def test_long_runs_have_the_ids_of_the_other_library(name):
+    known = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert packing.encode(LONG_RUNS[name]) == known.encode(LONG_RUNS[name], add_special_tokens=False).ids
+
+
+def test_five_million_of_one_kind(spark):
+    kinds = [" ", "\n", " \n", "a", "ab", "!", "!?", "1"]
+    docs = spark.createDataFrame([(i, k * (5_000_000 // len(k))) for i, k in enumerate(kinds)], "doc_id long, text string").repartition(4)
+    got = packing.pieces(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("start").alias("s")).collect()
+    assert len(got) == len(kinds) and all(r.n > 500_000 for r in got)
+
+
 # --- pieces ---------------------------------------------------------------
 
 
@@ -162,6 +182,15 @@ def test_chat_reads_back(tree):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_turns_read_back_as_they_were(spark):
+    """Turns, not only digests: line breaks and backslashes in roles, very long blanks in texts."""
+    turns = [("user\nassistant", "a\nb"), ("\\n", "\\n\n"), ("a\\\n<|x\n", " " * 1_000_000 + "z"), ("", "\n"), ("assistant", "<|im_end|>")]
+    rows = [(i, k, role, text) for i in range(2) for k, (role, text) in enumerate(turns)]
+    tree, members = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (read,) = chat.read_back(tree, members).collect()
+    assert [(t.role, t.text) for t in read.turns] == turns and list(read.losses) == ["<|im_end|>"]
+
+
 def test_shared_turns_are_emitted_once_depth_first(tree):
     nodes = tree[0].collect()
     distinct = {(tuple(p), d) for r in tree[1].collect() for d in range(len(r.path)) for p in [r.path[: d + 1]]}
@@ -188,6 +217,7 @@ def test_escapes_are_reversible():
     for _ in range(500):
         text = "".join(rng.choice(["\\", "<", "|", "<|", "a", "|>", "\n"]) for _ in range(rng.randint(0, 12)))
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+        assert chat.unescape(chat.escape_role(text), breaks=True) == text and "\n" not in chat.escape_role(text)
 
 
 def test_no_conversations(spark):

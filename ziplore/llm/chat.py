@@ -12,8 +12,8 @@ its history), its place in the depth-first sequence of its tree, a loss mask
 and the intervals of the tree it may attend to: its ancestors and itself.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside roles and
-texts, ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so that no control string
-can arise from data and reading back is exact. The loss covers the escaped
+texts, ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, and line breaks in roles
+become ``\\n``, so that no control string can arise from data and reading back is exact. The loss covers the escaped
 texts of assistant turns.
 
 Defined results: a null text or role counts as empty; turns are ordered by
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ziplore.llm.packing import encoder
+from ziplore.llm.packing import encoder, ordinary
 from ziplore.operators.joins import join_measured
 from ziplore.session import pin
 
@@ -41,14 +41,21 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
-def unescape(text: str) -> str:
+def unescape(text: str, breaks: bool = False) -> str:
+    """The text as it was; with ``breaks``, ``\\n`` is a line break."""
     out, at = [], 0
     while (hit := text.find("\\", at)) >= 0:
-        out += text[at:hit], text[hit + 1 : hit + 2]
+        kept = text[hit + 1 : hit + 2]
+        out += text[at:hit], "\n" if breaks and kept == "n" else kept
         at = hit + 2
     return "".join(out) + text[at:]
 
 
+def escape_role(role: str) -> str:
+    """A role ends at the first line break, so its own are written as ``\\n``."""
+    return escape(role).replace("\n", "\\n")
+
+
 # --- tree -----------------------------------------------------------------
 
 
@@ -120,8 +127,8 @@ def _encoded(nodes: DataFrame, path: str | None) -> DataFrame:
         for batch in batches:
             out = batch.drop(columns=["role", "text"])
             out["is_loss"] = batch["role"] == ASSISTANT
-            out["head"] = [known.encode_ordinary(f"{START}{escape(r)}\n") for r in batch["role"]]
-            out["body"] = [known.encode_ordinary(escape(t)) for t in batch["text"]]
+            out["head"] = [ordinary(f"{START}{escape_role(r)}\n", path) for r in batch["role"]]
+            out["body"] = [ordinary(escape(t), path) for t in batch["text"]]
             out["tail"] = [known.encode_ordinary(f"{STOP}\n")] * len(batch)
             yield out
 
@@ -254,7 +261,7 @@ def read_back(tree: DataFrame, members: DataFrame, path: str | None = None) -> D
                 turns = []
                 for part in formatted.split(START)[1:]:
                     role, _, text = part.removesuffix(STOP + "\n").partition("\n")
-                    turns.append({"role": unescape(role), "text": unescape(text)})
+                    turns.append({"role": unescape(role, breaks=True), "text": unescape(text)})
                 loss = [unescape(known.decode(s["ids"][int(s["loss_start"]) : int(s["loss_end"])])) for s in way if s["loss_start"] is not None and s["loss_start"] == s["loss_start"]]
                 out.append((leaf, formatted, turns, loss))
             yield pd.DataFrame(out, columns=["leaf", "formatted", "turns", "losses"])

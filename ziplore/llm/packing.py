@@ -24,6 +24,7 @@ table gives an empty result; other columns are not carried along.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -70,12 +71,37 @@ def encoder(path: str | None = None):
     return _encoders[path]
 
 
+#: Runs of white space from this length on are cut out before the pattern sees them.
+LONG_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def ordinary(text: str, path: str | None = None) -> list[int]:
+    """Ids of a text without special tokens.
+
+    The pattern looks ahead after white space, which overflows the library's
+    stack on runs of about a million. It takes such a run as one piece, but for
+    the last character if text follows, so long runs are encoded as that piece.
+    """
+    known, ids, at = encoder(path), [], 0
+    for run in LONG_BLANKS.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        ids += known.encode_ordinary(text[at : run.start()])
+        ids += known._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return ids + known.encode_ordinary(text[at:]) if at else known.encode_ordinary(text)
+
+
 def encode(text: str | None, path: str | None = None) -> list[int]:
     """Ids of a text; its end-of-text string is the special token, as in the other library."""
-    known = encoder(path)
     if not text:
         return []
-    return known.encode(text, allowed_special={END}) if END in text else known.encode_ordinary(text)
+    if END not in text:
+        return ordinary(text, path)
+    end = encoder(path).encode_single_token(END)
+    ids = []
+    for number, part in enumerate(text.split(END)):
+        ids += [end] * bool(number) + ordinary(part, path)
+    return ids
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -7,6 +7,8 @@ and the gaps between them, which one expression gives for one pattern.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +27,46 @@ def spans(text: Column, pattern: str) -> Column:
             x["hit"].alias("hit"),
         ),
     )
+    # Bound to a name, so that the text is searched once.
+    return _bound(parts, _placed)
+
+
+#: Parts that are walked together. The walk copies what it has found at every
+#: step, so texts of very many matches are walked in slices.
+WALKED = 256
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(parts: Column) -> Column:
+    """Spans of parts ``struct<gap, size, hit>`` that follow each other."""
+    slices = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / F.lit(WALKED)).cast("int")),
+        lambda n: F.slice(parts, n * F.lit(WALKED) + 1, F.lit(WALKED)),
+    )
+    return _bound(slices, lambda cut: F.flatten(F.zip_with(cut, _starts(cut), _walked)))
+
+
+def _starts(slices: Column) -> Column:
+    """Where each slice of parts begins."""
+    zero = F.lit(0).cast("long")
+    widths = F.transform(slices, lambda q: F.aggregate(q, zero, lambda at, x: at + x["gap"] + x["size"]))
+    return F.aggregate(
+        widths,
+        F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("starts")),
+        lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"],
+    )
+
+
+def _walked(parts: Column, start: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
-    walked = F.aggregate(
+    return F.aggregate(
         parts,
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")),
+        F.struct(start.alias("at"), none.alias("found")),
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + x["size"]).alias("at"),
             F.when(x["hit"].isNull(), acc["found"])
@@ -48,7 +86,6 @@ def spans(text: Column, pattern: str) -> Column:
         ),
         lambda acc: acc["found"],
     )
-    return walked
 
 
 def spans_where(gate: Column, text: Column, pattern: str) -> Column:
