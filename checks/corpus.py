@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ziplore.operators.validate import dedupe_members
-from ziplore.session import configure, scratch_path
+from ziplore.session import configure, pin, scratch_path
+from ziplore.sources.archives import list_archives
 from ziplore.sources.storage import qualified, resolve
 from ziplore.sources.tables import files_from_table
 
@@ -62,6 +63,7 @@ def raw_files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -
         .when(last == 0, named("docs/guide_", ".md"))
         .when(last == 1, named("src/mod_", ".py"))
         .when(last == 2, F.concat(F.lit("src/"), lang, named("util_", ".JS")))
+        .when(n % 20 == 13, named("config/ci_", ".yml"))
         .when(last == 3, named("config/conf_", ".json"))
         .when(last == 4, F.concat(F.lit("data/"), lang, named("notes_", ".txt")))
         .when(last == 5, named("build/script_", ".sh"))
@@ -77,8 +79,13 @@ def raw_files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -
     py_body = F.concat(
         F.lit('import os\nTEXT = "'), escaped(F.col("text")), F.lit('"\nclass Doc_'), ns, F.lit(":\n    pass\ndef load_"), ns, F.lit("():\n    pass\n")
     )
+    yaml_body = F.concat(
+        F.lit("doc_id: "), text_of(F.col("doc_id")), F.lit("\nlang: "), F.col("lang"), F.lit("\nn: "), ns,
+        F.lit('\ntext: "'), escaped(F.col("text")), F.lit('"\n'),
+    )
     content = (
         F.when(last == 8, F.concat(F.repeat(F.lit("\x01"), F.lit(400)), F.col("text")))
+        .when(F.col("rel_path").endswith(".yml"), yaml_body)
         .when(F.col("rel_path").endswith(".json"), json_body)
         .when(F.col("rel_path").endswith(".py"), py_body)
         .otherwise(F.col("text"))
@@ -207,16 +214,17 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yaml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text``: mappings, lists, plain scalars and things that do not parse."""
+    """``doc_id, text``: mappings, lists, plain scalars and things that do not parse, each with a whole document."""
     docs = table(spark, sf_dir, "documents")
     id_, k = text_of(F.col("doc_id")), F.col("doc_id") % 6
+    quoted = F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"'))
     text = (
-        F.when(k == 0, F.concat(F.lit("doc_id: "), id_, F.lit("\nlang: "), F.col("lang"), F.lit('\nn: 3\ntext: "'), escaped(F.col("text")), F.lit('"\n')))
-        .when(k == 1, F.concat(F.lit("- a\n- "), F.col("source"), F.lit("\n- c\n")))
-        .when(k == 2, F.col("source"))
-        .when(k == 3, F.lit(""))
-        .when(k == 4, F.concat(F.lit("1: x\n2: "), F.col("lang"), F.lit("\n")))
-        .otherwise(F.concat(F.lit("a: 1\n---\nb: "), id_, F.lit("\n")))
+        F.when(k == 0, F.concat(F.lit("doc_id: "), id_, F.lit("\nlang: "), F.col("lang"), F.lit("\nn: 3\ntext: "), quoted, F.lit("\n")))
+        .when(k == 1, F.concat(F.lit("- a\n- "), F.col("source"), F.lit("\n- c\n- "), quoted, F.lit("\n- e\n- f\n")))
+        .when(k == 2, quoted)
+        .when(k == 3, F.concat(F.lit("# "), quoted, F.lit("\n")))
+        .when(k == 4, F.concat(F.lit("1: x\n2: "), quoted, F.lit("\n")))
+        .otherwise(F.concat(F.lit("a: 1\n---\nb: "), quoted, F.lit("\n")))
     )
     return docs.select("doc_id", text.alias("text"))
 
@@ -307,6 +315,21 @@ def job_messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
     )
 
 
+CUTS = 3
+
+
+def messages_in_cuts(spark: SparkSession, sf_dir: str) -> str:
+    """The job messages in folders ``cut=0``, ``cut=1`` ... of about equal rows, one file each, written in order of time."""
+    folder = scratch_path(spark, "messages")
+    messages = pin(job_messages(spark, sf_dir))
+    at = F.unix_micros("ts")
+    borders = messages.select(F.percentile(at, F.array(*[F.lit(k / CUTS) for k in range(CUTS + 1)])).alias("b")).first()["b"]
+    for k in range(CUTS):
+        own = (at >= int(borders[k])) & (at <= int(borders[k + 1]) if k + 1 == CUTS else at < int(borders[k + 1]))
+        messages.filter(own).coalesce(1).write.parquet(f"{folder}/cut={k}")
+    return folder
+
+
 # --- archives -------------------------------------------------------------
 
 FILES_PER_ARCHIVE = 64
@@ -348,6 +371,11 @@ def _entry(path: str) -> zipfile.ZipInfo:
     return zipfile.ZipInfo(path, date_time=(2024, 1, 1, 0, 0, 0))
 
 
+def uploads(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the packed archives, of which there are few."""
+    return [r[0] for r in list_archives(spark, folder).select("project_id").collect()]
+
+
 def archive_folder(spark: SparkSession, sf_dir: str, damage: bool = False) -> str:
     """Write the packed archives as ``.zip`` files below the shared folder."""
     folder = qualified(spark, scratch_path(spark, "archives"))

@@ -94,7 +94,7 @@ RAW = """raw AS (SELECT *, n AS seq, CASE WHEN n = 0 THEN 'README.md'
   WHEN n = 5 AND flavour = 2 THEN 'Dockerfile' WHEN n = 5 THEN 'sub/go.mod'
   WHEN n % 10 = 0 THEN concat('docs/guide_', n, '.md') WHEN n % 10 = 1 THEN concat('src/mod_', n, '.py')
   WHEN n % 10 = 2 THEN concat('src/', lang, '/util_', n, '.JS')
-  WHEN n % 10 = 3 THEN concat('config/conf_', n, '.json')
+  WHEN n % 20 = 13 THEN concat('config/ci_', n, '.yml') WHEN n % 10 = 3 THEN concat('config/conf_', n, '.json')
   WHEN n % 10 = 4 THEN concat('data/', lang, '/notes_', n, '.txt')
   WHEN n % 10 = 5 THEN concat('build/script_', n, '.sh') WHEN n % 10 = 6 THEN concat('assets/logo_', n, '.png')
   WHEN n % 10 = 7 THEN concat('src/pkg_', n % 3, '/main.py') WHEN n % 10 = 8 THEN concat('misc/blob_', n, '.bin')
@@ -102,6 +102,7 @@ RAW = """raw AS (SELECT *, n AS seq, CASE WHEN n = 0 THEN 'README.md'
 
 FILES = f"""files AS (SELECT project_id, seq, rel_path, n, doc_id, lang, encode(CASE
   WHEN n % 10 = 8 THEN repeat(chr(1), 400) || text
+  WHEN rel_path LIKE '%.yml' THEN concat('doc_id: ', doc_id, chr(10), 'lang: ', lang, chr(10), 'n: ', n, chr(10), 'text: "', {_escaped('text')}, '"', chr(10))
   WHEN rel_path LIKE '%.json' THEN concat('{{"doc_id": ', doc_id, ', "lang": "', lang, '", "n": ', n, ', "text": "', {_escaped('text')}, '"}}')
   WHEN rel_path LIKE '%.py' THEN concat('import os', chr(10), 'TEXT = "', {_escaped('text')}, '"', chr(10), 'class Doc_', n, ':', chr(10), '    pass', chr(10),
     'def load_', n, '():', chr(10), '    pass', chr(10)) ELSE text END) AS content FROM raw)"""
@@ -118,9 +119,10 @@ parted AS (SELECT *, {_stem('name')} AS stem, {_ext('name')} AS ext FROM named),
 triaged AS (SELECT *, CASE WHEN {_binary('content')} OR ext IN {ASSETS} THEN 'binary/asset' END AS skip_reason,
   {SCORE} AS raw_score, {_binary('content')} AS is_binary, {text} AS txt FROM parted),
 described AS (SELECT *, CASE WHEN skip_reason IS NULL THEN raw_score END AS score,
-  CASE WHEN ext IN {ASSETS} THEN 'asset' WHEN ext = '.json' THEN 'json' WHEN ext = '.py' THEN 'python'
+  CASE WHEN ext IN {ASSETS} THEN 'asset' WHEN ext = '.json' THEN 'json' WHEN ext = '.yml' THEN 'yaml' WHEN ext = '.py' THEN 'python'
     ELSE 'text' END AS kind,
   CASE WHEN ext IN {ASSETS} THEN '(binary skipped)' WHEN ext = '.json' THEN 'JSON with keys: doc_id, lang, n, text'
+    WHEN ext = '.yml' THEN 'YAML with keys: doc_id, lang, n, text'
     WHEN ext = '.py' THEN concat('Python; classes=Doc_', n, '; funcs=load_', n)
     ELSE {_summary('txt')} END AS summary,
   CAST(octet_length(content) AS BIGINT) AS size_bytes,
@@ -254,6 +256,16 @@ ARCHIVE_MEMBERS = """archive_files AS (SELECT archive AS project_id, entry AS se
 ARCHIVES = [NUMBERED, RAW, FILES, PACKED, ARCHIVE_MEMBERS]
 
 
+# Per job: where both signals are there, before which message it was silent for over a day, and files up to either.
+SILENCES = """placed_msgs AS (SELECT job_id, msg, epoch_ms(ts) AS ms, row_number() OVER w AS p, epoch_ms(lag(ts) OVER w) AS before_ms,
+    max(epoch_ms(ts)) OVER () - 600000 AS now_ms FROM job_msgs WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+bounds AS (SELECT job_id, CASE WHEN bool_or(msg = 'event:TreeBuilt') AND bool_or(msg = 'event:AnalysisComplete')
+      THEN greatest(min(p) FILTER (msg = 'event:TreeBuilt'), min(p) FILTER (msg = 'event:AnalysisComplete')) END AS done_pos,
+    min(p) FILTER (ms - before_ms > 86400000) AS silent_pos, max(ms) AS last_ms, any_value(now_ms) AS now_ms FROM placed_msgs GROUP BY job_id),
+ends_without_silence AS (SELECT b.*, count(*) FILTER (msg = 'event:FileAnalysed' AND p <= done_pos) AS file_count,
+    count(*) FILTER (msg = 'event:FileAnalysed' AND (silent_pos IS NULL OR p < silent_pos)) AS files_before_silence
+    FROM bounds b JOIN placed_msgs USING (job_id) GROUP BY ALL)"""
+
 # Verdicts of a run over damaged archives: what the directory declares is looked at before checksums.
 RUN = """run_sizes AS (SELECT s.archive, s.fault, max(octet_length(p.content)) > 24576 AS oversized
     FROM archive_sizes s JOIN packed_rows p USING (archive) GROUP BY ALL),
@@ -338,7 +350,7 @@ def oracle_queries() -> dict[str, str]:
     unique_md5 = "project_id, seq, rel_path, size_bytes, content_md5"
 
     # Sources and sinks
-    q["src1"] = _with(*ARCHIVES) + "SELECT archive AS project_id, zip_bytes AS length FROM archive_sizes WHERE zip_bytes <= 90000"
+    q["src1"] = _with(*ARCHIVES) + "SELECT archive AS project_id, zip_bytes AS length FROM archive_sizes WHERE zip_bytes <= 130000"
     q["src2"] = _with(*ARCHIVES) + (
         "SELECT project_id, seq, rel_path AS member_name, rel_path, CAST(octet_length(content) AS BIGINT) AS size_bytes,"
         " md5(content) AS content_md5 FROM archive_files"
@@ -367,6 +379,7 @@ def oracle_queries() -> dict[str, str]:
     q["api1_verdicts"] = _with(*ARCHIVES) + """, uploads AS (SELECT archive, CASE fault WHEN 2 THEN 12 + length(archive) ELSE zip_bytes END AS length, fault, first_path FROM archive_sizes)
       SELECT archive, length, CASE WHEN length > 131072 THEN 'Archive exceeds 0.125 MB'
         WHEN fault = 2 THEN 'Not a ZIP archive' WHEN fault = 1 THEN 'CRC error in member: ' || first_path END AS reason FROM uploads"""
+    q["str1_verdicts"] = q["api1_verdicts"]
     q["val2"] = """SELECT doc_id, size, size > 5242880 AS too_large, CASE WHEN size > 5242880 THEN
         concat('Archive exceeds 5 MB (', printf('%.1f', size / 1048576), ' MB)') END AS size_error
       FROM (SELECT doc_id, CAST(octet_length(encode(text)) * 1000 AS BIGINT) AS size FROM documents)"""
@@ -407,8 +420,8 @@ def oracle_queries() -> dict[str, str]:
     q["fn5"] = _with(ODD_TEXTS) + f"SELECT src, id, {_summary('text')} AS summary FROM odd_texts"
     q["fn6"] = "SELECT event_id, 'JSON with keys: ' || array_to_string(json_keys(props)[1:5], ', ') AS summary FROM events"
     q["fn6_objects"] = q["fn6"]
-    q["fn7"] = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'YAML with keys: doc_id, lang, n, text' WHEN 1 THEN concat('YAML with keys: a, ', source, ', c')
-        WHEN 2 THEN concat('YAML with keys: ', array_to_string(string_split(source, '')[1:5], ', ')) END AS summary FROM documents"""
+    q["fn7"] = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'YAML with keys: doc_id, lang, n, text' WHEN 1 THEN concat('YAML with keys: a, ', source, ', c, ', text, ', e')
+        WHEN 2 THEN concat('YAML with keys: ', array_to_string(regexp_extract_all(text, '(?s).')[1:5], ', ')) END AS summary FROM documents"""
     q["fn8"] = f"""SELECT doc_id, CASE WHEN doc_id % 9 = 8 THEN NULL ELSE concat('Python',
         CASE WHEN doc_id % 5 > 0 THEN '; classes=' || {_names('C', 'doc_id % 5', 3)} ELSE '' END,
         CASE WHEN {_F} > 0 THEN '; funcs=' || {_names('f', _F, 3)} ELSE '' END) END AS summary FROM documents"""
@@ -497,18 +510,12 @@ def oracle_queries() -> dict[str, str]:
     archive_results = _with(*ARCHIVES, _described("archive_files"))
     q["str2"] = archive_results + "SELECT project_id, seq, rel_path, score, kind, summary, lines, size_bytes, language FROM results"
     q["str3"] = archive_results + "SELECT project_id, kind, count(*) AS n FROM results GROUP BY ALL"
-    q["str4"] = _with(JOBS) + """SELECT job_id, count(*) FILTER (msg = 'event:FileAnalysed') AS file_count, false AS timed_out FROM job_msgs GROUP BY job_id
-      HAVING bool_or(msg = 'event:TreeBuilt') AND bool_or(msg = 'event:AnalysisComplete')"""
+    q["str4"] = _with(JOBS, SILENCES) + "SELECT job_id, file_count, false AS timed_out FROM ends_without_silence WHERE done_pos IS NOT NULL"
     q["str5"] = q["job1"]
-    q["str6"] = states + """SELECT job_id, status FROM job_states WHERE epoch_us(coalesce(completed_at,
-        (SELECT greatest(max(created_at), max(completed_at)) FROM job_states))) - epoch_us(created_at) > 86400000000"""
-    q["str6_stream"] = _with(JOBS) + """, signals AS (SELECT *, max(ts) OVER () - INTERVAL 10 MINUTE AS watermark FROM job_msgs
-        WHERE msg IN ('event:TreeBuilt', 'event:AnalysisComplete', 'event:FileAnalysed'))
-      SELECT job_id, count(*) FILTER (msg = 'event:FileAnalysed') AS file_count,
-        NOT (bool_or(msg = 'event:TreeBuilt') AND bool_or(msg = 'event:AnalysisComplete')) AS timed_out
-      FROM signals GROUP BY job_id
-      HAVING (bool_or(msg = 'event:TreeBuilt') AND bool_or(msg = 'event:AnalysisComplete'))
-        OR max(ts) + INTERVAL 300 SECOND < any_value(watermark)"""
+    q["str6"] = _with(JOBS, SILENCES) + """SELECT job_id, CASE WHEN timed_out THEN files_before_silence ELSE file_count END AS file_count, timed_out
+      FROM (SELECT *, done_pos IS NULL OR silent_pos <= done_pos AS timed_out FROM ends_without_silence)
+      WHERE NOT timed_out OR silent_pos IS NOT NULL OR last_ms + 86400000 < now_ms"""
+    q["str6_stream"] = q["str6"]
     q["str7"] = _archive_artifacts() + "SELECT * FROM artifacts"
 
     # Enrichment, user functions, whole pipeline

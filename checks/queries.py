@@ -14,7 +14,7 @@ from ziplore.operators import artifacts, enrich, jobs, project, reports, results
 from ziplore.plans import corpus as plans
 from ziplore.schemas import ARTIFACTS
 from ziplore.session import pin, scratch_path
-from ziplore.sources import archives, folders, ranges, sinks, summaries
+from ziplore.sources import archives, folders, ranges, sinks, summaries, uploads
 from ziplore.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,7 +77,7 @@ def results_from_table(spark, sf):
 
 def src1(spark, sf):
     folder = corpus.archive_folder(spark, sf)
-    return archives.scan_archives(spark, folder, 90_000 / archives.MB).select("project_id", "length")
+    return archives.scan_archives(spark, folder, 130_000 / archives.MB).select("project_id", "length")
 
 
 def with_md5(df: DataFrame, *columns: str) -> DataFrame:
@@ -139,8 +139,8 @@ def val1(spark, sf):
     missing = corpus.files(spark, sf).select(
         F.concat(F.lit("missing_"), "project_id").alias("archive")
     ).distinct().withColumn("path", F.concat(F.lit(f"{folder}/"), "archive", F.lit(".zip")))
-    uploads = listing.select(F.col("project_id").alias("archive"), "path").unionByName(missing)
-    checked = validate.validate_archives(uploads, listing, max_mb=0.125)
+    asked = listing.select(F.col("project_id").alias("archive"), "path").unionByName(missing)
+    checked = validate.validate_archives(asked, listing, max_mb=0.125)
     return checked.select("archive", "length", "reason", "is_valid")
 
 
@@ -440,23 +440,37 @@ def arriving_results(spark, sf):
     return streams.stream_file_results(archives.stream_archives(spark, folder))
 
 
+def str1_verdicts(spark, sf):
+    """A verdict on each upload, from the stream of names."""
+    folder, out = corpus.archive_folder(spark, sf, damage=True), scratch_path(spark, "stream")
+    arriving = uploads.stream_uploads(spark, folder)
+    streams.drain(streams.write_upload_verdicts(arriving, f"{out}/rows", f"{out}/progress", max_archive_mb=0.125))
+    return spark.read.parquet(f"{out}/rows/batch=*").select(F.col("project_id").alias("archive"), "length", "reason")
+
+
 def str2(spark, sf):
     rows = run_stream(spark, arriving_results(spark, sf), "append")
     return rows.drop("ext", "skip_reason")
 
 
 def str3(spark, sf):
-    counts = streams.stream_project_counts(arriving_results(spark, sf))
-    out = scratch_path(spark, "stream")
-    streams.drain(streams.write_updates(counts, f"{out}/rows", f"{out}/progress", "update"))
-    return streams.latest_updates(spark.read.parquet(f"{out}/rows"), ["project_id", "kind"])
+    """Counts kept in a table over micro-batches of a few archives each."""
+    folder, out = corpus.archive_folder(spark, sf), scratch_path(spark, "stream")
+    arriving = archives.stream_archives(spark, folder, max_files_per_trigger=max(1, len(corpus.uploads(spark, folder)) // 3))
+    results = streams.stream_file_results(arriving)
+    streams.drain(streams.write_project_counts(results, f"{out}/counts", f"{out}/progress"))
+    return streams.project_counts_table(spark, f"{out}/counts").read().drop("last_batch")
 
 
 def arriving_messages(spark, sf):
-    """The events table as a stream."""
-    schema = corpus.table(spark, sf, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return corpus.job_messages(spark, sf, reader.parquet(sf))
+    """The events table as a stream of a few micro-batches in order of time."""
+    folder = corpus.messages_in_cuts(spark, sf)
+    schema = spark.read.parquet(f"{folder}/cut=0").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/cut=*")
+
+
+#: A job is silent too long after this, and the watermark stands so far behind the latest message.
+SILENCE, DELAY = 86_400, "10 minutes"
 
 
 def str4(spark, sf):
@@ -464,17 +478,20 @@ def str4(spark, sf):
 
 
 def str5(spark, sf):
-    rows = run_stream(spark, streams.stream_job_messages(arriving_messages(spark, sf), None), "append")
-    return rows.select("job_id", "event_id", "msg")
+    out = scratch_path(spark, "stream")
+    streams.drain(streams.write_job_messages(arriving_messages(spark, sf), f"{out}/rows", f"{out}/closes", f"{out}/progress"))
+    return spark.read.parquet(f"{out}/rows/batch=*").select("job_id", "event_id", "msg")
 
 
 def str6(spark, sf):
-    return jobs.timed_out_jobs(pin(status(spark, sf)), timeout_seconds=86_400).select("job_id", "status")
+    messages = pin(corpus.job_messages(spark, sf))
+    now = messages.agg(F.max("ts") - F.expr(f"INTERVAL {DELAY}")).scalar()
+    return jobs.job_completion(messages, SILENCE, now)
 
 
 def str6_stream(spark, sf):
-    """Completion with expiry: open jobs are given out once they are overdue."""
-    completion = streams.stream_job_completion(arriving_messages(spark, sf), clock="event")
+    """Completion with expiry: silent jobs are given out once the watermark has passed them."""
+    completion = streams.stream_job_completion(arriving_messages(spark, sf), SILENCE, clock="event", delay=DELAY)
     return run_stream(spark, completion, "append")
 
 
@@ -576,7 +593,7 @@ def all_queries() -> dict[str, Query]:
         "job5": on(named_jobs, jobs.job_listing),
         "job5_counts": on(status, jobs.job_counts),
         "job6": job6,
-        "str1": str1, "str2": str2, "str3": str3, "str4": str4, "str5": str5, "str6": str6, "str6_stream": str6_stream, "str7": str7,
+        "str1": str1, "str1_verdicts": str1_verdicts, "str2": str2, "str3": str3, "str4": str4, "str5": str5, "str6": str6, "str6_stream": str6_stream, "str7": str7,
         "enr1": enr1, "enr1_upper": enr1_upper, "udf1": udf1,
         "api1": api1, "api1_archives": api1_archives, "api1_verdicts": api1_verdicts, "api1_flat": api1_flat,
     }

@@ -69,7 +69,7 @@ def test_status_and_durations(spark):
         assert r.duration_seconds == (None if end is None else (end - created[r.job_id]).total_seconds())
 
 
-def test_listing_result_and_timeouts(spark):
+def test_listing_and_result(spark):
     rows = [
         (1, 0, T0, "event:ANALYSIS_STARTED"), (1, 1, T0 + timedelta(seconds=10), "event:ANALYSIS_COMPLETED"),
         (2, 2, T0, "event:ANALYSIS_STARTED"), (2, 3, T0 + timedelta(seconds=400), "error:slow"),
@@ -85,8 +85,55 @@ def test_listing_result_and_timeouts(spark):
     listing = jobs.job_listing(status.withColumn("filename", F.lit("x.zip"))).collect()
     assert len(listing) == 5 and {r.total for r in listing} == {5}
     assert {r.status: r.n for r in jobs.job_counts(status).collect()} == {"completed": 1, "failed": 1, "pending": 3}
-    late = {r.job_id for r in jobs.timed_out_jobs(status, 300).collect()}
-    assert late == {2, 3, 5}
     artifacts = spark.createDataFrame([(1, "text")], "job_id long, project_summary string")
     result = {r.job_id: (r.project_summary, r.error) for r in jobs.job_result(status, artifacts).collect()}
     assert result[1] == ("text", None) and result[2] == (None, "slow")
+
+
+def completed(rows, timeout, now):
+    """Jobs taken message by message."""
+    per_job, out = {}, {}
+    for row in sorted(rows, key=lambda r: (r[2], r[1])):
+        per_job.setdefault(row[0], []).append(row)
+    for job, found in per_job.items():
+        seen, files, last = set(), 0, None
+        for _, _, ts, msg in found:
+            if timeout is not None and last is not None and (ts - last).total_seconds() > timeout:
+                out[job] = (files, True)
+                break
+            seen.add(msg)
+            files += msg == jobs.FILE_EVENT
+            last = ts
+            if {jobs.TREE_EVENT, jobs.ANALYSIS_EVENT} <= seen:
+                out[job] = (files, False)
+                break
+        else:
+            if timeout is not None and (now - last).total_seconds() > timeout:
+                out[job] = (files, True)
+    return out
+
+
+def completion_log(n=900, seed=5):
+    rng = random.Random(seed)
+    kinds = ["event:FileAnalysed", "event:TreeBuilt", "event:AnalysisComplete", "note", "close"]
+    rows = []
+    for i in range(n):
+        job = 0 if rng.random() < 0.3 else rng.randrange(1, 60)
+        rows.append((job, i, T0 + timedelta(milliseconds=rng.randrange(0, 4_000_000, 250)), rng.choices(kinds, [8, 1, 1, 4, 1])[0]))
+    return rows
+
+
+def test_completion_and_timeouts_by_one_rule(spark):
+    rows = completion_log()
+    df = log_frame(spark, rows)
+    now = max(r[2] for r in rows)
+    for timeout in (None, 20, 300, 900, 10_000):
+        got = {r.job_id: (r.file_count, r.timed_out) for r in jobs.job_completion(df, timeout).collect()}
+        assert got == completed(rows, timeout, now)
+    from pyspark.sql import functions as F
+
+    early = now - timedelta(seconds=600)
+    got = {r.job_id: (r.file_count, r.timed_out) for r in jobs.job_completion(df, 300, F.lit(early)).collect()}
+    assert got == completed(rows, 300, early)
+    assert {r.job_id for r in jobs.timed_out_jobs(df, 300).collect()} == {j for j, (_, late) in completed(rows, 300, now).items() if late}
+    assert jobs.job_completion(df.limit(0)).count() == 0

@@ -8,7 +8,7 @@ a job that dominates the log is no hot spot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ziplore.functions.messages import CLOSE, is_done, message_body, message_type, stage_of
@@ -146,15 +146,58 @@ def job_result(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
     )
 
 
-def timed_out_jobs(status: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS, now: Column | None = None) -> DataFrame:
-    """Jobs not complete within the timeout.
+# The two sides of the barrier and the counted event.
+TREE_EVENT, ANALYSIS_EVENT, FILE_EVENT = "event:TreeBuilt", "event:AnalysisComplete", "event:FileAnalysed"
 
-    An open job counts once ``now`` (default: the latest time in the frame) is
-    past its limit; a completed one when it took longer.
+
+def first_silences(log: DataFrame, timeout_seconds: int) -> DataFrame:
+    """``job_id, silent_from, went_on``: a job's last message before it is silent for more than the timeout.
+
+    Within one stretch of time as long as the timeout no silence is longer, so
+    messages are first reduced to the first and the last of each such stretch;
+    only these are put in order per job. Where no silence lies between messages
+    it is the job's last message, and ``went_on`` is false.
     """
-    if now is None:
-        now = status.agg(F.max(F.greatest("created_at", "completed_at"))).scalar()
-    waited = seconds_between(F.col("created_at"), F.coalesce(F.col("completed_at"), now))
-    return status.withColumn("waited_seconds", waited).filter(
-        F.col("waited_seconds") > timeout_seconds
-    )
+    ms, width = F.unix_millis("ts"), timeout_seconds * 1000
+    stretches = log.groupBy("job_id", F.floor(ms / width).alias("_stretch")).agg(F.min(ms).alias("_from"), F.max(ms).alias("_to"))
+    in_order = Window.partitionBy("job_id").orderBy("_stretch")
+    following = F.lead("_from").over(in_order)
+    ends = stretches.withColumn("_next", following).filter(F.col("_next").isNull() | (F.col("_next") - F.col("_to") > width))
+    return ends.groupBy("job_id").agg(F.min("_to").alias("silent_from"), (F.min("_to") < F.max("_to")).alias("went_on"))
+
+
+def job_completion(log: DataFrame, timeout_seconds: int | None = TIMEOUT_SECONDS, now: Column | None = None) -> DataFrame:
+    """Jobs whose tree and analysis are both there, and jobs that timed out before: ``job_id, file_count, timed_out``.
+
+    A job times out when it is silent for more than ``timeout_seconds`` before
+    it is complete: between two messages, or from its last one to ``now`` (default:
+    the latest time in the log). ``file_count`` counts files up to the message
+    that completes the job, or up to the silence. Open jobs give no row.
+    """
+    log = log.select("job_id", "ts", "event_id", "msg")
+    said = lambda event: F.min(F.when(F.col("msg") == event, _at()))
+    facts = log.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"), said(TREE_EVENT).alias("_tree"), said(ANALYSIS_EVENT).alias("_analysis"))
+    both = F.when(F.col("_tree").isNotNull() & F.col("_analysis").isNotNull(), F.greatest("_tree", "_analysis"))
+    facts = facts.withColumn("_done", both)
+    if timeout_seconds is None:
+        ended = facts.filter(F.col("_done").isNotNull()).withColumn("_silent", F.lit(None).cast("long")).withColumn("timed_out", F.lit(False))
+    else:
+        now = log.agg(F.max("ts")).scalar() if now is None else now
+        late = F.col("_done").isNull() | (F.unix_millis("_done.ts") > F.col("silent_from"))
+        over = F.col("went_on") | (F.col("silent_from") + timeout_seconds * 1000 < F.unix_millis(now))
+        ended = (
+            facts.join(first_silences(log, timeout_seconds), "job_id")
+            .withColumn("timed_out", late)
+            .filter(~late | over)
+            .withColumn("_silent", F.when(late, F.col("silent_from")))
+        )
+    files = log.filter(F.col("msg") == FILE_EVENT)
+    joined = join_measured(files, ended.select("job_id", "_done", "_silent"), ["job_id"], "event_id", counts=facts)
+    counted = F.when(F.col("_silent").isNotNull(), F.unix_millis("ts") <= F.col("_silent")).otherwise(_at() <= F.col("_done"))
+    n_files = joined.filter(counted).groupBy("job_id").agg(F.count(F.lit(1)).alias("_files"))
+    return ended.join(n_files, "job_id", "left").select("job_id", F.coalesce("_files", F.lit(0)).alias("file_count"), "timed_out")
+
+
+def timed_out_jobs(log: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS, now: Column | None = None) -> DataFrame:
+    """Jobs that timed out, by the rule of :func:`job_completion`."""
+    return job_completion(log, timeout_seconds, now).filter("timed_out").drop("timed_out")

@@ -200,6 +200,27 @@ def analyze_corpus(spark: SparkSession, path: str, **options) -> DataFrame:
     return run_corpus(spark, path, **options).artifacts
 
 
+def upload_verdicts(uploads: DataFrame, max_archive_mb: float = MAX_ARCHIVE_MB, max_member_mb: float = MAX_MEMBER_MB) -> DataFrame:
+    """``project_id, path, length, reason`` of pinned listed uploads, null when an upload is analysed."""
+    limit = int(max_archive_mb * MB)
+    readable = uploads.filter((F.col("length") > 0) & (F.col("length") <= limit))
+    faults = range_faults(readable.select(F.col("path").alias("project_id"), "path"), max_member_mb)
+    return _verdicts(uploads, faults, max_archive_mb)
+
+
+def _verdicts(uploads: DataFrame, faults: DataFrame, max_archive_mb: float) -> DataFrame:
+    """Reasons from sizes and names, and from ``faults``, whose ``project_id`` is a path."""
+    hidden = F.substring_index("path", "/", -1).rlike("^[_.]")
+    reason = (
+        F.when(F.col("length") > int(max_archive_mb * MB), F.lit(f"Archive exceeds {max_archive_mb:g} MB"))
+        .when(F.col("length") == 0, F.lit("Not a ZIP archive"))
+        .when(hidden, F.lit("Name is hidden from file sources"))
+        .otherwise(F.col("reject_reason"))
+    )
+    joined = uploads.join(faults.withColumnRenamed("project_id", "path"), "path", "left")
+    return joined.select("project_id", "path", "length", reason.alias("reason"))
+
+
 def corpus_verdicts(
     spark: SparkSession,
     path: str,
@@ -213,23 +234,10 @@ def corpus_verdicts(
     artefacts are the same projects.
     """
     if streamable(qualified(spark, path)):
-        uploads = pin(list_uploads(spark, path))
-        readable = uploads.filter((F.col("length") > 0) & (F.col("length") <= int(max_archive_mb * MB)))
-        faults = range_faults(readable.select(F.col("path").alias("project_id"), "path"), max_member_mb)
-    else:
-        # Zero bytes and hidden names can't be seen there.
-        uploads = list_archives(spark, path)
-        opened = scan_archives(spark, path, max_archive_mb).select(F.col("path").alias("project_id"), "content")
-        faults = archive_faults(opened, max_member_mb)
-    faults = faults.withColumnRenamed("project_id", "path")
-    hidden = F.substring_index("path", "/", -1).rlike("^[_.]")
-    reason = (
-        F.when(F.col("length") > int(max_archive_mb * MB), F.lit(f"Archive exceeds {max_archive_mb:g} MB"))
-        .when(F.col("length") == 0, F.lit("Not a ZIP archive"))
-        .when(hidden, F.lit("Name is hidden from file sources"))
-        .otherwise(F.col("reject_reason"))
-    )
-    return uploads.join(faults, "path", "left").select("project_id", "path", "length", reason.alias("reason"))
+        return upload_verdicts(pin(list_uploads(spark, path)), max_archive_mb, max_member_mb)
+    # Zero bytes and hidden names can't be seen there.
+    opened = scan_archives(spark, path, max_archive_mb).select(F.col("path").alias("project_id"), "content")
+    return _verdicts(list_archives(spark, path), archive_faults(opened, max_member_mb), max_archive_mb)
 
 
 def analyze_project_dirs(spark: SparkSession, root: str, **options) -> DataFrame:

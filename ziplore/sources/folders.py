@@ -123,6 +123,13 @@ def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["project_id", "rel_path", "size_bytes", "content"])
 
 
+def upload_homes(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a path or pattern, as URIs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ()
+    return [f.getPath().toString() for f in found if f.isDirectory()]
+
+
 def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Path, project and size of every upload, also those that Spark's file sources leave out.
 
@@ -137,8 +144,7 @@ def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
         named = hadoop.GlobPattern(last).compiled().pattern()
     else:
         above, named = where, None
-    pattern = hadoop.Path(above)
-    homes = [(h.getPath().toString(),) for h in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or () if h.isDirectory()]
+    homes = [(home,) for home in upload_homes(spark, above)]
     start = spark.createDataFrame(homes, "uri string")
     listed = _list(start, max(1, len(homes)), named)
     if named:

@@ -90,6 +90,17 @@ def open_seekable(uri: str) -> io.BufferedReader:
     return io.BufferedReader(_Raw(system.open_input_file(path)), BUFFER_BYTES)
 
 
+def list_files(uri: str) -> list[tuple[str, int, int]]:
+    """``(URI, size, time of last change in ms)`` of the files right below a folder; none if it is gone."""
+    from pyarrow import fs
+
+    system, path = resolve(uri)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return [
+        (f"{uri.rstrip('/')}/{f.base_name}", f.size, (f.mtime_ns or 0) // 1_000_000) for f in found if f.type == fs.FileType.File
+    ]
+
+
 def list_folder(uri: str) -> tuple[list[tuple[str, int]], list[str]]:
     """``(files with sizes, folders)`` right below a folder, as URIs. Links to folders are not followed."""
     from pyarrow import fs
