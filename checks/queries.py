@@ -471,6 +471,8 @@ def arriving_messages(spark, sf):
 
 #: A job is silent too long after this, and the watermark stands so far behind the latest message.
 SILENCE, DELAY = 86_400, "10 minutes"
+#: For longer than the log is long, done and closed jobs are remembered.
+REMEMBERED = 400 * 86_400
 
 
 def str4(spark, sf):
@@ -479,7 +481,9 @@ def str4(spark, sf):
 
 def str5(spark, sf):
     out = scratch_path(spark, "stream")
-    streams.drain(streams.write_job_messages(arriving_messages(spark, sf), f"{out}/rows", f"{out}/closes", f"{out}/progress"))
+    # The log spans more than a week, and closed jobs go on talking.
+    writer = streams.write_job_messages(arriving_messages(spark, sf), f"{out}/rows", f"{out}/closes", f"{out}/progress", retention_seconds=REMEMBERED)
+    streams.drain(writer)
     return spark.read.parquet(f"{out}/rows/batch=*").select("job_id", "event_id", "msg")
 
 
@@ -491,7 +495,7 @@ def str6(spark, sf):
 
 def str6_stream(spark, sf):
     """Completion with expiry: silent jobs are given out once the watermark has passed them."""
-    completion = streams.stream_job_completion(arriving_messages(spark, sf), SILENCE, clock="event", delay=DELAY)
+    completion = streams.stream_job_completion(arriving_messages(spark, sf), SILENCE, "event", DELAY, REMEMBERED)
     return run_stream(spark, completion, "append")
 
 
