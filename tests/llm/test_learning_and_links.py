@@ -42,6 +42,23 @@ def test_urls_against_plain_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_hosts_of_any_depth_equal_the_sql(spark, tmp_path):
+    """Listed parents far up and far down in hosts of 9 to 700 labels, against the query's SQL."""
+    import duckdb
+
+    from ziplore.llm.queries import OP4_SQL, op4_url_filters
+
+    deep = [(n, at) for n in (2, 8, 9, 10, 61, 140, 700) for at in (None, 0, 1, n // 2, n - 1)]
+    rows = [(i, "http://" + ".".join("x-spam" if k == at else f"h{k}" for k in range(n)) + "/a?b") for i, (n, at) in enumerate(deep)]
+    rows += [(1000, "http://" + "." * 50 + "/"), (1001, None), (1002, "http://" + "a." * 139 + "org/fr/x"), (1000, "http://" + "." * 50 + "/")]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP4_SQL})").fetchall())
+    assert sorted(tuple(r) for r in op4_url_filters(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()) == want
+    assert [w[4] for w in want[: len(deep)]] == ["allow" if at is None else "block" for _, at in deep]
+
+
 @pytest.mark.parametrize("words", [urls.MAX_CASCADE_WORDS, 0])
 def test_given_list_by_cascade_and_beyond_its_size(spark, monkeypatch, words):
     monkeypatch.setattr(urls, "MAX_CASCADE_WORDS", words)

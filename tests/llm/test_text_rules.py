@@ -253,3 +253,21 @@ def test_empty_tables(docs, model, operator):
         "secrets": lambda: secrets.find_secrets(none),
     }[operator]
     assert run().count() == 0
+
+
+def test_dense_spans_in_time(spark):
+    """As many matches as a log file has, placed as Python's own search places them."""
+    import re
+    import time
+
+    from ziplore.llm import spans
+
+    pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    for n in (0, 1, spans.WALKED - 1, spans.WALKED, spans.WALKED + 1, 3 * spans.WALKED, 60_000):
+        text = "é " + " ß ".join(f"u{i}@h{i}.org" for i in range(n))
+        began = time.monotonic()
+        (row,) = spark.createDataFrame([(text,)], "text string").select(spans.spans(F.col("text"), pattern).alias("f")).collect()
+        assert time.monotonic() - began < 60
+        assert [tuple(s) for s in row.f] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, text)]
+    none = spark.createDataFrame([(None,)], "text string").select(spans.spans(F.col("text"), pattern).alias("f")).first()
+    assert none.f is None

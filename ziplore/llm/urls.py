@@ -41,8 +41,9 @@ RULES = (
 #: Words of host labels that put a host on the block list.
 LISTED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads")
 
-#: A domain name has 253 characters at most, hence so many labels.
-MAX_LABELS = 127
+#: Parent domains that are tested in the row's own expression, one test each.
+#: Hosts of more labels are rare; their parents are tested as rows.
+UNROLLED = 8
 
 #: Filter bits per encoded key, hash functions, and greatest number of levels
 #: before the remaining keys are stated outright.
@@ -81,10 +82,32 @@ def host_keys(host: Column, depth: int) -> list[Column]:
     return [host, *[F.substring_index(host, ".", -i) for i in range(1, depth + 1)]]
 
 
-def _depth(hosts: DataFrame) -> int:
-    """Labels of the longest host, up to what a domain name can have."""
-    most = hosts.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0]
-    return min(most or 0, MAX_LABELS)
+def labels_of(host: Column) -> Column:
+    return F.size(F.split(host, r"\.", -1))
+
+
+def parents(host: Column) -> Column:
+    """The host and all its parent domains, however many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), labels_of(host)), lambda i: F.call_function("substring_index", host, F.lit("."), -i)))
+
+
+def _hits(rows: DataFrame, cascade: Cascade) -> DataFrame:
+    """Add ``_hit``: whether the host or a parent domain is listed.
+
+    Hosts of few labels are answered in the row's own expression. Deeper ones
+    are numbered, every parent is tested as a row, and the answers are grouped
+    by number, so neither the plan nor the other rows grow with their depth.
+    """
+    few = labels_of(F.col("host")) <= UNROLLED
+    hit = reduce(or_, [cascade.holds(k) for k in host_keys(F.col("host"), UNROLLED)])
+    plain = rows.filter(few).withColumn("_hit", (F.col("host") != "") & hit)
+    deep = rows.filter(~few)
+    if deep.isEmpty():
+        return plain
+    deep = pin(deep.withColumn("_number", F.monotonically_increasing_id()))
+    tested = deep.select("_number", F.explode(parents(F.col("host"))).alias("key")).select("_number", cascade.holds(F.col("key")).alias("_hit"))
+    answers = tested.groupBy("_number").agg(F.bool_or("_hit").alias("_hit"))
+    return plain.unionByName(deep.join(answers, "_number").drop("_number"))
 
 
 def listed_hosts(keys: DataFrame, words=LISTED_WORDS) -> DataFrame:
@@ -183,8 +206,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(*kept, host.alias("host"), path.alias("path"))
     hosts = pin(parsed.select("host").distinct())
-    keys = host_keys(F.col("host"), _depth(hosts))
-    named = hosts.filter(F.col("host") != "").select("host", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    named = hosts.filter(F.col("host") != "").select("host", F.explode(parents(F.col("host"))).alias("key"))
     universe = named.select("key").distinct()
     wanted = listed_hosts(universe) if listed is None else listed.select("key").filter(F.col("key").isNotNull())
     cascade = build_cascade(wanted, universe)
@@ -192,8 +214,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -
         blocked = named.join(wanted, "key", "left_semi").select("host", F.lit(True).alias("_hit")).distinct()
         asked = parsed.join(blocked, "host", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
     else:
-        hit = reduce(or_, [cascade.holds(k) for k in keys])
-        asked = parsed.withColumn("_hit", (F.col("host") != "") & hit)
+        asked = _hits(parsed, cascade)
     ruled = asked.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     return ruled.select(
         *kept,
