@@ -81,6 +81,15 @@ def test_stages_take_effect(stages):
     assert set(ids["best_fit_packing"]) == set(ids["redact_personal_data"])
 
 
-@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_on_an_empty_table(spark, stages, name, stage):
     assert stage(spark, stages["documents"].limit(0), SF).count() == 0
+
+
+def test_distinct_texts_of_one_id_stay(spark):
+    """Rows of one id are one document only where their texts are equal."""
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (2, text(3)), (3, text(3) + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text(1)), (1, text(2)), (2, text(3))]
