@@ -37,14 +37,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id.
+
+    Rows that repeat an id with the same text are one document; with other texts
+    they are documents of their own.
+    """
     classes = pin(near_dedup.near_duplicates(docs))
     rest = _without(docs, classes.filter("NOT kept").select("doc_id"), ["doc_id"])
     repeated = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return rest
-    # Rows that repeat an id: one of each stays.
-    again = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Rows that repeat an id: one of each text stays.
+    text = {"ziplore_h1": F.xxhash64("text"), "ziplore_h2": F.xxhash64("text", F.lit(1))}
+    again = rest.join(repeated, "doc_id", "left_semi").withColumns(text).dropDuplicates(["doc_id", *text])
     return _without(rest, repeated, ["doc_id"]).unionByName(again.select(*docs.columns))
 
 
