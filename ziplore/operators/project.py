@@ -8,6 +8,7 @@ no rank is needed and the large groupings stay hash aggregates.
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,14 @@ from ziplore.functions.text import ELLIPSIS, strip_right
 from ziplore.operators.ranking import top_per_key
 from ziplore.sources.archives import project_label
 
+# The sentences of an overview, and where it is cut.
+KIND_SENTENCE = "The dominant file type is *{kind}* (count: {count})."
+STACK_SENTENCE = "Inferred tech stack: {stack}."
+DOCKERFILE_SENTENCE = "Presence of a Dockerfile suggests containerized deployment."
+PACKAGING_SENTENCE = "Packaging metadata indicates a Python package."
+NODE_SENTENCE = "Including 'package.json' reveals a Node.js component."
 SUMMARY_LIMIT = 300
+
 # Named components of a project, and characters of its notes.
 TOP_COMPONENTS = 50
 NOTES_CHARS = 2000
@@ -33,6 +41,12 @@ FLAG_COLUMNS = {
 }
 
 
+def _filled(sentence: str, **values: Column) -> Column:
+    """A sentence with its places filled in."""
+    parts = re.split(r"\{(\w+)\}", sentence)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def _position() -> Column:
     """Analysis order as one number: score descending, then ``seq``.
 
@@ -168,23 +182,11 @@ def project_summary(
     paragraph = F.concat_ws(
         " ",
         F.col("readme_line"),
-        F.concat(
-            F.lit("The dominant file type is *"),
-            F.col("dominant_kind"),
-            F.lit("* (count: "),
-            F.col("dominant_count").cast("string"),
-            F.lit(")."),
-        ),
-        F.concat(F.lit("Inferred tech stack: "), stack_label(), F.lit(".")),
-        F.when(
-            F.col("has_dockerfile"),
-            F.lit("Presence of a Dockerfile suggests containerized deployment."),
-        ),
-        F.when(F.col("has_packaging"), F.lit("Packaging metadata indicates a Python package.")),
-        F.when(
-            F.col("has_package_json"),
-            F.lit("Including 'package.json' reveals a Node.js component."),
-        ),
+        _filled(KIND_SENTENCE, kind=F.col("dominant_kind"), count=F.col("dominant_count").cast("string")),
+        _filled(STACK_SENTENCE, stack=stack_label()),
+        F.when(F.col("has_dockerfile"), F.lit(DOCKERFILE_SENTENCE)),
+        F.when(F.col("has_packaging"), F.lit(PACKAGING_SENTENCE)),
+        F.when(F.col("has_package_json"), F.lit(NODE_SENTENCE)),
     )
     return filled.select(
         "project_id",

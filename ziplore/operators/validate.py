@@ -9,7 +9,7 @@ from ziplore.functions.paths import escapes_root, normalise_path, upload_name_ac
 from ziplore.functions.text import MODEL_BLANKS, strip
 from ziplore.operators.joins import count_keys, join_measured
 from ziplore.schemas import FILE_KINDS
-from ziplore.sources.archives import MAX_ARCHIVE_MB, MAX_MEMBER_MB, MB, archive_faults
+from ziplore.sources.archives import MAX_ARCHIVE_MB, MAX_MEMBER_MB, MB, NOT_THERE, OUTSIDE_ROOT, archive_faults
 from ziplore.sources.ranges import range_faults
 
 SUMMARY_LIMIT = 500
@@ -36,7 +36,7 @@ def validate_archives(
         faults = archive_faults(contents.select(F.col("path").alias("project_id"), "content"), max_member_mb=None)
     verdicts = faults.select(F.col("project_id").alias("path"), "reject_reason")
     reason = (
-        F.when(F.col("length").isNull(), F.lit("File does not exist"))
+        F.when(F.col("length").isNull(), F.lit(NOT_THERE))
         .when(F.col("length") > limit, F.lit(f"Archive exceeds {max_mb:g} MB"))
         .otherwise(F.col("reject_reason"))
     )
@@ -82,7 +82,7 @@ def member_fault(max_mb: float = MAX_MEMBER_MB) -> Column:
     return F.when(
         F.col("size_bytes") > int(max_mb * MB),
         F.concat(F.lit("Member "), name, F.lit(f" exceeds {max_mb:g} MB")),
-    ).when(escapes_root(name), F.concat(F.lit("Illegal member path: "), name))
+    ).when(escapes_root(name), F.concat(F.lit(OUTSIDE_ROOT), name))
 
 
 def extraction_status(members: DataFrame, max_mb: float = MAX_MEMBER_MB) -> DataFrame:

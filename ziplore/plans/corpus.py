@@ -22,6 +22,7 @@ from ziplore.sources.archives import (
     MAX_ARCHIVE_MB,
     MAX_MEMBER_MB,
     MB,
+    NOT_A_ZIP,
     archive_faults,
     list_archives,
     open_archives,
@@ -213,7 +214,7 @@ def _verdicts(uploads: DataFrame, faults: DataFrame, max_archive_mb: float) -> D
     hidden = F.substring_index("path", "/", -1).rlike("^[_.]")
     reason = (
         F.when(F.col("length") > int(max_archive_mb * MB), F.lit(f"Archive exceeds {max_archive_mb:g} MB"))
-        .when(F.col("length") == 0, F.lit("Not a ZIP archive"))
+        .when(F.col("length") == 0, F.lit(NOT_A_ZIP))
         .when(hidden, F.lit("Name is hidden from file sources"))
         .otherwise(F.col("reject_reason"))
     )

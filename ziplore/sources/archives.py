@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 
 from ziplore.schemas import ARCHIVE_SCAN, OPENED
 
+# Why an archive is turned away.
+NOT_THERE = "File does not exist"
+NOT_A_ZIP = "Not a ZIP archive"
+BAD_CHECKSUM = "CRC error in member: "
+OUTSIDE_ROOT = "Illegal member path: "
+
 ZIP_GLOB = "*.[zZ][iI][pP]"
 MB = 1_048_576
 MAX_ARCHIVE_MB = 300
@@ -118,7 +124,7 @@ def declared_fault(info: zipfile.ZipInfo, max_member_bytes: int) -> str | None:
     if info.file_size > max_member_bytes:
         return f"Member {info.filename} exceeds {max_member_bytes / MB:g} MB"
     if _leaves_root(info.filename):
-        return f"Illegal member path: {info.filename}"
+        return OUTSIDE_ROOT + info.filename
     return None
 
 
@@ -135,14 +141,14 @@ def _fault(archive: zipfile.ZipFile, max_member_bytes: int | None) -> str | None
             if reason is not None:
                 return reason
     corrupt = archive.testzip()
-    return None if corrupt is None else f"CRC error in member: {corrupt}"
+    return None if corrupt is None else BAD_CHECKSUM + corrupt
 
 
 def _archive_rows_of(project: str, blob: bytes, max_member_bytes: int | None, dedupe: bool, members: bool):
     """Marker row of one archive, then its members when it is sound."""
     source = io.BytesIO(blob)
     if not zipfile.is_zipfile(source):
-        yield (project, None, None, None, None, None, "Not a ZIP archive")
+        yield (project, None, None, None, None, None, NOT_A_ZIP)
         return
     try:
         archive = zipfile.ZipFile(source)

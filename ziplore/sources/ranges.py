@@ -27,8 +27,10 @@ from ziplore.operators.joins import anti_join
 from ziplore.schemas import OPENED
 from ziplore.session import pin
 from ziplore.sources.archives import (
+    BAD_CHECKSUM,
     MAX_MEMBER_MB,
     MB,
+    NOT_A_ZIP,
     declared_fault,
     encodable,
     landing_path,
@@ -69,7 +71,7 @@ def planned(project: str, path: str, max_member_bytes: int | None, range_bytes:
     try:
         with open_seekable(path) as stream:
             if not zipfile.is_zipfile(stream):
-                yield project, path, None, None, None, None, "Not a ZIP archive"
+                yield project, path, None, None, None, None, NOT_A_ZIP
                 return
             infos = zipfile.ZipFile(stream).infolist()
     except Exception as error:  # gone, unreadable, broken directory
@@ -137,7 +139,7 @@ def range_rows(
                         while member.read(READ_BYTES):
                             pass
     except zipfile.BadZipFile:
-        yield project, seq, name, None, None, None, f"CRC error in member: {name}"
+        yield project, seq, name, None, None, None, f"{BAD_CHECKSUM}{name}"
     except Exception as error:  # encrypted or unsupported members, a file that is gone
         yield project, seq, name, None, None, None, f"Unreadable archive: {error}"
 
