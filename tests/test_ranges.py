@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from checks import corpus
 from tests.test_archives import CASES, REASONS, flipped, make_zip
 from ziplore import analyze_corpus
 from ziplore.operators import validate
@@ -150,3 +151,17 @@ def test_uploads_by_pattern(spark, tmp_path):
     assert names("/{u2,v}") == {"u2/a": 1, "v/a": 1}
     assert names("/u1/*.zip") == {"u1/a": 1, "u1/_h": 1} or names("/u1/*.zip") == {"a": 1, "_h": 1}
     assert names("/none") == {}
+
+
+@pytest.mark.parametrize("damage", [False, True])
+def test_archives_are_written_where_they_are_packed(spark, tmp_path, damage):
+    """No task holds a batch of archives: one Python step, and the same files as rows of archives give."""
+    rows = [(i, f"text {i} " * 40, "en", f"src{i % 3}", 9) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = corpus.saved(spark, str(tmp_path), f"file:{tmp_path}/out", damage)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "MapInPandas" not in plan.replace("FlatMapGroupsInPandas", "")
+    folder = corpus.archive_folder(spark, str(tmp_path), damage).removeprefix("file:")
+    found = {name: open(f"{folder}/{name}", "rb").read() for name in os.listdir(folder) if not name.startswith(".")}
+    want = {f"{r.project_id}.zip": bytes(r.content) for r in corpus.packed(spark, str(tmp_path), damage).collect()}
+    assert len(want) == 6 and found == want
