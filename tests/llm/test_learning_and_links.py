@@ -144,6 +144,64 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.exp(language_model.log_softmax(weights, rows)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_rows_follow_the_counted_words():
+    """Twenty thousand words are told apart, as are as many pairs."""
+    space = language_model.Space.of(200_000, 20_000)
+    stream = np.random.default_rng(1).integers(1, 1 << 60, 20_000)
+    rows = language_model.features(stream, np.array([20_000]), space)
+    assert rows.max() < space.rows
+    assert min(len(np.unique(rows[:, f])) for f in (1, 2, 3)) > 12_000
+    assert len(np.unique(language_model.inner_features(stream, np.array([20_000]), space)[:, 1])) > 12_000
+    assert language_model.Space.of(10, 3) == language_model.Space()
+    most = language_model.Space.of(1 << 50, 1 << 45)
+    assert 4 * (most.rows * language_model.CLASSES + most.inner_rows * language_model.GROUPS) < 62e6
+
+
+def _streams(texts):
+    """Streams of tokens of some texts."""
+    return list(language_model.token_streams(pa.array(texts)))
+
+
+def test_what_one_task_learns_of_a_word_is_kept(spark):
+    """A word of one task in eight has the weights that this task learned, not an eighth of them."""
+    rng = random.Random(4)
+    plain = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(70)]
+    rows = [(None, t) for t in plain] + [(None, "qqzz a " * 200)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    vocab = language_model.vocabulary(language_model.count_tokens(docs))
+    alone = docs.filter(F.col("text").contains("qqzz"))
+    (stream, ends), = _streams(["qqzz a"])
+    row = language_model.features(stream, ends, vocab.space)[1, 1]
+    start, learned, kept = (w[0][row] for w in (language_model._start(vocab), language_model.train(alone, vocab), language_model.train(docs, vocab)))
+    at = language_model.classes_of(stream, vocab)[1]
+    assert learned[at] - start[at] > 0.5
+    assert kept[at] - start[at] > 0.5 * (learned[at] - start[at])
+
+
+def test_context_tells_words_of_one_ending_apart(spark):
+    """Words with one ending, each after a word of its own: their groups are learned, and add up to one."""
+    rng = random.Random(5)
+    frequent = [f"f{i}" for i in range(20)]
+    texts = []
+    for _ in range(400):
+        some = []
+        for _ in range(20):
+            i = rng.randrange(30)
+            some += rng.choices(frequent, k=4) + [f"before{i}", f"w{i}ba"]
+        texts.append(" ".join(some))
+    docs = spark.createDataFrame([(None, t) for t in texts[:300]], "doc_id long, text string")
+    vocab = language_model.vocabulary(language_model.count_tokens(docs))
+    assert np.allclose(vocab.groups.sum(axis=1), vocab.mass[: language_model.ENDINGS])
+    learned, start = language_model.train(docs, vocab)[1], language_model._start(vocab)[1]
+    (stream, ends), = _streams(texts[300:])
+    rows = language_model.inner_features(stream, ends, vocab.space)
+    assert np.allclose(np.exp(language_model.log_softmax(learned, rows)).sum(axis=1), 1, atol=1e-4)
+    known = np.isin(stream, _streams(["w0ba " + " ".join(f"w{i}ba" for i in range(30))])[0][0][:-1])
+    groups = language_model.groups_of(stream)
+    gain = language_model._softmax_of(learned, rows, groups) - language_model._softmax_of(start, rows, groups)
+    assert known.sum() == 2000 and gain[known].mean() > 0.2
+
+
 # --- near duplicates ------------------------------------------------------
 
 

@@ -3,14 +3,17 @@
 A token's probability is that of its class in its context times that of the
 token within its class. Classes are the most frequent tokens, each on its own,
 and word endings. The class is a softmax over hashed features: the last word,
-the word before (a skip), both together, and their endings. Within a class
-tokens have their smoothed share of its counts.
+the word before (a skip), both together, and their endings. Within a word ending
+a second softmax, over the ending and the ending with the last word, chooses one
+of ``GROUPS`` groups, and tokens of a group have their smoothed share of its counts.
 
-Counts come from all training texts by one grouping. The softmax is trained by
+Counts come from all training texts by one grouping. The softmaxes are trained by
 distributed gradient updates: every task takes minibatch steps over its texts
-from the common weights, and the updates are averaged by number of tokens. The
-weights are a table of fixed size, so what tasks send and the driver holds does
-not grow with the corpus.
+from the common weights, and a row's updates are averaged by the number of tokens
+that met it, so a word that few tasks know keeps what these learned. The rows
+that words and pairs are hashed to follow the counted tokens (``Space``) up to
+``MOST_ROWS`` of a kind, 61 MB in all, as each task holds the weights; from there on
+words share rows.
 
 Scores need every token's count. Frequent tokens are looked up in a table of at
 most ``HEAD`` entries; all others go, as hashes, through an equi-join with the
@@ -31,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +51,39 @@ CLASSES = ENDINGS + SINGLES
 #: The end token and the one before a text, which no word has.
 END, BEFORE = 1 << 62, 0
 
-#: Rows of weights for the last word, the word before it, and both together;
-#: with their endings and the bias this makes the table.
-LAST, SKIP, PAIR = 4096, 1024, 2048
-WEIGHT_ROWS = 1 + LAST + SKIP + PAIR + 2 * ENDINGS
+#: Groups within an ending (a power of two, the bits of a token above the ending's).
+GROUPS = 16
+#: Least and most rows of weights for the last word, the word before it, both
+#: together, and the last word within an ending.
+LEAST_ROWS = {"last": 4096, "skip": 1024, "pair": 2048, "inner": 4096}
+MOST_ROWS = {"last": 1 << 17, "skip": 1 << 15, "pair": 1 << 17, "inner": 1 << 16}
+
+
+@dataclass(frozen=True)
+class Space:
+    """Rows of weights by kind; with the endings and the bias they make the tables."""
+
+    last: int = LEAST_ROWS["last"]
+    skip: int = LEAST_ROWS["skip"]
+    pair: int = LEAST_ROWS["pair"]
+    inner: int = LEAST_ROWS["inner"]
+
+    @classmethod
+    def of(cls, total: int, distinct: int) -> Space:
+        """A row for each distinct word; pairs, which are not counted, for every second token."""
+        asked = {"last": distinct, "skip": distinct, "pair": total // 2, "inner": distinct}
+        return cls(**{k: min(max(1 << max(n - 1, 0).bit_length(), LEAST_ROWS[k]), MOST_ROWS[k]) for k, n in asked.items()})
+
+    @property
+    def rows(self) -> int:
+        return 1 + self.last + self.skip + self.pair + 2 * ENDINGS
+
+    @property
+    def inner_rows(self) -> int:
+        return ENDINGS + self.inner
+
+
+WEIGHT_ROWS = Space().rows
 
 #: Tokens per gradient step, its length, and passes over the training texts.
 BATCH = 4096
@@ -87,6 +120,8 @@ class Vocabulary:
     singles: np.ndarray  # tokens that are classes of their own, in order
     single_class: np.ndarray
     mass: np.ndarray  # smoothed count per class
+    groups: np.ndarray  # the same per ending and group
+    space: Space
 
 
 #: Tokens a task gathers before it counts them.
@@ -133,20 +168,24 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     singles = np.unique(np.r_[top[top != END], END])[:SINGLES]
     single_class = ENDINGS + np.arange(len(singles))
     mass = np.full(CLASSES, 0.5)
-    by_ending = (
+    groups = np.full(ENDINGS * GROUPS, 0.5)
+    by_group = (
         counts.filter(~F.col("token").isin([int(t) for t in singles]))
-        .groupBy(F.col("token").bitwiseAND(F.lit(ENDINGS - 1)).alias("e"))
+        .groupBy(F.col("token").bitwiseAND(F.lit(ENDINGS * GROUPS - 1)).alias("g"))
         .agg(F.sum("count").alias("c"), F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    for row in by_ending:
-        mass[row["e"]] += row["c"] + 0.5 * row["n"]
+    for row in by_group:
+        groups[row["g"]] += row["c"] + 0.5 * row["n"]
+    groups = groups.reshape(GROUPS, ENDINGS).T
+    mass[:ENDINGS] = groups.sum(axis=1)
     order = np.argsort(frequent["token"].to_numpy(np.int64), kind="stable")
     known, known_counts = frequent["token"].to_numpy(np.int64)[order], frequent["count"].to_numpy(np.int64)[order]
     for token, k in zip(singles, single_class):
         at = np.searchsorted(known, token)
         mass[k] = 0.5 + (known_counts[at] if at < len(known) and known[at] == token else 0)
-    return Vocabulary(int(total), int(distinct), known, known_counts, singles, single_class, mass)
+    space = Space.of(int(total), int(distinct))
+    return Vocabulary(int(total), int(distinct), known, known_counts, singles, single_class, mass, groups, space)
 
 
 # --- features and steps ---------------------------------------------------
@@ -164,138 +203,221 @@ def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, missing) ->
     return np.where(keys[at] == asked, values[at], missing)
 
 
-def features(stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Weight rows of every position: bias, last word, word before it, both, and their endings."""
+def context(stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before every position and the one before that."""
     starts = np.r_[0, ends[:-1]]
     last = np.r_[np.int64(BEFORE), stream[:-1]]
     last[starts] = BEFORE
     skip = np.r_[np.int64(BEFORE), last[:-1]]
     skip[starts] = BEFORE
-    rows = np.zeros((len(stream), 6), np.int32)
+    return last, skip
+
+
+def features(stream: np.ndarray, ends: np.ndarray, space: Space = Space()) -> np.ndarray:
+    """Weight rows of every position: bias, last word, word before it, both, and their endings."""
+    last, skip = context(stream, ends)
+    rows = np.zeros((6, len(stream)), np.int32).T
     at = 1
-    rows[:, 1] = at + _mixed(last, 1) % np.uint64(LAST)
-    at += LAST
-    rows[:, 2] = at + _mixed(skip, 2) % np.uint64(SKIP)
-    at += SKIP
-    rows[:, 3] = at + (_mixed(last, 3) ^ (_mixed(skip, 4) >> np.uint64(3))) % np.uint64(PAIR)
-    at += PAIR
+    rows[:, 1] = at + _mixed(last, 1) % np.uint64(space.last)
+    at += space.last
+    rows[:, 2] = at + _mixed(skip, 2) % np.uint64(space.skip)
+    at += space.skip
+    rows[:, 3] = at + (_mixed(last, 3) ^ (_mixed(skip, 4) >> np.uint64(3))) % np.uint64(space.pair)
+    at += space.pair
     rows[:, 4] = at + (last & (ENDINGS - 1))
     rows[:, 5] = at + ENDINGS + (skip & (ENDINGS - 1))
     return rows
 
 
+def inner_features(stream: np.ndarray, ends: np.ndarray, space: Space = Space()) -> np.ndarray:
+    """Weight rows that choose a group within a position's ending: the ending, and the ending with the last word."""
+    ending = stream & (ENDINGS - 1)
+    rows = np.empty((2, len(stream)), np.int32).T
+    rows[:, 0] = ending
+    rows[:, 1] = ENDINGS + _mixed(context(stream, ends)[0] + ending, 5) % np.uint64(space.inner)
+    return rows
+
+
+def groups_of(stream: np.ndarray) -> np.ndarray:
+    return (stream // ENDINGS) & (GROUPS - 1)
+
+
 def classes_of(stream: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return _lookup(vocab.singles, vocab.single_class, stream, -1).astype(np.int64, copy=False).clip(-1) + np.where(
         np.isin(stream, vocab.singles), 0, (stream & (ENDINGS - 1)) + 1
     )
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
+def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of weight rows, shifted so that the greatest of a position is 0."""
+    logits = weights.take(rows[:, 0], axis=0)
     for f in range(1, rows.shape[1]):
-        logits = logits + weights[rows[:, f]]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits += weights.take(rows[:, f], axis=0)
+    greatest = logits
+    while greatest.shape[1] % 2 == 0:  # by halves, as numpy is slow along short rows
+        half = greatest.shape[1] // 2
+        greatest = np.maximum(greatest[:, :half], greatest[:, half:])
+    logits -= greatest.max(axis=1, keepdims=True)
     return logits
 
 
-def step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-    """One gradient step over a batch, each row at its own rate (by its past gradients)."""
-    error = np.exp(log_softmax(weights, rows))
-    error[np.arange(len(classes)), classes] -= 1
-    for f in range(rows.shape[1]):
-        order = np.argsort(rows[:, f], kind="stable")
-        sorted_rows = rows[order, f]
-        starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        gradient = np.add.reduceat(error[order], starts, axis=0)
-        touched = sorted_rows[starts]
-        seen[touched] += np.square(gradient).mean(axis=1)
-        weights[touched] -= RATE * gradient / np.sqrt(seen[touched])[:, None]
-
-
-def _start(vocab: Vocabulary) -> np.ndarray:
-    weights = np.zeros((WEIGHT_ROWS, CLASSES), np.float32)
-    weights[0] = np.log(vocab.mass / vocab.mass.sum())
-    return weights
+def _row_sums(numbers: np.ndarray) -> np.ndarray:
+    return (numbers @ np.ones(numbers.shape[1], numbers.dtype))[:, None]
+
+
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    logits = _logits(weights, rows)
+    logits -= np.log(_row_sums(np.exp(logits)))
+    return logits
 
 
-BLOCK = 64
+def _summed(column: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows named in a column, how often, and the sums of their errors."""
+    low, high = column.min(), column.max()
+    if low == high:
+        return column[:1], np.array([len(column)]), error.sum(axis=0, keepdims=True)
+    # Numbers of 16 bits are sorted by radix.
+    order = np.argsort((column - low).astype(np.uint16), kind="stable") if high - low < 1 << 16 else np.argsort(column)
+    column = column[order]
+    starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+    return column[starts], np.diff(np.r_[starts, len(column)]), np.add.reduceat(error.take(order, axis=0), starts, axis=0)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the class softmax from gradient steps in all tasks, averaged by tokens."""
+def step(weights: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
+    """One gradient step over a batch, each row at its own rate (by its past gradients); ``met`` counts a row's tokens."""
+    error = _logits(weights, rows)
+    np.exp(error, out=error)
+    error /= _row_sums(error)
+    error[np.arange(len(classes)), classes] -= 1
+    for f in range(rows.shape[1]):
+        touched, sizes, gradient = _summed(rows[:, f], error)
+        met[touched] += sizes
+        seen[touched] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+        gradient *= (RATE / np.sqrt(seen[touched]))[:, None]
+        weights[touched] -= gradient
+
+
+def _start(vocab: Vocabulary) -> list[np.ndarray]:
+    """Weights of the classes and of the groups before any step."""
+    outer = np.zeros((vocab.space.rows, CLASSES), np.float32)
+    outer[0] = np.log(vocab.mass / vocab.mass.sum())
+    inner = np.zeros((vocab.space.inner_rows, GROUPS), np.float32)
+    inner[:ENDINGS] = np.log(vocab.groups / vocab.groups.sum(axis=1, keepdims=True))
+    return [outer, inner]
+
+
+#: Rows of weights that are averaged as one (their places are bytes), and blocks a task sends at a time.
+BLOCK = 256
+SENT_BLOCKS = 256
+
+_CHANGES = {"level": pa.int32(), "block": pa.int32(), "places": pa.binary(), "tokens": pa.binary(), "scales": pa.binary(), "change": pa.binary()}
+_CHANGES_SCHEMA = "level int, block int, places binary, tokens binary, scales binary, change binary"
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, t), v in zip(_CHANGES.items(), zip(*rows))})
+
+
+def changes(level: int, own: np.ndarray, common: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that a task met and what it changed there, a byte a number by the greatest of the row."""
+    for begin in range(0, len(met), BLOCK * SENT_BLOCKS):
+        rows = begin + np.flatnonzero(met[begin : begin + BLOCK * SENT_BLOCKS])
+        change = own[rows] - common[rows]
+        scales = np.maximum(np.abs(change).max(axis=1, initial=0) / 127, np.float32(1e-30))
+        change = np.rint(change / scales[:, None]).astype(np.int8)
+        out = []
+        for block in np.unique(rows // BLOCK):
+            a, z = np.searchsorted(rows, (block * BLOCK, (block + 1) * BLOCK))
+            places = (rows[a:z] % BLOCK).astype(np.uint8)
+            out.append((level, int(block), *(x.tobytes() for x in (places, met[rows[a:z]], scales[a:z], change[a:z]))))
+        if out:
+            yield _table(out)
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of whole blocks, each row's averaged by the tokens that met it."""
+    sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for row in zip(*batch.columns):
+            kinds = (np.uint8, np.float32, np.float32, np.int8)
+            places, n, scales, change = (np.frombuffer(x.as_buffer(), k) for x, k in zip(row[2:], kinds))
+            change = change.reshape(len(n), -1)
+            key = row[0].as_py(), row[1].as_py()
+            if key not in sums:
+                sums[key] = np.zeros(BLOCK), np.zeros((BLOCK, change.shape[1]))
+            sums[key][0][places] += n
+            sums[key][1][places] += change * (scales.astype(np.float64) * n)[:, None]
+    if sums:
+        yield _table([(*k, b"", b"", b"", (part / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()) for k, (n, part) in sums.items()])
+
+
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights of both softmaxes from gradient steps in all tasks, each row averaged by the tokens that met it."""
     spark = docs.sparkSession
     weights = _start(vocab)
     training = docs.filter(~held_out(F.col("doc_id"))).select("text")
-    schema = "block int, tokens double, change binary"
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, vocab))
+    for done in range(rounds):
+        # The first weights follow from the vocabulary, so they need not be sent.
+        shared = spark.sparkContext.broadcast((weights if done else None, vocab))
 
         def steps(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            common, known = shared.value
-            own, seen, n = common.copy(), np.ones(WEIGHT_ROWS, np.float32), 0
+            sent, known = shared.value
+            common = sent or _start(known)
+            own = [w.copy() for w in common]
+            seen = [np.ones(len(w), np.float32) for w in common]
+            met = [np.zeros(len(w), np.float32) for w in common]
             for stream, ends in (s for batch in batches for s in token_streams(batch.column(0))):
-                rows, classes = features(stream, ends), classes_of(stream, known)
-                n += len(stream)
-                for at in range(0, len(stream), BATCH):
-                    step(own, seen, rows[at : at + BATCH], classes[at : at + BATCH])
-            if n:
-                change = (own - common).astype(np.float16)
-                blocks = range(0, WEIGHT_ROWS, BLOCK)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array(blocks, pa.int32()),
-                        "tokens": pa.array([float(n)] * len(blocks)),
-                        "change": pa.array([change[b : b + BLOCK].tobytes() for b in blocks], pa.binary()),
-                    }
-                )
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            sizes: dict[int, float] = {}
-            for batch in batches:
-                for block, n, change in zip(*(batch.column(i) for i in range(3))):
-                    b, n = block.as_py(), n.as_py()
-                    part = np.frombuffer(change.as_buffer(), np.float16).astype(np.float64) * n
-                    sums[b] = sums[b] + part if b in sums else part
-                    sizes[b] = sizes.get(b, 0.0) + n
-            if sums:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array(list(sums), pa.int32()),
-                        "tokens": pa.array([sizes[b] for b in sums]),
-                        "change": pa.array([(sums[b] / sizes[b]).astype(np.float32).tobytes() for b in sums], pa.binary()),
-                    }
+                classes = classes_of(stream, known)
+                grouped = classes < ENDINGS
+                parts = (
+                    (features(stream, ends, known.space), classes),
+                    (inner_features(stream, ends, known.space)[grouped], groups_of(stream[grouped])),
                 )
-
-        # WEIGHT_ROWS * CLASSES numbers in all, however large the corpus.
-        for row in training.mapInArrow(steps, schema).repartition(12, "block").mapInArrow(average, schema).collect():
-            change = np.frombuffer(row["change"], np.float32).reshape(-1, CLASSES)
-            weights[row["block"] : row["block"] + len(change)] += change
+                for level, (rows, right) in enumerate(parts):
+                    for at in range(0, len(rows), BATCH):
+                        step(own[level], seen[level], met[level], rows[at : at + BATCH], right[at : at + BATCH])
+            for level in range(len(own)):
+                yield from changes(level, own[level], common[level], met[level])
+
+        sent = training.mapInArrow(steps, _CHANGES_SCHEMA).repartition("level", "block")
+        # As many numbers as the tables have, which ``MOST_ROWS`` bounds however large the corpus.
+        for row in sent.mapInArrow(averaged, _CHANGES_SCHEMA).collect():
+            old = weights[row["level"]][row["block"] * BLOCK :][:BLOCK]
+            old += np.frombuffer(row["change"], np.float32).reshape(BLOCK, -1)[: len(old)]
+        shared.destroy()
     return weights
 
 
 # --- scoring --------------------------------------------------------------
 
 
-def _local_scores(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFrame:
-    """What a text's own task can tell, and the tokens whose counts must be looked up."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, vocab))
+def _softmax_of(weights: np.ndarray, rows: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Log10 probability of what stands at each position."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), BATCH):
+        logs = log_softmax(weights, rows[at : at + BATCH])
+        out[at : at + BATCH] = logs[np.arange(len(logs)), right[at : at + BATCH]]
+    return out / np.log(10)
+
+
+def _local_scores(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """What a text's own task can tell from ``shared`` weights and vocabulary, and the tokens whose counts must be looked up."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, known = shared.value
-        log_mass = np.log10(known.mass)
+        (outer, inner), known = shared.value
+        log_mass, log_groups = np.log10(known.mass), np.log10(known.groups)
         for batch in batches:
             begin = 0
             for stream, ends in token_streams(batch.column(2)):
                 part = batch.slice(begin, len(ends))
                 begin += len(ends)
-                rows, classes = features(stream, ends), classes_of(stream, known)
-                model = np.empty(len(stream))
-                for at in range(0, len(stream), BATCH):
-                    logs = log_softmax(weight, rows[at : at + BATCH])
-                    model[at : at + BATCH] = logs[np.arange(len(logs)), classes[at : at + BATCH]]
-                model = model / np.log(10) - log_mass[classes]
+                classes = classes_of(stream, known)
+                model = _softmax_of(outer, features(stream, ends, known.space), classes)
+                grouped = classes < ENDINGS
+                groups = groups_of(stream[grouped])
+                within = _softmax_of(inner, inner_features(stream, ends, known.space)[grouped], groups)
+                model[~grouped] -= log_mass[classes[~grouped]]
+                model[grouped] += within - log_groups[classes[grouped], groups]
                 counts = _lookup(known.head, known.head_counts, stream, 0)
                 found = counts > 0
                 logs = np.where(found, np.log10(counts + 0.5), 0.0)
@@ -327,7 +449,9 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = pin(count_tokens(docs))
     vocab = vocabulary(counts)
-    scored = pin(_local_scores(docs, vocab, train(docs, vocab, rounds)))
+    shared = docs.sparkSession.sparkContext.broadcast((train(docs, vocab, rounds), vocab))
+    scored = pin(_local_scores(docs, shared))
+    shared.destroy()
     rare = scored.select("_row", F.explode("rare").alias("token"))
     looked = (
         rare.join(counts, "token", "left")
