@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ziplore.llm.components import components
-from ziplore.llm.words import bags, mixed
+from ziplore.llm.words import SMALL_CHUNK, bags, hashed_texts, mixed
 from ziplore.operators.joins import count_keys, join_measured
 from ziplore.session import pin
 
@@ -61,6 +61,8 @@ TASK_ROWS = 1000
 #: Ids of texts that are asked for are broadcast up to so many (some 32 MB), so
 #: the other texts don't move; with more of them the texts are shuffled.
 BROADCAST_IDS = 2_000_000
+#: What separates words, as in :mod:`ziplore.llm.words`.
+GAPS = "\t\n\x0b\x0c\r "
 
 _U = np.uint64
 
@@ -84,6 +86,16 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_shingled(words), return_counts=True)
 
 
+def shingled_texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """The shingles of each text, repeated ones too; none of a text without words."""
+    for words, _, ends in hashed_texts(column, chunk=SMALL_CHUNK):
+        # Shingles of all words in a row; those that begin in one text and end in the next are left out.
+        every, begin = _shingled(words), 0
+        for end in ends:
+            yield every[begin : end - SHINGLE + 1] if end - begin >= SHINGLE else _shingled(words[begin:end])
+            begin = end
+
+
 def _shingled(words: np.ndarray) -> np.ndarray:
     n = len(words)
     if n == 0:
@@ -102,40 +114,57 @@ def weights(found: np.ndarray, often: np.ndarray, common: np.ndarray) -> np.ndar
     return (tf * common[(found % _U(COUNTERS)).astype(np.int64)]).astype(np.float32)
 
 
+#: Shingles drawn from at a time: with all samples of them the buffers stay in a core's cache.
+DRAWN = 256
+
+
 class Sampler:
     """Consistent weighted samples of one bag after the other."""
 
     def __init__(self):
         self.log_c, self.r, self.beta, self.odd = _tables()
         self.unit = (self.r * (1 - self.beta)).astype(np.float32)
+        size = self.odd.shape[1] * DRAWN
+        self.places, self.values, self.units = np.empty(size, np.uint64), np.empty(size, np.float32), np.empty(size, np.float32)
+
+    def _spots(self, h: np.ndarray, which: int) -> np.ndarray:
+        """For each sample and shingle its place in the tables, in a buffer that the next call writes to."""
+        odd = self.odd[which][:, None]
+        out = self.places[: len(odd) * len(h)].reshape(len(odd), len(h))
+        np.multiply(odd, h, out=out)
+        # Indices below 65536, so signed and unsigned are the same bits.
+        return np.right_shift(out, _U(48), out=out).view(np.int64)
 
     def draw(self, found: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each sample a number that stands for the shingle and level drawn."""
         k = self.odd.shape[1]
         best, drawn = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
-        for at in range(0, len(found), 2048):
-            h, w = found[at : at + 2048, None], weight[at : at + 2048]
-            # Indices below 65536, so signed and unsigned are the same bits.
-            c = self.log_c.take(((h * self.odd[0]) >> _U(48)).view(np.int64))
-            j = ((h * self.odd[1]) >> _U(48)).view(np.int64)
-            value = c - self.unit.take(j)
-            level = None
+        every = np.arange(k)
+        for at in range(0, len(found), DRAWN):
+            h, w = found[at : at + DRAWN], weight[at : at + DRAWN]
+            shape = k, len(h)
+            value, unit = (b[: k * len(h)].reshape(shape) for b in (self.values, self.units))
+            # All places are within the tables, so nothing wraps; a check for it would cost as much as the rest.
+            np.take(self.log_c, self._spots(h, 0), out=value, mode="wrap")
             other = np.flatnonzero(w != 1)
+            c = value[:, other]
+            j = self._spots(h, 1)
+            np.subtract(value, np.take(self.unit, j, out=unit, mode="wrap"), out=value)
+            level = None
             if len(other):
                 # Weight 1 is level 0. Others: t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1).
-                r, beta = self.r[j[other]], self.beta[j[other]]
-                t = np.floor(np.log(w[other])[:, None] / r + beta)
-                value[other] = c[other] - r * (t - beta + 1)
-                level = np.zeros(value.shape, np.int32)
-                level[other] = t
-            least = value.argmin(axis=0)
-            every = np.arange(k)
-            held = value[least, every]
+                r, beta = self.r[j[:, other]], self.beta[j[:, other]]
+                t = np.floor(np.log(w[other]) / r + beta)
+                value[:, other] = c - r * (t - beta + 1)
+                level = np.zeros(shape, np.int32)
+                level[:, other] = t
+            least = value.argmin(axis=1)
+            held = value[every, least]
             better = held < best
             best = np.where(better, held, best)
-            name = found[at : at + 2048][least]
+            name = h[least]
             if level is not None:
-                name = name ^ mixed(level[least, every].astype(np.int64).astype(np.uint64))
+                name = name ^ mixed(level[every, least].astype(np.int64).astype(np.uint64))
             drawn = np.where(better, name, drawn)
         return drawn
 
@@ -151,11 +180,11 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
-            for words in bags(batch.column(0)):
-                if len(words):
+            for own in shingled_texts(batch.column(0)):
+                if len(own):
                     rows += 1
-                    spots = np.unique((_shingled(words) % _U(COUNTERS)).astype(np.int32))
-                    held[spots] += 1
+                    # A counter that several shingles of a text name gets one.
+                    held[(own % _U(COUNTERS)).view(np.int64)] += 1
         if rows:
             blocks = held.astype("<i8").reshape(-1, BLOCK)
             yield pa.RecordBatch.from_pydict(
@@ -197,22 +226,22 @@ def sketches(docs: DataFrame, common) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            keys, bytes_ = [], []
-            for words in bags(batch.column(batch.schema.get_field_index("text"))):
-                if not len(words):
-                    keys.append([])
-                    bytes_.append(b"")
-                    continue
-                found, often = shingles(words)
-                drawn = mixed(sampler.draw(found, weights(found, often, common.value)))
-                band = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for i in range(ROWS):
-                    band = mixed(band * _U(31) ^ drawn[i::ROWS])
-                keys.append(band.view(np.int64))
-                bytes_.append((drawn & _U(255)).astype(np.uint8).tobytes())
+            drawn, full = np.zeros((batch.num_rows, BANDS * ROWS), np.uint64), np.zeros(batch.num_rows, bool)
+            for row, own in enumerate(shingled_texts(batch.column(batch.schema.get_field_index("text")))):
+                if len(own):
+                    found, often = np.unique(own, return_counts=True)
+                    drawn[row], full[row] = sampler.draw(found, weights(found, often, common.value)), True
+            drawn = mixed(drawn)
+            band = np.arange(1, BANDS + 1, dtype=np.uint64)
+            for i in range(ROWS):
+                band = mixed(band * _U(31) ^ drawn[:, i::ROWS])
+            ends = pa.array(np.r_[0, np.cumsum(full * BANDS)], pa.int32())
+            keys = pa.ListArray.from_arrays(ends, pa.array(band[full].view(np.int64).ravel(), pa.int64()))
+            codes = (drawn & _U(255)).astype(np.uint8)
+            bytes_ = [c.tobytes() if f else b"" for c, f in zip(codes, full)]
             names = ["doc_id", "h1", "h2"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
+                [*(batch.column(batch.schema.get_field_index(n)) for n in names), keys, pa.array(bytes_, pa.binary())],
                 names=[*names, "buckets", "sketch"],
             )
 
@@ -389,9 +418,12 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
     """``id`` and ``component`` of all nodes that have links to other texts."""
     exploded = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
     shared = pin(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    rows = pin(join_measured(exploded, shared, ["bucket"], "doc_id"))
+    # Buckets of one member meet nothing, so rows are counted among the others.
+    rows = pin(join_measured(exploded, shared, ["bucket"], "doc_id", counts=shared.withColumnRenamed("n", "_n")))
     if rows.isEmpty():
         return None
+    # Only texts that share a bucket are asked for from here on.
+    docs = pin(_texts_of(docs, pin(rows.select("doc_id").distinct())))
     central = rows.groupBy("doc_id").agg(F.sum("n").alias("central"))
     rows = pin(rows.join(central, "doc_id"))
     labels = None
@@ -436,6 +468,25 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         labels = _joined(labels, _confirm(_across(large, nodes, docs, common), docs, common))
 
 
+def _nodes(docs: DataFrame, owned: DataFrame, common) -> DataFrame:
+    """Sketches of the texts that stand for themselves, one of each text.
+
+    Ids of these or of the others are sent to the texts, whichever are fewer; if
+    both are too many for that, all texts are sketched and the sketches are joined.
+    """
+    firsts = pin(owned.filter("doc_id = node").select("doc_id").distinct())
+    others = pin(owned.join(firsts, "doc_id", "left_anti").select("doc_id").distinct())
+    docs = docs.filter("doc_id IS NOT NULL")
+    n, m = firsts.count(), others.count()
+    if min(n, m) > BROADCAST_IDS:
+        drawn = pin(sketches(docs, common)).join(firsts, "doc_id", "left_semi")
+    elif n < m:
+        drawn = sketches(docs.join(F.broadcast(firsts), "doc_id", "left_semi"), common)
+    else:
+        drawn = sketches(docs.join(F.broadcast(others), "doc_id", "left_anti"), common)
+    return pin(drawn.filter(F.size("buckets") > 0).dropDuplicates(["doc_id"]))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``cluster_id`` (smallest id of its class) and ``kept``."""
     spark = docs.sparkSession
@@ -443,26 +494,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")
     )
-    common = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    drawn = pin(sketches(docs, common))
-    with_words = drawn.filter(F.col("doc_id").isNotNull() & (F.size("buckets") > 0))
-    copies = with_words.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    joined = join_measured(with_words.select("doc_id", "h1", "h2"), copies.drop("_n"), ["h1", "h2"], "doc_id", "left")
+    known = pin(docs.select("doc_id", "h1", "h2", (F.ltrim("text", F.lit(GAPS)) != "").alias("words")))
+    with_words = known.filter("doc_id IS NOT NULL AND words")
+    copies = pin(with_words.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    joined = join_measured(with_words.select("doc_id", "h1", "h2"), copies.drop("_n"), ["h1", "h2"], "doc_id", "left", counts=copies)
     owned = pin(joined.select("doc_id", F.coalesce("_first", "doc_id").alias("node")))
-    firsts = owned.filter("doc_id = node").select("doc_id").distinct()
-    nodes = pin(with_words.dropDuplicates(["doc_id"]).join(firsts, "doc_id", "left_semi"))
+    common = spark.sparkContext.broadcast(inverse_frequencies(docs))
+    nodes = _nodes(docs, owned, common)
     labels = _components(nodes, docs, common)
     if labels is None:
         classes = owned.select("doc_id", F.col("node").alias("cluster_id"))
     else:
-        known = labels.withColumnRenamed("id", "node")
-        classes = join_measured(owned, known, ["node"], "doc_id", "left").select(
+        found = labels.withColumnRenamed("id", "node")
+        classes = join_measured(owned, found, ["node"], "doc_id", "left").select(
             "doc_id", F.coalesce("component", "node").alias("cluster_id")
         )
     # Rows that repeat an id share the class of the smallest.
     least = classes.groupBy("doc_id").agg(F.min("cluster_id").alias("cluster_id"))
     return (
-        drawn.select("doc_id")
+        known.select("doc_id")
         .join(least, "doc_id", "left")
         .select("doc_id", F.coalesce("cluster_id", "doc_id").alias("cluster_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("cluster_id"), F.lit(True)))

@@ -20,8 +20,9 @@ _LOWER[65:91] += 32
 _POWERS = np.full(65536, 0x9E3779B97F4A7C15, np.uint64)
 _POWERS[0] = 1
 _POWERS = np.cumprod(_POWERS)
-#: Bytes of text whose words are hashed at a time.
+#: Bytes of text whose words are hashed at a time, and so many that the arrays stay in a core's cache.
 CHUNK = 1 << 20
+SMALL_CHUNK = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,10 +65,10 @@ def _lasts(offsets: np.ndarray, n: int) -> np.ndarray:
     return mark
 
 
-def hashed_texts(column: pa.Array, lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def hashed_texts(column: pa.Array, lower: bool = False, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``hashed`` for a string column, some texts at a time; a null text has no words.
 
-    ``lower`` takes A-Z as a-z.
+    ``lower`` takes A-Z as a-z; ``chunk`` is the bytes of text at a time.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -76,7 +77,7 @@ def hashed_texts(column: pa.Array, lower: bool = False) -> Iterator[tuple[np.nda
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk, "right")) - 1)
         part = data[offsets[row] : offsets[last]]
         yield hashed(_LOWER[part] if lower else part, offsets[row : last + 1] - offsets[row])
         row = last
@@ -84,7 +85,7 @@ def hashed_texts(column: pa.Array, lower: bool = False) -> Iterator[tuple[np.nda
 
 def bags(column: pa.Array) -> Iterator[np.ndarray]:
     """The word hashes of each text."""
-    for words, _, ends in hashed_texts(column):
+    for words, _, ends in hashed_texts(column, chunk=SMALL_CHUNK):
         begin = 0
         for end in ends:
             yield words[begin:end]
