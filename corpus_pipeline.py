@@ -24,6 +24,21 @@ def _without(docs: DataFrame, out: DataFrame, keys: list[str]) -> DataFrame:
     return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, keys, "left_anti")
 
 
+def _kept(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Documents without an id or with one that is kept; rows of an id are all kept or none is.
+
+    Ids to leave out are broadcast, or those to keep where these are fewer: of a
+    corpus that is copies for the most part, the former are too many.
+    """
+    out = pin(classes.filter("NOT kept").select("doc_id").distinct())
+    if out.count() > BROADCAST_IDS:
+        kept = pin(classes.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+        if kept.count() <= BROADCAST_IDS:
+            marked = docs.join(F.broadcast(kept.withColumn("ziplore_kept", F.lit(True))), "doc_id", "left")
+            return marked.filter("ziplore_kept OR doc_id IS NULL").select(*docs.columns)
+    return _without(docs, out, ["doc_id"])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules and the robust outlier test keep.
 
@@ -43,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     they are documents of their own.
     """
     classes = pin(near_dedup.near_duplicates(docs))
-    rest = _without(docs, classes.filter("NOT kept").select("doc_id"), ["doc_id"])
+    rest = _kept(docs, classes)
     repeated = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return rest
