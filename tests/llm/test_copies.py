@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ziplore.llm import near_dedup
@@ -71,3 +73,26 @@ def test_shingles_of_a_batch_stay_within_their_texts(spark):
     got = [s.copy() for s in near_dedup.shingled_texts(column)]
     assert [g.tolist() for g in got] == [w.tolist() for w in want]
     assert [len(g) for g in got] == [2, 0, 0, 1, 1, 1, 39_996, 3]
+
+
+def test_unlike_texts_of_a_large_bucket_meet_in_few_rounds(spark, monkeypatch):
+    """Forty texts in one bucket, two of them near copies: a round for each text would be 36 of them."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 4)
+    texts = [text(k) for k in range(40)]
+    texts[31] = texts[17] + " tail"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(
+        "doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")
+    )
+    common = spark.sparkContext.broadcast(np.ones(near_dedup.COUNTERS, np.float32))
+    nodes = near_dedup.sketches(docs, common).withColumn("buckets", F.array(F.lit(7).cast("long")))
+    rounds, likely = [], near_dedup._likely
+
+    def counted(*args):
+        rounds.append(1)
+        if len(rounds) > 8:
+            pytest.fail("a round for each text")
+        return likely(*args)
+
+    monkeypatch.setattr(near_dedup, "_likely", counted)
+    got = {r.id: r.component for r in near_dedup._components(nodes, docs, common).collect()}
+    assert got == {17: 17, 31: 17} and len(rounds) <= near_dedup.ROUNDS

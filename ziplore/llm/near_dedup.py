@@ -15,7 +15,8 @@ different components are looked at again: small ones in one task, comparing
 samples and then shingles across components. In larger ones the members outside
 the central one's component meet all members of that component block by block,
 so a copy of a copy is found there; then they go on among themselves with the
-next central member, until nothing is left to compare.
+next central member, ``ROUNDS`` times at most, and all that is left after these
+meets block by block.
 
 Defined results: a null text counts as empty; a text without words equals no
 other; one with fewer than five words is a single shingle; a null id is kept
@@ -56,6 +57,9 @@ LIKELY_HUB = 0.64
 #: Bucket rows compared within one task, and what short form may be off.
 SMALL_BUCKET = 2000
 UNSURE = 0.005
+#: Times that large buckets go on by their most central member; what is left
+#: then meets itself. A bucket of unlike texts loses one of them at a time.
+ROUNDS = 3
 #: Rows of small groups that a task compares, about.
 TASK_ROWS = 1000
 #: Ids of texts that are asked for are broadcast up to so many (some 32 MB), so
@@ -322,10 +326,10 @@ def _pairs_in_bucket(group: pd.DataFrame) -> pd.DataFrame:
 
     Texts are compared by samples first, then on their shingles. What is surely
     a link joins its components at once, so a pair is given only if it may
-    still join two. With a column ``left``, rows that stay in a bucket meet those
-    that leave it; pairs of one side are not looked at.
+    still join two. With a column ``left`` that is not null, rows that stay in a
+    bucket meet those that leave it; pairs of one side are not looked at.
     """
-    if "left" in group:
+    if "left" in group and group["left"].notna().all():
         group = group.sort_values("left", ascending=False)
         side = group["left"].to_numpy()
     else:
@@ -406,7 +410,26 @@ def _across(large: DataFrame, nodes: DataFrame, docs: DataFrame, common) -> Data
         F.when(F.col("left"), F.col("_own")).otherwise(F.col("_other")).alias("_stays"),
         F.when(F.col("left"), F.col("_other")).otherwise(F.col("_own")).alias("_leaves"),
     )
-    ids = pin(cut.select("doc_id").distinct())
+    return _met(met, pin(cut.select("doc_id").distinct()), nodes, docs, common)
+
+
+def _among(rows: DataFrame, nodes: DataFrame, docs: DataFrame, common) -> DataFrame:
+    """Candidate pairs of all rows of a bucket and component, each block of them with itself and with every other."""
+    size = max(1, SMALL_BUCKET // 2)
+    blocks = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket", F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
+    cut = join_measured(rows, blocks, ["bucket"], "doc_id")
+    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("_blocks")).cast("int")
+    met = cut.select("bucket", "doc_id", "component", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    met = met.select(
+        "bucket", "doc_id", "component",
+        F.when(F.col("_own") != F.col("_other"), F.col("_own") < F.col("_other")).alias("left"),
+        F.least("_own", "_other").alias("_stays"), F.greatest("_own", "_other").alias("_leaves"),
+    )
+    return _met(met, pin(cut.select("doc_id").distinct()), nodes, docs, common)
+
+
+def _met(met: DataFrame, ids: DataFrame, nodes: DataFrame, docs: DataFrame, common) -> DataFrame:
+    """Candidate pairs of rows that are dealt to groups of ``bucket``, ``_stays`` and ``_leaves``."""
     packed = _bags_of(_texts_of(docs, ids), common).filter("length(bag) > 0").dropDuplicates(["doc_id"])
     compared = pin(nodes.join(ids, "doc_id", "left_semi").select("doc_id", "sketch").join(packed, "doc_id"))
     keys = ["bucket", "_stays", "_leaves"]
@@ -427,7 +450,7 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
     central = rows.groupBy("doc_id").agg(F.sum("n").alias("central"))
     rows = pin(rows.join(central, "doc_id"))
     labels = None
-    while True:
+    for last in [*[False] * (ROUNDS - 1), True]:
         # The most central member of each bucket; of equals the smallest id.
         hubs = pin(
             rows.groupBy("bucket")
@@ -466,6 +489,8 @@ def _components(nodes: DataFrame, docs: DataFrame, common) -> DataFrame | None:
         if rows.isEmpty():
             return labels
         labels = _joined(labels, _confirm(_across(large, nodes, docs, common), docs, common))
+        if last:
+            return _joined(labels, _confirm(_among(_labelled(rows, labels), nodes, docs, common), docs, common))
 
 
 def _nodes(docs: DataFrame, owned: DataFrame, common) -> DataFrame:
